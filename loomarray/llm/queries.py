@@ -13,6 +13,24 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomarray.llm.quality import quality
+
+    return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomarray.llm.sharding import shard
+
+    return shard(documents(spark, sf_dir), shards=40)
+
+
+def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomarray.llm.mixing import mix
+
+    return mix(documents(spark, sf_dir), weights=(1, 2, 3), most=3)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomarray.llm.token_files import token_files
 
@@ -31,7 +49,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op7_token_files, op9_token_counts, op10_pack)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_shard, op5_mix, op7_token_files, op9_token_counts, op10_pack)}
 
 #: DuckDB SQL for what SQL can express.
 ORACLE_SQL: dict[str, str] = {}
