@@ -31,6 +31,12 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir), weights=(1, 2, 3), most=3)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomarray.llm.winnowing import fingerprints
+
+    return fingerprints(documents(spark, sf_dir))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomarray.llm.token_files import token_files
 
@@ -49,7 +55,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_shard, op5_mix, op7_token_files, op9_token_counts, op10_pack)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_shard, op5_mix, op6_fingerprints, op7_token_files, op9_token_counts, op10_pack)}
 
 #: DuckDB SQL for what SQL can express.
 ORACLE_SQL: dict[str, str] = {}

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -21,7 +22,7 @@ import numpy as np
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: At most so many pieces are remembered in a worker; the others are encoded each time they occur.
-MEMO = 700_000
+MEMO = 1_600_000
 #: Texts longer than this are cut at safe boundaries, and about so much is encoded in one call.
 SEGMENT_CHARS, CALL_CHARS = 1 << 15, 1 << 18
 
@@ -151,7 +152,7 @@ class Ids:
                 found = self.tok.encode_batch_fast([x.decode() for x in some] if self.words else some, add_special_tokens=False)
                 flat = [x.ids for x in found]
                 sizes = np.fromiter(map(len, flat), np.int64, len(flat)) * np.dtype(self.dtype).itemsize
-                data = np.fromiter((i for x in flat for i in x), self.dtype).tobytes()
+                data = np.fromiter(chain.from_iterable(flat), self.dtype).tobytes()
                 ends = np.cumsum(sizes).tolist()
                 fresh.update((p, data[e - n : e]) for p, e, n in zip(some, ends, sizes.tolist(), strict=True))
             if len(memo) + len(fresh) <= MEMO:
