@@ -56,3 +56,21 @@ def sliding_min(keys: np.ndarray, w: int) -> np.ndarray:
         m = np.minimum(m[:-s], m[s:])
         s *= 2
     return np.minimum(m[: len(m) - (w - s)], m[w - s :]) if s < w else m
+
+
+class Prefix:
+    """Hashes of any spans of one sequence."""
+
+    def __init__(self, values: np.ndarray):
+        up, self.down = powers(len(values) + 1)
+        x = values.astype(U)
+        x += U(1)
+        x *= U(0xA0761D6478BD642F)
+        x ^= x >> U(29)
+        self.sums = np.zeros(len(values) + 1, U)
+        np.cumsum(np.multiply(x, up[:-1], out=x), out=self.sums[1:])
+
+    def span(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Hash of each span; it tells spans of different size apart."""
+        h = (self.sums[start + size] - self.sums[start]) * self.down[start]
+        return mix(h + size.astype(U) * U(0x9E3779B97F4A7C15))

@@ -43,6 +43,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomarray.llm.repeats import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomarray.llm.token_count import token_counts
 
@@ -55,7 +61,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_shard, op5_mix, op6_fingerprints, op7_token_files, op9_token_counts, op10_pack)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_shard, op5_mix, op6_fingerprints, op7_token_files, op8_repeats, op9_token_counts, op10_pack)}
 
 #: DuckDB SQL for what SQL can express.
 ORACLE_SQL: dict[str, str] = {}
