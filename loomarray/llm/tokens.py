@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 
@@ -143,7 +143,7 @@ class Ids:
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut_up = [self.pieces(x) for x in texts]
         memo = self.memo
-        new = list(set().union(*cut_up) - memo.keys())
+        new = list(set(filterfalse(memo.__contains__, chain.from_iterable(cut_up))))
         look = memo
         if new:
             fresh = {}
