@@ -25,6 +25,12 @@ def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir), shards=40)
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomarray.llm.minhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), words=3, percent=85)
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomarray.llm.mixing import mix
 
@@ -61,7 +67,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_shard, op5_mix, op6_fingerprints, op7_token_files, op8_repeats, op9_token_counts, op10_pack)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_shard, op4_near_duplicates, op5_mix, op6_fingerprints, op7_token_files, op8_repeats, op9_token_counts, op10_pack)}
 
 #: DuckDB SQL for what SQL can express.
 ORACLE_SQL: dict[str, str] = {}
