@@ -254,3 +254,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # rows of one doc_id in classes of different components are one node
     out = hashed.drop("sketch").join(of_class, "digest", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs`, whole, of one document of each near-duplicate group: that with the least doc_id.
+
+    Rows of one doc_id are one document and stay or go together; rows without a doc_id stay.
+    """
+    kept = near_duplicates(docs, words, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").unionByName(docs.where("doc_id is null"))

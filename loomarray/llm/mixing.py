@@ -155,3 +155,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     for x in parts[1:]:
         out = out.unionByName(x)
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 5) -> DataFrame:
+    """The rows of `docs`, whole, each as often as the mix holds it.
+
+    Rows of one doc_id count as one document here: all of them stand as often as the first of them
+    is taken.  A row without a doc_id goes by what is taken of such rows.
+    """
+    copies = mix(docs, weights, most, seed).groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_id")
+    joined = docs.join(copies.where("_copies > 0"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
