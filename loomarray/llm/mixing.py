@@ -16,7 +16,7 @@ from loomarray.llm.common import id_text, materialise, texts_of
 #: A word is a run of anything but these.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Rows of a source that one task rounds before residuals are combined, and residuals combined at once.
-LEAF, FAN = 20_000, 64
+LEAF, FAN = 2_000, 64
 
 
 def word_sizes(docs: DataFrame) -> DataFrame:
@@ -128,10 +128,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     rows = materialise(word_sizes(docs), "sizes")
     sums = {r.source: (r.size, r.n) for r in rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
     goal = targets({s: n for s, (n, _) in sums.items()}, weights, most)
-    largest = max((n for _, n in sums.values()), default=1)
-    leaves = -(-largest // LEAF)
-    schema = T.StructType([T.StructField("_source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
-    table = spark.createDataFrame([(s, n, goal[s]) for s, (n, _) in sums.items()], schema)
+    leaves = max((-(-n // LEAF) for _, n in sums.values()), default=1)
+    schema = T.StructType([T.StructField("_source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("_leaves", T.LongType())])
+    table = spark.createDataFrame([(s, n, goal[s], -(-m // LEAF)) for s, (n, m) in sums.items()], schema)
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(F.least(share, F.lit(float(most))) + 1e-12)
     joined = (
@@ -139,7 +138,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
         .drop("_source")
         .withColumn("copies", F.when(F.col("size") > 0, whole).otherwise(0).cast("long"))
         .withColumn("p", F.when(F.col("size") > 0, F.greatest(share - whole, F.lit(0.0))).otherwise(0.0))
-        .withColumn("node", F.pmod(F.xxhash64("doc_id", "size"), F.lit(leaves)))
+        .withColumn("node", F.pmod(F.xxhash64("doc_id", "size"), F.col("_leaves")))
         .select(*(x.split()[0] for x in KINDS.split(", ")))
     )
     level, parts = 0, []
