@@ -25,6 +25,13 @@ def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir), shards=40)
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomarray.llm.search import top_k
+
+    docs = documents(spark, sf_dir)
+    return top_k(docs, docs.where("doc_id % 50 = 0"), k=10)
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomarray.llm.minhash import near_duplicates
 
@@ -67,7 +74,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_shard, op4_near_duplicates, op5_mix, op6_fingerprints, op7_token_files, op8_repeats, op9_token_counts, op10_pack)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_shard, op3_top_k, op4_near_duplicates, op5_mix, op6_fingerprints, op7_token_files, op8_repeats, op9_token_counts, op10_pack)}
 
 #: DuckDB SQL for what SQL can express.
 ORACLE_SQL: dict[str, str] = {}

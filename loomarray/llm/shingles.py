@@ -11,6 +11,18 @@ _WORD = np.ones(256, bool)
 _WORD[[32, *range(9, 14)]] = False
 
 
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, in order, and the text each is in."""
+    data = np.frombuffer((b" ".join(texts) + b" ").translate(_LOWER), np.uint8)
+    is_word = _WORD[data]
+    edge = np.diff(np.concatenate([[0], is_word.view(np.int8)]))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(start):
+        return np.empty(0, U), np.empty(0, np.int64)
+    stops = np.cumsum([len(t) + 1 for t in texts])
+    return Prefix(data).span(start, end - start), np.searchsorted(stops, start, side="right")
+
+
 def shingle_sets(texts: list[bytes], words: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of `words` words of each text: (hashes, number of each text).
 
@@ -19,15 +31,9 @@ def shingle_sets(texts: list[bytes], words: int = 3) -> tuple[np.ndarray, np.nda
     words has none.  Hashes have 64 bits and also tell the number of words.
     """
     m = len(texts)
-    data = np.frombuffer((b" ".join(texts) + b" ").translate(_LOWER), np.uint8)
-    is_word = _WORD[data]
-    edge = np.diff(np.concatenate([[0], is_word.view(np.int8)]))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(start):
+    h, owner = word_hashes(texts)
+    if not len(h):
         return np.empty(0, U), np.zeros(m, np.int64)
-    h = Prefix(data).span(start, end - start)
-    stops = np.cumsum([len(t) + 1 for t in texts])
-    owner = np.searchsorted(stops, start, side="right")
     count = np.bincount(owner, minlength=m)
     first = np.cumsum(count) - count
     n = np.where(count >= words, count - words + 1, (count > 0).astype(np.int64))  # shingles
