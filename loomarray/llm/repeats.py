@@ -19,7 +19,7 @@ from loomarray.llm.rlindex import RunLengthIndex
 #: Bytes of a match, of a gram, and the most windows of one snippet.
 DEPTH, GRAM, MOST = 50, 16, 35
 #: Bytes of text behind each bucket.
-BUCKET = 16 << 20
+BUCKET = 4 << 20
 #: No doc_id is above it: stands for null ids, and for places without a match.
 NONE = np.iinfo(np.int64).max
 
@@ -58,7 +58,7 @@ class Windows:
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First window, number of windows and anchor of each run."""
-        parts, step = [], 1 << 21
+        parts, step = [], 1 << 19
         for at in range(0, max(1, len(self.flat)), step):
             h = grams(self.flat[at : at + step + DEPTH - 1], GRAM)
             if len(h) < DEPTH - GRAM + 1:

@@ -24,9 +24,9 @@ class RunLengthIndex:
         # texts with one end each, one after the other; ends are 0
         at = np.cumsum(sizes + 1) - (sizes + 1)
         n = int((sizes + 1).sum())
-        owner = np.repeat(np.arange(m), sizes + 1)
-        left = np.repeat(at + sizes, sizes + 1) - np.arange(n)  # symbols before the end
-        text = np.zeros(n, np.int64)
+        owner = np.repeat(np.arange(m, dtype=np.int32), sizes + 1)
+        left = (np.repeat(at + sizes, sizes + 1) - np.arange(n)).astype(np.int32)  # symbols before the end
+        text = np.zeros(n, np.int16)
         text[left > 0] = code[flat]
         rows, shared = self._sort(text, left, owner)
         before = np.where(rows > 0, text[rows - 1], 0)
@@ -100,7 +100,7 @@ class RunLengthIndex:
         key = np.zeros(len(text), np.int64)
         padded = np.concatenate([text, np.zeros(self.depth, np.int64)])
         for k in range(self.depth):
-            key = key * self.symbols + np.where(left > k, padded[k : k + len(text)], 0)
+            key = key * self.symbols + np.where(left > k, padded[k : k + len(text)], 0).astype(np.int64)
         return key
 
     @property
