@@ -21,6 +21,8 @@ BAND = 3
 MISS = 1e-5
 #: Members of a cluster that one task compares at once, and those that all its parts get.
 CHUNK, LEADERS = 2048, 32
+#: Keys that meet in one bucket, about.
+KEYS = 1 << 20
 #: Texts hashed at once.
 STEP = 512
 
@@ -191,7 +193,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     usable = hashed.where("doc_id is not null and digest is not null")
     classes = materialise(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch")), "classes")
     buckets = partitions(spark)
-    keyed = classes.select("rep", "sketch").mapInArrow(lambda batches: _keys(batches, m, buckets), "bucket int, keys binary, own binary, ids binary")
+    meeting = max(1, -(-classes.count() * m * m // KEYS))
+    keyed = classes.select("rep", "sketch").mapInArrow(lambda batches: _keys(batches, m, meeting), "bucket int, keys binary, own binary, ids binary")
     candidates = keyed.groupBy("bucket").applyInArrow(_meet, "a long, b long")
     clusters = components(candidates).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
@@ -210,7 +213,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             kept = batch.select(["rep", "cluster", "members"]).take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sets, pa.binary())], ["rep", "cluster", "members", "hashes"])
 
-    wanted = texts.join(members.withColumnRenamed("rep", "doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "cluster", "members", "digest", "text")
+    wanted = texts.join(members.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id").select(F.col("doc_id").alias("rep"), "cluster", "members", "digest", "text")
     sets = materialise(wanted.mapInArrow(compute, "rep long, cluster long, members long, hashes binary"), "sets")
 
     def deal(frame: DataFrame) -> DataFrame:
