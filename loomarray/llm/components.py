@@ -40,16 +40,25 @@ def _local(batches):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Edges that one task joins at once, where no more are left.
+ONE_TASK = 1 << 20
+
+
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """node, component (the least node it reaches) of every node in `edges` (a, b: long, not null).
 
     Each round replaces a partition's edges by a forest of stars, then links neighbours to the least
     node near them, until nothing changes; the rounds needed grow with the logarithm of the longest
-    path.  Every round is written to the shared folder; no edge comes to the driver.
+    path.  Every round is written to the shared folder; no edge comes to the driver.  As soon as no
+    more than `one_task` edges are left, counted each time, one task joins them.
     """
     stars = materialise(edges.select("a", "b").where("a <> b").mapInArrow(_local, "a long, b long").distinct(), "edges")
     seen = None
     while True:
+        if (seen[0] if seen else stars.count()) <= one_task:
+            stars = stars.coalesce(1).mapInArrow(_local, "a long, b long")
+            stars = materialise(stars, "edges")
+            break
         # large star: the greater neighbours of a node go to the least node near it
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
