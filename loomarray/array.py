@@ -1,0 +1,468 @@
+"""N-dimensional arrays as DataFrames.
+
+An `Array` is a frame with a row for each element: its flat row-major index (a long) and its value.
+Shape and element type are kept on the driver, so reshaping costs nothing and all else is a plan
+for Catalyst.  Values are Column expressions over the frame, so functions of arrays that share a
+frame and an index are one projection; only arrays of different frames are joined, on the index.
+Arrays that are a function of the index (constants, ranges, grids) have no frame until they need
+one: they take part in any expression without a join.
+"""
+
+from __future__ import annotations
+
+import math
+import numbers
+from collections.abc import Callable, Sequence
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from loomarray import dtypes as dt
+from loomarray.functions import elementwise as ew
+
+I, V = "i", "v"
+MAX_NDIM = 64
+
+
+def session() -> SparkSession:
+    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+
+
+def div(a: Column, n: int) -> Column:
+    return a if n == 1 else F.call_function("div", a, F.lit(n))
+
+
+def strides(shape: Sequence[int]) -> list[int]:
+    out, n = [], 1
+    for d in reversed(shape):
+        out.append(n)
+        n *= d
+    return out[::-1]
+
+
+def size_of(shape: Sequence[int]) -> int:
+    return math.prod(shape)
+
+
+def coords(index: Column, shape: Sequence[int]) -> list[Column]:
+    """The index along each axis."""
+    out = []
+    for k, (d, s) in enumerate(zip(shape, strides(shape), strict=True)):
+        c = div(index, s)
+        out.append(F.lit(0).cast("long") if d == 1 else c if k == 0 else c % F.lit(d))
+    return out
+
+
+def ravel(cs: Sequence[Column], shape: Sequence[int]) -> Column:
+    """The flat index of coordinates."""
+    out = None
+    for c, s, d in zip(cs, strides(shape), shape, strict=True):
+        if d == 1 and len(shape) > 1:
+            continue
+        term = c * s if s != 1 else c
+        out = term if out is None else out + term
+    return (F.lit(0) if out is None else out).cast("long")
+
+
+def axes_of(axis, ndim: int) -> list[int]:
+    given = range(ndim) if axis is None else [axis] if isinstance(axis, numbers.Integral) else list(axis)
+    out = []
+    for a in given:
+        if not -ndim <= a < ndim:
+            raise IndexError(f"axis {a} is out of bounds for array of dimension {ndim}")
+        out.append(int(a) % ndim)
+    if len(set(out)) != len(out):
+        raise ValueError("duplicate axis")
+    return out
+
+
+class Array:
+    __array_priority__ = 1000
+
+    def __init__(self, frame: DataFrame | None, index: Column | None, value: Column | None, shape: Sequence[int], dtype, gen: Callable[[Column], Column] | None = None):
+        if len(shape) > MAX_NDIM:
+            raise ValueError(f"at most {MAX_NDIM} dimensions")
+        self._frame, self._index, self._value, self.gen = frame, index, value, gen
+        self.shape, self.dtype = tuple(int(s) for s in shape), dt.dtype(dtype)
+
+    # ---- frames
+    @property
+    def frame(self) -> DataFrame:
+        if self._frame is None:
+            self._frame = session().range(self.size).withColumnRenamed("id", I)
+            self._index, self._value = F.col(I), self.gen(F.col(I))
+        return self._frame
+
+    @property
+    def index(self) -> Column:
+        self.frame  # noqa: B018
+        return self._index
+
+    @property
+    def value(self) -> Column:
+        self.frame  # noqa: B018
+        return self._value
+
+    @property
+    def df(self) -> DataFrame:
+        """Columns i and v."""
+        return self.frame.select(self.index.cast("long").alias(I), self.value.alias(V))
+
+    @classmethod
+    def of(cls, df: DataFrame, shape: Sequence[int], dtype) -> Array:
+        """From a frame with columns i and v."""
+        return cls(df, F.col(I), F.col(V), shape, dtype)
+
+    def with_value(self, f: Callable[[Column], Column], dtype) -> Array:
+        """The same cells with other values."""
+        if self.gen is not None:
+            g = self.gen
+            return Array(None, None, None, self.shape, dtype, lambda i: f(g(i)))
+        return Array(self.frame, self.index, f(self.value), self.shape, dtype)
+
+    def reshaped(self, shape: Sequence[int]) -> Array:
+        out = Array(self._frame, self._index, self._value, shape, self.dtype, self.gen)
+        return out
+
+    def cached(self) -> Array:
+        """Written to memory and disk of the cluster, for arrays that are used again."""
+        return Array.of(self.df.persist(), self.shape, self.dtype)
+
+    # ---- metadata
+    @property
+    def ndim(self) -> int:
+        return len(self.shape)
+
+    @property
+    def size(self) -> int:
+        return size_of(self.shape)
+
+    @property
+    def itemsize(self) -> int:
+        return self.dtype.itemsize
+
+    @property
+    def nbytes(self) -> int:
+        return self.size * self.itemsize
+
+    @property
+    def strides(self) -> tuple[int, ...]:
+        return tuple(s * self.itemsize for s in strides(self.shape))
+
+    @property
+    def flags(self) -> dict:
+        return {"C_CONTIGUOUS": True, "F_CONTIGUOUS": self.ndim <= 1, "OWNDATA": True}
+
+    base = None
+
+    @property
+    def T(self) -> Array:
+        from loomarray.operators.shape import transpose
+
+        return transpose(self)
+
+    # ---- out of Spark
+    def numpy(self) -> np.ndarray:
+        """On the driver, in order.  For arrays that fit there."""
+        table = self.df.toArrow()
+        index = table[I].to_numpy()
+        if self.dtype.kind == "c":
+            flat = table.flatten()
+            data = flat[f"{V}.re"].to_numpy() + 1j * flat[f"{V}.im"].to_numpy()
+        elif self.dtype.name == "uint64":
+            data = np.array([int(x) for x in table[V].to_pylist()], np.uint64)
+        else:
+            data = table[V].to_numpy()
+        out = np.zeros(self.size, self.dtype)
+        out[index] = data.astype(self.dtype)
+        return out.reshape(self.shape)
+
+    def item(self, *args):
+        flat = 0
+        if len(args) == 1:
+            flat = args[0] + (self.size if args[0] < 0 else 0)
+        elif args:
+            flat = int(np.ravel_multi_index(args, self.shape))
+        elif self.size != 1:
+            raise ValueError("can only convert an array of size 1 to a scalar")
+        row = self.df.where(F.col(I) == flat).first()
+        if row is None:
+            raise IndexError("index out of bounds")
+        v = row[V]
+        return complex(v["re"], v["im"]) if self.dtype.kind == "c" else int(v) if self.dtype.name == "uint64" else v
+
+    def tolist(self):
+        return self.numpy().tolist()
+
+    def tobytes(self, order: str = "C") -> bytes:
+        return self.numpy().tobytes(order)
+
+    def astype(self, dtype) -> Array:
+        new, old = dt.dtype(dtype), self.dtype
+        return self if new == old else self.with_value(lambda v: dt.cast(v, old, new), new)
+
+    def __len__(self) -> int:
+        if not self.shape:
+            raise TypeError("len() of unsized object")
+        return self.shape[0]
+
+    def __repr__(self) -> str:
+        from loomarray.operators.formatting import array_repr
+
+        return array_repr(self)
+
+    def __str__(self) -> str:
+        from loomarray.operators.formatting import array_str
+
+        return array_str(self)
+
+    def __getitem__(self, key):
+        from loomarray.operators.indexing import getitem
+
+        return getitem(self, key)
+
+    def slice(self, *strs: str) -> Array:
+        """Slices as text: '0:2', ':', '-1', '::2', '...', 'newaxis'."""
+        from loomarray.operators.indexing import getitem, parse_slice
+
+        return getitem(self, tuple(parse_slice(s) for s in strs))
+
+    def __bool__(self) -> bool:
+        return bool(self.item())
+
+    def __float__(self) -> float:
+        return float(self.item())
+
+    def __int__(self) -> int:
+        return int(self.item())
+
+
+def asarray(x, dtype=None) -> Array:
+    """An Array of an Array, NumPy array, nested list or scalar; lists of numbers are float64 unless a type is given."""
+    if isinstance(x, Array):
+        return x if dtype is None else x.astype(dtype)
+    if dtype is None and isinstance(x, (list, tuple, int, float)) and not isinstance(x, bool):
+        guess = np.asarray(x)
+        dtype = guess.dtype if guess.dtype.kind in "cb" else np.float64
+    data = np.asarray(x, dtype)
+    d = dt.dtype(data.dtype)
+    if not data.ndim:
+        return Array(None, None, None, (), d, lambda i: dt.lit(data.item(), d))
+    return local(data)
+
+
+def local(data: np.ndarray) -> Array:
+    """From the driver's memory, as an Arrow table."""
+    import pyarrow as pa
+
+    d = dt.dtype(data.dtype)
+    flat = np.ascontiguousarray(data).ravel()
+    schema = T.StructType([T.StructField(I, T.LongType(), False), T.StructField(V, dt.spark_type(d))])
+    index = pa.array(np.arange(flat.size))
+    if d.kind == "c":
+        p = dt.part(d)
+        value = pa.StructArray.from_arrays([pa.array(flat.real.astype(p)), pa.array(flat.imag.astype(p))], ["re", "im"])
+    elif d.name == "uint64":
+        from decimal import Decimal
+
+        value = pa.array([Decimal(int(x)) for x in flat], pa.decimal128(20, 0))
+    else:
+        held = {"uint8": np.int16, "uint16": np.int32, "uint32": np.int64, "float16": np.float32}.get(d.name, d)
+        value = pa.array(flat.astype(held))
+    return Array.of(session().createDataFrame(pa.table([index, value], [I, V]), schema), data.shape, d)
+
+
+def generated(shape: Sequence[int], dtype, f: Callable[[Column], Column]) -> Array:
+    """An array whose values are a function of the flat index."""
+    return Array(None, None, None, shape, dtype, f)
+
+
+def broadcast_index(index: Column, shape: Sequence[int], own: Sequence[int]) -> Column:
+    """The flat index, in an operand of shape `own`, of a cell of the broadcast shape."""
+    if tuple(own) == tuple(shape):
+        return index
+    cs = coords(index, shape)[len(shape) - len(own) :]
+    return ravel([F.lit(0).cast("long") if d == 1 else c for c, d in zip(cs, own, strict=True)], own) if own else F.lit(0).cast("long")
+
+
+def stretched(a: Array, shape: Sequence[int]) -> DataFrame:
+    """Cells i, v of `a` broadcast to `shape`: each is repeated along the axes that stretch."""
+    own = (1,) * (len(shape) - a.ndim) + a.shape
+    df = a.df
+    cs = coords(F.col(I), own)
+    for k, (d, n) in enumerate(zip(own, shape, strict=True)):
+        if d != n:
+            name = f"_c{k}"
+            df = df.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))) if n else df.where(F.lit(False)).withColumn(name, F.lit(0).cast("long"))
+            cs[k] = F.col(name)
+    return df.select(ravel(cs, shape).alias(I), V)
+
+
+def aligned(*arrays: Array) -> tuple[DataFrame | None, Column | None, list, tuple[int, ...]]:
+    """One frame for all: (frame, index, values, shape).  Without a frame, values are functions of the index."""
+    shape = np.broadcast_shapes(*(a.shape for a in arrays))
+    framed = [a for a in arrays if a.gen is None]
+    if not framed:
+        return None, None, [lambda i, a=a: a.gen(broadcast_index(i, shape, a.shape)) for a in arrays], shape
+    base = next((a for a in framed if a.shape == shape), None)
+    together = base is not None and all(a.frame is base.frame and a.index is base.index for a in framed if a.shape == shape) and all(a.shape == shape for a in framed)
+    if together:
+        return base.frame, base.index, [a.value if a.gen is None else a.gen(broadcast_index(base.index, shape, a.shape)) for a in arrays], shape
+    values: dict[int, Column] = {}
+    if base is None:
+        base = framed[0]
+        df = stretched(base, shape).withColumnRenamed(V, "v0")
+        values[id(base)] = F.col("v0")
+    else:
+        same = [a for a in framed if a.shape == shape and a.frame is base.frame and a.index is base.index]
+        df = base.frame.select(base.index.cast("long").alias(I), *(a.value.alias(f"v{k}") for k, a in enumerate(same)))
+        values |= {id(a): F.col(f"v{k}") for k, a in enumerate(same)}
+    for a in framed:
+        if id(a) not in values:
+            n = f"v{len(values)}"
+            own = a.df.select(F.col(I).alias("_j"), F.col(V).alias(n))
+            df = df.withColumn("_k", broadcast_index(F.col(I), shape, a.shape)).join(own, F.col("_k") == F.col("_j")).drop("_j", "_k")
+            values[id(a)] = F.col(n)
+    index = F.col(I)
+    return df, index, [values[id(a)] if a.gen is None else a.gen(broadcast_index(index, shape, a.shape)) for a in arrays], shape
+
+
+def mapped(f: Callable[..., Column], dtype, *arrays: Array) -> Array:
+    """A new array of a function of cells that broadcast together."""
+    frame, index, values, shape = aligned(*arrays)
+    if frame is None:
+        return generated(shape, dtype, lambda i: f(*(v(i) for v in values)))
+    return Array(frame, index, f(*values), shape, dtype)
+
+
+def elementwise(name: str, *operands, **options) -> Array:
+    """A ufunc on arrays and scalars; Python scalars take the arrays' type where they can."""
+    arrays, kinds = [], []
+    given = [x for x in operands if isinstance(x, (Array, np.ndarray, np.generic, list, tuple))]
+    for x in operands:
+        if isinstance(x, (bool, np.bool_)):
+            kinds.append(np.dtype("bool"))
+            arrays.append(asarray(np.bool_(x)))
+        elif isinstance(x, (int, float, complex)) and not isinstance(x, np.generic):
+            kinds.append(type(x) if given else np.dtype(type(x)))
+            arrays.append(x)
+        else:
+            a = x if isinstance(x, Array) else asarray(x)
+            kinds.append(a.dtype)
+            arrays.append(a)
+    to, out = ew.resolve(name, *kinds)
+    arrays = [a if isinstance(a, Array) else generated((), t, lambda i, a=a, t=t: dt.lit(a, t)) for a, t in zip(arrays, to, strict=True)]
+    olds = [a.dtype for a in arrays]
+
+    def f(*columns):
+        return ew.KERNELS[name](to[0], *(dt.cast(c, o, t) for c, o, t in zip(columns, olds, to, strict=True)), **options)
+
+    return mapped(f, out, *arrays)
+
+
+def gather(a: Array, shape: Sequence[int], source: Callable[[Column], Column], fill=None) -> Array:
+    """Cell i of the result is cell `source(i)` of `a`; where that is null or not there, `fill`."""
+    if a.gen is not None and fill is None:
+        return generated(shape, a.dtype, lambda i: a.gen(source(i)))
+    df = session().range(size_of(shape)).select(F.col("id").alias(I), source(F.col("id")).cast("long").alias("_j"))
+    own = a.df.select(F.col(I).alias("_s"), V)
+    if fill is None:
+        return Array.of(df.join(own, F.col("_j") == F.col("_s")).select(I, V), shape, a.dtype)
+    joined = df.join(own, F.col("_j") == F.col("_s"), "left")
+    return Array.of(joined.select(I, F.coalesce(V, dt.lit(fill, a.dtype)).alias(V)), shape, a.dtype)
+
+
+def moved(a: Array, shape: Sequence[int], target: Callable[[list[Column]], Sequence[Column]], keep: Callable[[list[Column]], Column] | None = None) -> Array:
+    """Cells go to the coordinates `target` of the result: index arithmetic, no join; `keep` leaves some out."""
+    if keep is None:
+        return Array(a.frame, ravel(target(coords(a.index, a.shape)), shape), a.value, shape, a.dtype)
+    df = a.df.where(keep(coords(F.col(I), a.shape)))
+    return Array.of(df.select(ravel(target(coords(F.col(I), a.shape)), shape).alias(I), V), shape, a.dtype)
+
+
+def numbered(df: DataFrame, *order, name: str = I) -> tuple[DataFrame, int]:
+    """Rows sorted by `order` with their place from 0, and how many there are.
+
+    A range sort; then a row's place is its place in its partition and the rows of the partitions
+    before.  Only a count for each partition comes to the driver.
+    """
+    ordered = df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id())
+    part = F.call_function("shiftright", F.col("_m"), F.lit(33))
+    counts = {r.p: r.n for r in ordered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    before, total = {}, 0
+    for p in sorted(counts):
+        before[p] = total
+        total += counts[p]
+    if not counts:
+        return ordered.withColumn(name, F.col("_m")).drop("_m"), 0
+    lookup = F.element_at(F.create_map(*(F.lit(x) for kv in before.items() for x in kv)), part)
+    return ordered.withColumn(name, F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + lookup).drop("_m"), total
+
+
+def from_column(df: DataFrame, value: str | Column, order_by: Sequence, dtype=None) -> Array:
+    """A table's column as a one-dimensional array, in a given order of the rows (ties must not matter)."""
+    v = F.col(value) if isinstance(value, str) else value
+    out, n = numbered(df.select(v.alias(V), *(c if isinstance(c, Column) else F.col(c) for c in order_by)), *order_by)
+    d = dt.of_spark(out.schema[V].dataType)
+    a = Array.of(out.select(I, V), (n,), d)
+    return a if dtype is None else a.astype(dtype)
+
+
+def from_columns(df: DataFrame, values: Sequence[str], order_by: Sequence) -> list[Array]:
+    """Columns of one table as arrays of one frame: functions of them are projections."""
+    names = [c for c in dict.fromkeys([*values, *order_by])]
+    out, n = numbered(df.select(*names), *order_by, name="_i")
+    index = F.col("_i")
+    return [Array(out, index, F.col(v), (n,), dt.of_spark(out.schema[v].dataType)) for v in values]
+
+
+def from_vectors(df: DataFrame, key: str, vector: str, width: int) -> Array:
+    """An array-typed column as a matrix: row `key` (0 .. n - 1), one column an element."""
+    n = df.agg(F.max(key)).first()[0]
+    d = dt.of_spark(df.schema[vector].dataType.elementType)
+    cells = df.select(F.col(key).cast("long").alias("_r"), F.posexplode(vector).alias("_c", V)).select((F.col("_r") * width + F.col("_c")).alias(I), V)
+    return Array.of(cells, (0 if n is None else n + 1, width), d)
+
+
+def gather_bits(a: Array, axis: int, count, bitorder: str) -> Array:
+    """Each byte's eight bits along `axis`, cut or filled with zeros to `count`."""
+    n = a.shape[axis] * 8
+    cs = coords(F.col(I), a.shape)
+    bit = F.col("_b")
+    shape = (*a.shape[:axis], n, *a.shape[axis + 1 :])
+    df = a.df.withColumn("_b", F.explode(F.array(*map(F.lit, range(8)))))
+    out = [*cs[:axis], cs[axis] * 8 + bit, *cs[axis + 1 :]]
+    place = (7 - bit) if bitorder == "big" else bit
+    value = F.call_function("shiftright", F.col(V).cast("int"), place).bitwiseAND(F.lit(1)).cast("short")
+    bits = Array.of(df.select(ravel(out, shape).alias(I), value.alias(V)), shape, np.uint8)
+    if count is None:
+        return bits
+    want = count if count >= 0 else n + count
+    if want <= n:
+        keep = (*a.shape[:axis], want, *a.shape[axis + 1 :])
+        return moved(bits, keep, lambda c: c, lambda c: c[axis] < want)
+    from loomarray.operators.shape import pad
+
+    return pad(bits, [(0, want - n) if k == axis else (0, 0) for k in range(a.ndim)])
+
+
+def _operators() -> None:
+    def binary(name):
+        return lambda self, other: elementwise(name, self, other)
+
+    def swapped(name):
+        return lambda self, other: elementwise(name, other, self)
+
+    for method, name in {"add": "add", "sub": "subtract", "mul": "multiply", "truediv": "divide", "floordiv": "floor_divide", "mod": "mod", "pow": "power", "and": "bitwise_and", "or": "bitwise_or", "xor": "bitwise_xor", "lshift": "left_shift", "rshift": "right_shift"}.items():
+        setattr(Array, f"__{method}__", binary(name))
+        setattr(Array, f"__r{method}__", swapped(name))
+    for method, name in {"lt": "less", "le": "less_equal", "gt": "greater", "ge": "greater_equal", "eq": "equal", "ne": "not_equal"}.items():
+        setattr(Array, f"__{method}__", binary(name))
+    Array.__hash__ = object.__hash__
+    for method, name in {"neg": "negative", "pos": "positive", "abs": "absolute", "invert": "bitwise_not"}.items():
+        setattr(Array, f"__{method}__", lambda self, name=name: elementwise(name, self))
+
+
+_operators()
