@@ -17,10 +17,11 @@ from loomarray.llm.token_files import store
 
 #: BM25's saturation and length parameters.
 K1, B = 1.2, 0.75
-#: Text behind a shard's index, documents of a block, and queries of a chunk.
-SHARD, BLOCK, CHUNK = 48 << 20, 64, 1024
-#: A shard keeps block maxima of terms in this share of its documents or more; rarer ones need none.
-COMMON = 1 / 64
+#: Text behind a shard's index, documents of a block, queries of a chunk and of a step in it.
+SHARD, BLOCK, CHUNK, STEP = 72 << 20, 8, 1024, 128
+#: Block maxima and impacts by document are kept for terms in this share of a shard's documents or
+#: more, the most frequent ones; lists of rarer terms are short and read whole.
+COMMON, MOST = 1 / 24, 1024
 
 
 def save_arrays(base: str, name: str, **arrays: np.ndarray) -> str:
@@ -64,93 +65,94 @@ def invert(docs: np.ndarray, terms: np.ndarray, tf: np.ndarray) -> dict[str, np.
 
 
 class Shard:
-    """A shard's postings, with the part of BM25 that does not depend on the query."""
+    """A shard's postings, with the part of BM25 that does not depend on the query.
+
+    Documents stand by length, so those of a block have impacts alike and block maxima are tight.
+    """
 
     def __init__(self, uri: str, mean: float):
         z = load_arrays(uri)
-        self.ids, self.terms, self.begin, self.docs = z["ids"], z["terms"], z["begin"], z["docs"]
+        self.ids, self.terms, self.begin = z["ids"], z["terms"], z["begin"]
+        self.docs = z["docs"].astype(np.int64)
         norm = K1 * (1 - B + B * z["lengths"] / mean) if mean else np.ones(len(self.ids))
         tf = z["tf"].astype(np.float64)
         self.impact = tf * (K1 + 1) / (tf + norm[self.docs])
-        self.most = np.maximum.reduceat(self.impact, self.begin[:-1]) if len(self.docs) else np.empty(0)
-        self.blocks = -(-len(self.ids) // BLOCK)
-        self.block_most: dict[int, np.ndarray] = {}
-
-    def maxima(self, t: int) -> np.ndarray:
-        """The largest impact of a term in each block of documents."""
-        found = self.block_most.get(t)
-        if found is None:
-            found = np.zeros(self.blocks)
+        df = np.diff(self.begin)
+        common = np.flatnonzero(df >= max(2, COMMON * len(self.ids)))
+        common = common[np.argsort(-df[common], kind="stable")[:MOST]]
+        self.common = np.full(len(df), -1)
+        self.common[common] = np.arange(len(common))
+        blocks = max(1, -(-len(self.ids) // BLOCK))
+        self.whole = np.zeros((len(common), blocks * BLOCK))
+        for c, t in enumerate(common.tolist()):
             s = slice(self.begin[t], self.begin[t + 1])
-            np.maximum.at(found, self.docs[s] // BLOCK, self.impact[s])
-            if self.begin[t + 1] - self.begin[t] >= COMMON * len(self.ids):
-                self.block_most[t] = found
-        return found
-
-    def exact(self, docs: np.ndarray, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """What terms add to documents (ascending): looked up in the terms' lists."""
-        out = np.zeros(len(docs))
-        for t, w in zip(terms.tolist(), weight.tolist(), strict=True):
-            own = self.docs[self.begin[t] : self.begin[t + 1]]
-            at = np.searchsorted(own, docs)
-            at[at == len(own)] = 0
-            hit = own[at] == docs
-            out[hit] += w * self.impact[self.begin[t] + at[hit]]
-        return out
+            self.whole[c, self.docs[s]] = self.impact[s]
+        self.block_most = self.whole.reshape(len(common), blocks, BLOCK).max(2)
+        self.rough = self.whole.astype(np.float32)
 
-    def top(self, query: np.ndarray, idf: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
-        """The best `k` documents (ids, scores), by score and then id; fewer if fewer share a term.
+    def top(self, queries: list[np.ndarray], idfs: list[np.ndarray], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The best `k` documents (ids, scores) of each query, by score and then id; fewer if fewer share a term.
 
-        Lists are opened from the strongest term on.  What is not yet open can add at most its block
-        maxima to a document, so once the k-th best exact score is above what any other document
-        can reach, the rest of the lists are only looked up for the few documents left.
+        Rare terms' lists are read whole.  Common terms can add to a document no more than their
+        block's maxima; documents whose bound stays under the k-th best exact score so far are
+        passed over.  Where many are left, their common part is first taken in single precision,
+        with room for its error.  Whoever is left then gets an exact score.
         """
-        at = np.searchsorted(self.terms, query)
-        at[at == len(self.terms)] = 0
-        has = self.terms[at] == query if len(self.terms) else np.zeros(len(query), bool)
-        t, w = at[has], idf[has]
-        if not len(t):
-            return self.ids[:0], np.empty(0)
-        df = self.begin[t + 1] - self.begin[t]
-        order = np.argsort(-(w * self.most[t]), kind="stable")
-        order = order[np.argsort(df[order] >= COMMON * len(self.ids), kind="stable")]  # short lists are cheap: open them first
-        t, w, df = t[order], w[order], df[order]
-        bound = w * self.most[t]
-        rest = np.concatenate([np.cumsum(bound[::-1])[::-1], [0.0]])
-        score, opened, theta = np.zeros(len(self.ids)), 0, floor
-        step = max(1, int((df < COMMON * len(self.ids)).sum()))
-        while True:
-            new = slice(opened, min(len(t), opened + step))
-            n = df[new]
-            if n.sum():
-                place = np.repeat(self.begin[t[new]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                score += np.bincount(self.docs[place], np.repeat(w[new], n) * self.impact[place], len(score))
-            opened = new.stop
-            closed = slice(opened, len(t))
-            # exact scores of the best so far give the threshold
-            kth = min(k, len(score))
-            best = np.sort(np.argpartition(-score, kth - 1)[:kth])
-            full = score[best] + self.exact(best, t[closed], w[closed])
-            if len(best) == k:
-                theta = max(theta, float(full.min()))
-            if opened == len(t):
-                left = np.flatnonzero((score >= theta - 1e-9) & (score > 0))
-                break
-            left = np.flatnonzero(score + rest[opened] >= theta - 1e-9)
-            if len(left) <= 8 * k + 64:
-                break
-            ahead = np.zeros(self.blocks)
-            for x, y in zip(t[closed].tolist(), w[closed].tolist(), strict=True):
-                ahead += y * self.maxima(x)
-            left = left[score[left] + ahead[left // BLOCK] >= theta - 1e-9]
-            if len(left) <= max(8 * k + 64, len(score) // 64):
-                break
-            step = max(1, (len(t) - opened) // 3)
-        total = score[left] + self.exact(left, t[opened:], w[opened:])
+        n, width = len(self.ids), self.whole.shape[1]
+        weights, rare = np.zeros((len(queries), len(self.whole))), []
+        for q, (query, idf) in enumerate(zip(queries, idfs, strict=True)):
+            at = np.searchsorted(self.terms, query)
+            at[at == len(self.terms)] = 0
+            has = self.terms[at] == query if len(self.terms) else np.zeros(len(query), bool)
+            t, w = at[has], idf[has]
+            c = self.common[t]
+            weights[q, c[c >= 0]] = w[c >= 0]
+            rare.append((t[c < 0], w[c < 0]))
+        ahead = weights @ self.block_most
+        out: list = [None] * len(queries)
+        heavy = []
+        for q, (t, w) in enumerate(rare):
+            a, b = self.begin[t], self.begin[t + 1]
+            if len(t):
+                spans = list(zip(a.tolist(), b.tolist(), strict=True))
+                place = np.concatenate([self.docs[x:y] for x, y in spans])
+                score = np.bincount(place, np.concatenate([self.impact[x:y] for x, y in spans]) * np.repeat(w, b - a), width)
+            else:
+                score = np.zeros(width)
+            bound = (score.reshape(-1, BLOCK) + ahead[q][:, None]).ravel()
+            first = min(4 * k, n)
+            best = np.argpartition(bound, width - first)[width - first :]
+            best = best[best < n]
+            full = self.exact(q, weights, score, best)
+            theta = np.partition(full, len(full) - k)[len(full) - k] if len(full) >= k else 0.0
+            left = np.flatnonzero(bound >= theta - 1e-9)
+            if len(left) * 16 > n:
+                heavy.append((q, score, theta))
+            else:
+                out[q] = self.best(q, weights, score, left, k)
+        if heavy:
+            part = weights[[q for q, _, _ in heavy]].astype(np.float32) @ self.rough
+            for (q, score, theta), common in zip(heavy, part, strict=True):
+                guess = score + common
+                slack = 1e-4 * (1 + float(common.max(initial=0)))
+                left = np.flatnonzero(guess >= theta - slack)
+                if len(left) > 8 * k:  # the k-th best guess is a better threshold
+                    kth = np.partition(guess, width - k)[width - k]
+                    left = left[guess[left] >= kth - 2 * slack]
+                out[q] = self.best(q, weights, score, left, k)
+        return out
+
+    def exact(self, q: int, weights: np.ndarray, score: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        own = np.flatnonzero(weights[q])
+        return score[docs] + weights[q, own] @ self.whole[np.ix_(own, docs)]
+
+    def best(self, q: int, weights: np.ndarray, score: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        docs = docs[docs < len(self.ids)]
+        total = np.round(self.exact(q, weights, score, docs), 9)
         keep = total > 0
-        left, total = left[keep], np.round(total[keep], 9)
-        order = np.lexsort((self.ids[left], -total))[:k]
-        return self.ids[left[order]], total[order]
+        docs, total = docs[keep], total[keep]
+        order = np.lexsort((self.ids[docs], -total))[:k]
+        return self.ids[docs[order]], total[order]
 
 
 def build(docs: DataFrame, base: str):
@@ -168,7 +170,11 @@ def build(docs: DataFrame, base: str):
                 offset += len(texts)
             columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
             lengths = np.concatenate(words)
-            uri = save_arrays(base, f"shard-{uuid.uuid4().hex}.npz", ids=np.concatenate(ids), lengths=lengths, **invert(*columns))
+            order = np.argsort(lengths, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            columns[0] = place[columns[0]]
+            uri = save_arrays(base, f"shard-{uuid.uuid4().hex}.npz", ids=np.concatenate(ids)[order], lengths=lengths[order], **invert(*columns))
             return pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([len(lengths)], pa.int64()), pa.array([int(lengths.sum())], pa.int64())], ["uri", "documents", "words"])
 
         for batch in batches:
@@ -209,7 +215,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     rows = id_text(docs).where("doc_id is not null")
     size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     parts = rows.rdd.getNumPartitions()
-    shards = build(rows.coalesce(max(1, min(parts, -(-size // (SHARD // 3))))), base).collect()  # a name and two counts a shard
+    shards = build(rows.coalesce(max(1, min(parts, -(-size // (SHARD // 4))))), base).collect()  # a name and two counts a shard
     n, words = sum(s.documents for s in shards), sum(s.words for s in shards)
     mean = words / n if n else 0.0
     uris = [s.uri for s in shards]
@@ -287,7 +293,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                     last.update(shard=s, index=Shard(uris[s], mean))
                 z = load_arrays(weighed[c])
                 cut = np.searchsorted(z["own"], np.arange(len(z["ids"]) + 1))
-                found = [last["index"].top(z["terms"][a:b], z["idf"][a:b], k) for a, b in zip(cut, cut[1:], strict=False)]
+                spans = list(zip(cut, cut[1:], strict=False))
+                found = [x for j in range(0, len(spans), STEP) for x in last["index"].top([z["terms"][a:b] for a, b in spans[j : j + STEP]], [z["idf"][a:b] for a, b in spans[j : j + STEP]], k)]
                 count = np.array([len(x) for x, _ in found], np.int64)
                 query = np.repeat(np.arange(len(found)), count)
                 arrays = (query, *(np.concatenate([x[j] for x in found]) if found else np.empty(0) for j in (0, 1)))
