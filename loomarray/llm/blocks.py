@@ -6,12 +6,15 @@ import uuid
 
 import pyarrow as pa
 from pyarrow import ipc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from loomarray.llm.common import bounded_batches, materialise
+from loomarray.llm.common import bounded_batches, fresh_path, partitions
 
 #: A block holds rows of about so many bytes of text (or one row that has more).
 BLOCK = 2 << 20
+#: Blocks that travel together.
+GROUP = 8
 #: A block never has more rows than a two-byte number can tell apart.
 ROWS = 60_000
 
@@ -29,15 +32,22 @@ def unpack_batch(data: bytes) -> pa.Table:
 
 
 def blocks(df: DataFrame, size_of: str, size: int = BLOCK) -> DataFrame:
-    """Blocks of the rows of `df`: block (an id), n_bytes (of column `size_of`), data.  Written to the shared folder."""
-    bounded_batches(df.sparkSession)
+    """The rows of `df` as blocks: group, block (unique together), n_bytes (of column `size_of`), data.
+
+    A group has up to GROUP blocks.  They are written to the shared folder as a table bucketed by
+    group, so what is known of blocks can join them without moving them.
+    """
+    spark = df.sparkSession
+    bounded_batches(spark)
 
     def build(batches):
-        held, n, rows = [], 0, 0
+        held, n, rows, count = [], 0, 0, 0
+        base = TaskContext.get().partitionId() << 24
 
         def out():
             table = pa.Table.from_batches(held).combine_chunks()
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([n], pa.int64()), pa.array([pack_batch(table.to_batches()[0])], pa.binary())], ["block", "n_bytes", "data"])
+            columns = [pa.array([base + count // GROUP]), pa.array([count % GROUP], pa.int32()), pa.array([n], pa.int64()), pa.array([pack_batch(table.to_batches()[0])], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["group", "block", "n_bytes", "data"])
 
         for batch in batches:
             sizes = pa.compute.binary_length(batch.column(size_of)).fill_null(0).to_pylist()
@@ -47,10 +57,13 @@ def blocks(df: DataFrame, size_of: str, size: int = BLOCK) -> DataFrame:
                 if n >= size or rows >= ROWS:
                     held.append(batch.slice(start, i + 1 - start))
                     yield out()
-                    held, n, rows, start = [], 0, 0, i + 1
+                    held, n, rows, start, count = [], 0, 0, i + 1, count + 1
             if start < len(sizes):
                 held.append(batch.slice(start))
         if held:
             yield out()
 
-    return materialise(df.mapInArrow(build, "block string, n_bytes long, data binary"), "blocks")
+    table = f"blocks_{uuid.uuid4().hex}"
+    packed = df.mapInArrow(build, "group long, block int, n_bytes long, data binary")
+    packed.write.option("path", fresh_path(spark, "blocks")).bucketBy(partitions(spark), "group").saveAsTable(table)
+    return spark.table(table)

@@ -13,7 +13,7 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base and its inverse to the powers 0 .. n - 1, modulo 2^64."""
     if not _powers or len(_powers[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = (n + 0xFFFF) >> 16 << 16
         _powers[:] = []
         for b in (_BASE, _INVERSE):
             p = np.full(size, b, U)

@@ -17,7 +17,7 @@ from loomarray.llm.hashing import U, Prefix, grams, sliding_min
 from loomarray.llm.rlindex import RunLengthIndex
 
 #: Bytes of a match, of a gram, and the most windows of one snippet.
-DEPTH, GRAM, MOST = 50, 16, 35
+DEPTH, GRAM, MOST = 50, 24, 22
 #: Bytes of text behind each bucket.
 BUCKET = 4 << 20
 #: No doc_id is above it: stands for null ids, and for places without a match.
@@ -56,11 +56,15 @@ class Windows:
         self.flat = np.frombuffer(self.bytes, np.uint8)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First window, number of windows and anchor of each run."""
+    def runs(self, hashed: bool = False) -> tuple[np.ndarray, ...]:
+        """First window, number of windows and anchor of each run, and a hash of its bytes if asked for.
+
+        A chunk of the block at a time, so the arrays stay small.
+        """
         parts, step = [], 1 << 19
         for at in range(0, max(1, len(self.flat)), step):
-            h = grams(self.flat[at : at + step + DEPTH - 1], GRAM)
+            chunk = self.flat[at : at + step + DEPTH - 1]
+            h = grams(chunk, GRAM)
             if len(h) < DEPTH - GRAM + 1:
                 break
             m = sliding_min(h, DEPTH - GRAM + 1)
@@ -80,11 +84,12 @@ class Windows:
             begin[first[some]] = True
             new |= begin[valid]
             head = np.flatnonzero(new)
-            new |= (np.arange(len(valid)) - np.repeat(head, np.diff([*head, len(valid)]))) % MOST == 0
+            new |= (np.arange(len(valid)) - np.repeat(head, np.diff(np.append(head, len(valid))))) % MOST == 0
             head = np.flatnonzero(new)
-            parts.append((valid[head] + at, np.diff([*head, len(valid)]), a[head]))
+            size = np.diff(np.append(head, len(valid)))
+            parts.append((valid[head] + at, size, a[head], *((Prefix(chunk).span(valid[head], size + DEPTH - 1),) if hashed else ())))
         if not parts:
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, U)
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, U), *((np.empty(0, U),) if hashed else ())
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
     def owner(self, place: np.ndarray) -> np.ndarray:
@@ -156,17 +161,16 @@ class Snippets:
 
     def __init__(self, data: bytes, shared: dict[int, bytes], buckets: int):
         self.w = w = Windows(data)
-        place, n, anchor = w.runs()
+        place, n, anchor, h = w.runs(hashed=True)
         bucket, value = (anchor % U(buckets)).astype(np.int64), short(anchor)
-        keep = np.zeros(len(place), bool)
-        order = np.argsort(bucket, kind="stable")
-        for b, s in by_bucket(bucket[order]):
-            if b in shared:
-                keep[order[s]] = np.isin(value[order[s]], unsix(shared[b]))
-        self.place, self.n, self.bucket = place[keep], n[keep], bucket[keep]
+        known = np.concatenate([np.empty(0, U), *((U(b) << U(47)) | unsix(shared[b]) for b in sorted(shared))])
+        both = (bucket.astype(U) << U(47)) | value
+        at = np.searchsorted(known, both)
+        at[at == len(known)] = 0
+        keep = known[at] == both if len(known) else np.zeros(len(place), bool)
+        self.place, self.n, self.bucket, self.anchor = place[keep], n[keep], bucket[keep], value[keep]
         self.row = w.owner(self.place)
-        size = self.n + DEPTH - 1
-        h = Prefix(w.flat).span(self.place, size)
+        h = h[keep]
         order = np.lexsort((h, self.bucket))
         new = np.ones(len(order), bool)
         new[1:] = (h[order][1:] != h[order][:-1]) | (self.bucket[order][1:] != self.bucket[order][:-1])
@@ -181,31 +185,43 @@ class Snippets:
             head = self.head[s]
             size = self.n[head] + DEPTH - 1
             text = b"".join([self.w.bytes[p : p + z] for p, z in zip(self.place[head].tolist(), size.tolist(), strict=True)])
-            yield b, deflate(size.astype(np.uint8), self.least[s], np.frombuffer(text, np.uint8))
+            yield b, deflate(size.astype(np.uint8), self.least[s], np.frombuffer(six(self.anchor[head]), np.uint8), np.frombuffer(text, np.uint8))
 
 
 def match(parts: list[bytes]) -> list[bytes]:
     """A bucket's snippets from all blocks to matches: for each snippet of each block, runs of windows and
     the least id that has them.
 
-    Distinct snippets are indexed once; all of them stream through the index.
+    Distinct snippets whose anchor others have too are indexed once, and stream through the index.
+    A snippet that is alone with its anchor shares its windows with its own copies only.
     """
     ids: dict[bytes, int] = {}
-    kinds, least = [], []
+    kinds, least, anchors_ = [], [], []
     for p in parts:
-        size, own, text = inflate(p, "u1", "<i8", "u1")
+        size, own, anchor, text = inflate(p, "u1", "<i8", "u1", "u1")
         data, ends = text.tobytes(), np.cumsum(size, dtype=np.int64)
         kinds.append(np.fromiter((ids.setdefault(data[e - n : e], len(ids)) for e, n in zip(ends.tolist(), size.tolist(), strict=True)), np.int64, len(size)))
         least.append(own)
+        anchors_.append(unsix(anchor.tobytes()))
+    kind = np.concatenate(kinds)
     first = np.full(len(ids), NONE)
-    np.minimum.at(first, np.concatenate(kinds), np.concatenate(least))
-    index = RunLengthIndex(list(ids), DEPTH)
-    found = index.stream(index.group_least(first), NONE)
+    np.minimum.at(first, kind, np.concatenate(least))
+    anchor = np.empty(len(ids), U)
+    anchor[kind] = np.concatenate(anchors_)
+    _, group, many = np.unique(anchor, return_inverse=True, return_counts=True)
+    chosen = np.flatnonzero(many[group] > 1)
+    texts = list(ids)
+    index = RunLengthIndex([texts[j] for j in chosen.tolist()], DEPTH)
+    found = index.stream(index.group_least(first[chosen]), NONE)
     # windows of each distinct snippet, one after the other, as runs of equal least id
-    windows = index.sizes - DEPTH + 1
+    windows = np.fromiter(map(len, texts), np.int64, len(texts)) - DEPTH + 1
     text = np.repeat(np.arange(len(windows)), windows)
     within = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
-    value = found[index.at[text] + within]
+    value = first[text]
+    of = np.full(len(windows), -1)
+    of[chosen] = np.arange(len(chosen))
+    indexed = of[text] >= 0
+    value[indexed] = found[index.at[of[text[indexed]]] + within[indexed]]
     head = np.flatnonzero((within == 0) | np.concatenate([[True], value[1:] != value[:-1]]))
     size = np.diff(np.concatenate([head, [len(text)]]))
     owner, value = text[head], value[head]
@@ -254,34 +270,46 @@ def repeats(docs: DataFrame, *keep: str) -> tuple[DataFrame, list[T.StructField]
         columns = list(zip(*rows, strict=True)) or [[]] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    kinds = [pa.string(), pa.int32(), pa.binary()]
-    schema = "block string, bucket int, blob binary"
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["group", "block", "bucket", "blob"]
+    schema = "group long, block int, bucket int, blob binary"
 
     def send_anchors(batches):
         for b in batches:
-            for name, data in zip(b.column("block").to_pylist(), b.column("data"), strict=True):
-                yield batch([(name, k, blob) for k, blob in anchors(data.as_py(), buckets)], ["block", "bucket", "blob"], kinds)
+            for group, block, data in zip(b.column("group").to_pylist(), b.column("block").to_pylist(), b.column("data"), strict=True):
+                yield batch([(group, block, k, blob) for k, blob in anchors(data.as_py(), buckets)], names, kinds)
 
     def answer(with_: object):
         def run(table: pa.Table) -> pa.Table:
-            table = table.sort_by("block")
+            table = table.sort_by([("group", "ascending"), ("block", "ascending")])
             out = with_(table["blob"].to_pylist())
-            return pa.table([table["block"], table["bucket"].cast(pa.int32()), pa.array(out, pa.binary())], ["block", "bucket", "blob"])
+            return pa.table([table["group"], table["block"], table["bucket"], pa.array(out, pa.binary())], names)
 
         return run
 
     shared = materialise(own.mapInArrow(send_anchors, schema).groupBy("bucket").applyInArrow(answer(shared_anchors), schema).where(F.length("blob") > 0), "shared")
 
     def send_snippets(left: pa.Table, right: pa.Table) -> pa.Table:
-        name, known = left["block"][0].as_py() if left.num_rows else None, dict(zip(right["bucket"].to_pylist(), right["blob"].to_pylist(), strict=True))
-        rows = [(name, k, blob) for k, blob in Snippets(left["data"][0].as_py(), known, buckets).send()] if left.num_rows and known else []
-        return pa.Table.from_batches([batch(rows, ["block", "bucket", "blob"], kinds)])
+        rows = []
+        for group, block, data, known in joined(left, right):
+            if known[0]:
+                rows += [(group, block, k, blob) for k, blob in Snippets(data, known[0], buckets).send()]
+        return pa.Table.from_batches([batch(rows, names, kinds)])
 
-    snippets = own.join(shared.select("block").distinct(), "block", "left_semi").groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send_snippets, schema)
+    snippets = own.select("group", "block", "data").groupBy("group").cogroup(shared.withColumn("kind", F.lit(0)).groupBy("group")).applyInArrow(send_snippets, schema)
     found = materialise(snippets.groupBy("bucket").applyInArrow(answer(match), schema), "matches")
     return own, shared.withColumn("kind", F.lit(0)).unionByName(found.withColumn("kind", F.lit(1))), buckets, fields
 
 
+def joined(left: pa.Table, right: pa.Table):
+    """Blocks of a group with what is known of each: by kind, a blob for each bucket."""
+    known: dict = {}
+    for block, kind, bucket, blob in zip(*(right[c].to_pylist() for c in ("block", "kind", "bucket", "blob")), strict=True):
+        known.setdefault(block, ({}, {}))[kind][bucket] = blob
+    for group, block, data in zip(*(left[c] for c in ("group", "block", "data")), strict=True):
+        yield group.as_py(), block.as_py(), data.as_py(), known.get(block.as_py(), ({}, {}))
+
+
 def spans_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -297,20 +325,18 @@ def apply(docs: DataFrame, finish, fields: list[T.StructField], *keep: str) -> D
     arrow = to_arrow_schema(schema)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return arrow.empty_table()
-        side = [dict(), dict()]
-        for k, b, blob in zip(right["kind"].to_pylist(), right["bucket"].to_pylist(), right["blob"].to_pylist(), strict=True):
-            side[k][b] = blob
-        w, mask = removed(left["data"][0].as_py(), side[0], side[1], buckets)
-        null = w.table.column("_text").is_null().to_pylist()
-        rows = [finish(None if no else w.bytes[a : a + n], mask[a : a + n]) for a, n, no in zip(w.starts.tolist(), w.sizes.tolist(), null, strict=True)]
-        table = w.table.select(list(keep))
-        for name, column in zip(names, zip(*rows, strict=True), strict=True):
-            table = table.append_column(name, pa.array(column, arrow.field(name).type))
-        return table.cast(arrow)
-
-    return own.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(run, schema)
+        tables = [arrow.empty_table()]
+        for _, _, data, known in joined(left, right):
+            w, mask = removed(data, known[0], known[1], buckets)
+            null = w.table.column("_text").is_null().to_pylist()
+            rows = [finish(None if no else w.bytes[a : a + n], mask[a : a + n]) for a, n, no in zip(w.starts.tolist(), w.sizes.tolist(), null, strict=True)]
+            table = w.table.select(list(keep))
+            for name, column in zip(names, zip(*rows, strict=True), strict=True):
+                table = table.append_column(name, pa.array(column, arrow.field(name).type))
+            tables.append(table.cast(arrow))
+        return pa.concat_tables(tables)
+
+    return own.select("group", "block", "data").groupBy("group").cogroup(marks.groupBy("group")).applyInArrow(run, schema)
 
 
 SPANS = [

@@ -49,14 +49,16 @@ class RunLengthIndex:
 
     def _sort(self, text: np.ndarray, left: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows in suffix order (prefix doubling), and whether neighbours share `depth` symbols."""
-        n, bits = len(text), max(1, int(self.symbols - 1).bit_length())
-        word = max(1, 62 // bits)
+        n, base = len(text), np.uint64(self.symbols)
+        word = 1
+        while self.symbols ** (word + 1) < 1 << 64:
+            word += 1
         key = np.zeros(n, np.uint64)
-        padded = np.concatenate([text.astype(np.uint64), np.zeros(word, np.uint64)])
         for k in range(word):
-            part = padded[k : k + n].copy()
-            part[left <= k] = 0
-            key = (key << np.uint64(bits)) | part
+            key *= base
+            if k >= n:
+                continue
+            key[: n - k] += (text[k:] * (left[: n - k] > k)).astype(np.uint64)
 
         def ranks(key):
             order = np.argsort(key)
@@ -114,18 +116,21 @@ class RunLengthIndex:
     def stream(self, least: np.ndarray, missing) -> np.ndarray:
         """Matching statistics of the indexed texts against all of them, cut at `depth`.
 
-        All texts step backwards together, from their ends, by LF over the runs.  Result, text after
-        text and an end each: for every place with `depth` symbols, `least` of the group it is in.
+        All texts step backwards together, from their ends, by LF.  The runs are spread to a table of
+        rows for that time, so a step is a look-up.  Result, text after text and an end each: for
+        every place with `depth` symbols, `least` of the group it is in.
         """
         out = np.full(self.n, missing)
-        row, active = np.arange(len(self.sizes)), np.arange(len(self.sizes))
+        kind = np.int32 if self.n < 1 << 31 else np.int64
+        step = np.repeat((self.run_to - self.run_start).astype(kind), self.run_size) + np.arange(self.n, dtype=kind)
+        value = np.repeat(least, np.diff(np.concatenate([self.group_start, [self.n]])))
+        order = np.argsort(-self.sizes, kind="stable")  # the longest first, so those left are the first
+        row, end, size = order.astype(kind), (self.at + self.sizes)[order], self.sizes[order]
         for t in range(1, int(self.sizes.max(initial=0)) + 1):
-            stay = self.sizes[active] >= t
-            row, active = row[stay], active[stay]
-            run = np.searchsorted(self.run_start, row, side="right") - 1
-            row = self.run_to[run] + row - self.run_start[run]
+            stay = len(size) - int(np.searchsorted(size[::-1], t))
+            row, end, size = step[row[:stay]], end[:stay], size[:stay]
             if t >= self.depth:
-                out[self.at[active] + self.sizes[active] - t] = least[np.searchsorted(self.group_start, row, side="right") - 1]
+                out[end - t] = value[row]
         return out
 
     def _rank(self, c: int, row: int) -> int:
