@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from loomarray.dtypes import cast, cplx, half, lit, part, spark_type, wrap
 
-NAN, INF = F.lit(math.nan), F.lit(math.inf)
+NAN, INF = math.nan, math.inf
 KERNELS: dict[str, Callable] = {}
 ALIASES: dict[str, str] = {}
 
