@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 
@@ -48,47 +50,61 @@ class RunLengthIndex:
         self.n, self.at, self._rows, self._owner = n, at, rows, owner
 
     def _sort(self, text: np.ndarray, left: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows in suffix order (prefix doubling), and whether neighbours share `depth` symbols."""
-        n, base = len(text), np.uint64(self.symbols)
-        word = 1
-        while self.symbols ** (word + 1) < 1 << 64:
-            word += 1
-        key = np.zeros(n, np.uint64)
-        for k in range(word):
-            key *= base
-            if k >= n:
-                continue
-            key[: n - k] += (text[k:] * (left[: n - k] > k)).astype(np.uint64)
-
-        def ranks(key):
-            order = np.argsort(key)
-            step = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-            out = np.empty(n, np.int64)
-            out[order] = step
-            return out, order, int(step[-1]) + 1 if n else 0
+        """Rows in suffix order (prefix doubling), and whether neighbours share `depth` symbols.
 
-        rank, order, kinds = ranks(key) if n else (text, text, 0)
-        depth, kept = word, None
-        longest = int(left.max(initial=0))
+        Keys carry their place in the low bits, so sorting values sorts places.
+        """
+        n = len(text)
+        if not n:
+            return np.empty(0, np.int64), np.empty(0, bool)
+        low = np.uint64(n.bit_length())
+        place, mask = np.arange(n, dtype=np.uint64), np.uint64((1 << n.bit_length()) - 1)
+
+        def ranks(high: np.ndarray, next_: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+            """Dense ranks of keys (high, next_), and how many there are."""
+            if next_ is not None and 3 * n.bit_length() > 63:  # too many rows to pack
+                order = np.lexsort((next_, high))
+                new = (high[order][1:] != high[order][:-1]) | (next_[order][1:] != next_[order][:-1])
+            else:
+                key = high if next_ is None else (high << low) | next_
+                key = np.sort((key << low) | place)
+                order = (key & mask).astype(np.int64)
+                key >>= low
+                new = key[1:] != key[:-1]
+            step = np.zeros(n, np.uint64)
+            np.cumsum(new, out=step[1:])
+            out = np.empty(n, np.uint64)
+            out[order] = step
+            return out, int(step[-1]) + 1
 
-        def moved(rank, by):  # rank of what stands `by` symbols on; beyond the end, that of the end
-            out = np.concatenate([rank[by:], np.zeros(min(by, n), np.int64)])[:n]
-            out[left < by] = -1
+        def moved(rank: np.ndarray, by: int) -> np.ndarray:
+            """One more than the rank of what stands `by` symbols on; beyond the end, 0."""
+            out = np.zeros(n, np.uint64)
+            if by < n:
+                np.multiply(rank[by:] + np.uint64(1), left[: n - by] >= by, out=out[: n - by])
             return out
 
+        # the first word: symbols by doubling, as many as fit beside the place
+        word, key, base = 1, text.astype(np.uint64), self.symbols
+        while (2 * word) * math.log2(base) < 64 - n.bit_length():
+            more = np.zeros(n, np.uint64)
+            if word < n:
+                np.multiply(key[word:], left[: n - word] > word, out=more[: n - word])
+            key = key * np.uint64(base**word) + more
+            word *= 2
+        rank, kinds = ranks(key)
+        depth, kept = word, None
+        longest = int(left.max(initial=0))
         while True:
             if kept is None and 2 * depth >= self.depth:
-                # what is known at min(depth, self.depth) settles which rows share self.depth symbols
-                d = min(depth, self.depth)
-                kept = (rank, moved(rank, self.depth - d)) if depth <= self.depth else None
-                if kept is None:
-                    kept = self._exact(text, left), None
+                # ranks at min(depth, self.depth) settle which rows share self.depth symbols
+                kept = (rank, moved(rank, self.depth - depth)) if depth <= self.depth else (self._exact(text, left), None)
             if depth > longest or kinds == n:
                 break
-            rank, order, kinds = ranks((rank.astype(np.uint64) * np.uint64(n + 1)) + (moved(rank, depth) + 1).astype(np.uint64))
+            rank, kinds = ranks(rank, moved(rank, depth))
             depth *= 2
-        order = np.lexsort((owner, rank)) if kinds < n else order
-        a, b = kept
+        order = (np.sort((rank << low) | place) & mask).astype(np.int64)  # equal suffixes by their texts' order
+        a, b = kept or (rank, None)  # all apart, or none long enough
         a = a[order]
         same = a[1:] == a[:-1]
         if b is not None:
@@ -100,9 +116,9 @@ class RunLengthIndex:
     def _exact(self, text: np.ndarray, left: np.ndarray) -> np.ndarray:
         """Class of the first `depth` symbols, where a word holds more than that."""
         key = np.zeros(len(text), np.int64)
-        padded = np.concatenate([text, np.zeros(self.depth, np.int64)])
+        padded = np.concatenate([text, np.zeros(self.depth, text.dtype)])
         for k in range(self.depth):
-            key = key * self.symbols + np.where(left > k, padded[k : k + len(text)], 0).astype(np.int64)
+            key = key * self.symbols + np.where(left > k, padded[k : k + len(text)], 0)
         return key
 
     @property
