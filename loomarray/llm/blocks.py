@@ -9,12 +9,12 @@ from pyarrow import ipc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from loomarray.llm.common import bounded_batches, fresh_path, partitions
+from loomarray.llm.common import bounded_batches, fresh_path, partitions, turn_to_other_work
 
 #: A block holds rows of about so many bytes of text (or one row that has more).
 BLOCK = 2 << 20
 #: Blocks that travel together.
-GROUP = 8
+GROUP = 4
 #: A block never has more rows than a two-byte number can tell apart.
 ROWS = 60_000
 
@@ -41,6 +41,7 @@ def blocks(df: DataFrame, size_of: str, size: int = BLOCK) -> DataFrame:
     bounded_batches(spark)
 
     def build(batches):
+        turn_to_other_work()
         held, n, rows, count = [], 0, 0, 0
         base = TaskContext.get().partitionId() << 24
 

@@ -51,6 +51,27 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+#: What a Python worker may drop when it turns to other work: functions that clear caches.
+RELEASE: list = []
+
+
+def turn_to_other_work() -> None:
+    """At the start of memory-heavy work in a worker that may have served other stages: drop their caches."""
+    for clear in RELEASE:
+        clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system, where the C library can."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

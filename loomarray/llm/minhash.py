@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomarray.llm.common import id_text, materialise, partitions
+from loomarray.llm.common import give_back, id_text, materialise, partitions, turn_to_other_work
 from loomarray.llm.components import components, forest
 from loomarray.llm.hashing import U, mix
 from loomarray.llm.shingles import shingle_sets
@@ -144,6 +144,8 @@ def _meet(table: pa.Table) -> pa.Table:
     least = np.repeat(np.minimum.reduceat(who, head), np.diff([*head, len(key)]))
     some = who != least
     a, b = forest(who[some], least[some])
+    del keys, ids, key, who, order, new, least
+    give_back()
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -174,6 +176,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     texts = id_text(docs)
 
     def sketch(batches):
+        turn_to_other_work()
         for batch in batches:
             ids, data = batch.column("doc_id"), _bytes(batch.column("text"))
             n, digest, out = [], [], []
@@ -201,6 +204,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     members = materialise(classes.select("digest", "rep").join(clusters.join(sizes, "cluster"), "rep"), "members")
 
     def compute(batches):
+        turn_to_other_work()
         for batch in batches:
             data, digest = _bytes(batch.column("text")), batch.column("digest").to_pylist()
             keep, sets = [], []

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomarray.llm.common import id_text, texts_of
+from loomarray.llm.common import id_text, texts_of, turn_to_other_work
 
 #: Rows that the model is fitted on at most, those whose hashed doc_id is least.
 FIT_ROWS = 12_000
@@ -210,6 +210,7 @@ def score_quality(docs: DataFrame, gam: Gam, *keep: str) -> DataFrame:
     fields = [docs.schema[c] for c in keep]
 
     def score(batches):
+        turn_to_other_work()
         for batch in batches:
             texts = texts_of(batch, "_text")
             p = np.concatenate([np.empty(0), *(gam.score(matrix(texts[k : k + 512])) for k in range(0, len(texts), 512))])

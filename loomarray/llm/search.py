@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomarray.llm.common import fresh_path, id_text, materialise, partitions
+from loomarray.llm.common import fresh_path, give_back, id_text, materialise, partitions, turn_to_other_work
 from loomarray.llm.hashing import U
 from loomarray.llm.shingles import word_hashes
 from loomarray.llm.token_files import store
@@ -18,7 +18,7 @@ from loomarray.llm.token_files import store
 #: BM25's saturation and length parameters.
 K1, B = 1.2, 0.75
 #: Text behind a shard's index, documents of a block, queries of a chunk and of a step in it.
-SHARD, BLOCK, CHUNK, STEP = 72 << 20, 8, 1024, 128
+SHARD, BLOCK, CHUNK, STEP = 40 << 20, 8, 1024, 128
 #: Block maxima and impacts by document are kept for terms in this share of a shard's documents or
 #: more, the most frequent ones; lists of rarer terms are short and read whole.
 COMMON, MOST = 1 / 24, 1024
@@ -159,36 +159,38 @@ def build(docs: DataFrame, base: str):
     """Write the shards' indexes; returns rows (uri, documents, words) and, in buckets, what terms each has."""
 
     def run(batches):
-        held, ids, size = [], [], 0
+        turn_to_other_work()
+        parts, words, ids, size, offset = [], [], [], 0, 0
 
         def out():
-            parts, words, offset = [], [], 0
-            for texts in held:
-                own, term, tf, length = term_counts(texts)
-                parts.append((own + offset, term, tf))
-                words.append(length)
-                offset += len(texts)
-            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
             lengths = np.concatenate(words)
             order = np.argsort(lengths, kind="stable")
-            place = np.empty(len(order), np.int64)
+            place = np.empty(len(order), np.int32)
             place[order] = np.arange(len(order))
-            columns[0] = place[columns[0]]
-            uri = save_arrays(base, f"shard-{uuid.uuid4().hex}.npz", ids=np.concatenate(ids)[order], lengths=lengths[order], **invert(*columns))
+            own, term, tf = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
+            made = invert(place[own], term, tf)
+            del own, term, tf
+            uri = save_arrays(base, f"shard-{uuid.uuid4().hex}.npz", ids=np.concatenate(ids)[order], lengths=lengths[order], **made)
             return pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([len(lengths)], pa.int64()), pa.array([int(lengths.sum())], pa.int64())], ["uri", "documents", "words"])
 
         for batch in batches:
             texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
             for at in range(0, len(texts), 512):
                 some = texts[at : at + 512]
-                held.append(some)
+                own, term, tf, length = term_counts(some)
+                parts.append(((own + offset).astype(np.int32), term, np.minimum(tf, 65535).astype(np.uint16)))
+                words.append(length)
+                offset += len(some)
                 ids.append(batch.column("doc_id").slice(at, len(some)).to_numpy())
                 size += sum(map(len, some))
                 if size >= SHARD:
                     yield out()
-                    held, ids, size = [], [], 0
-        if held:
+                    parts, words, ids, size, offset = [], [], [], 0, 0
+                    give_back()
+        if words:
             yield out()
+        give_back()
 
     return docs.mapInArrow(run, "uri string, documents long, words long")
 

@@ -18,6 +18,8 @@ from itertools import chain, filterfalse
 
 import numpy as np
 
+from loomarray.llm.common import RELEASE
+
 #: Unicode's White_Space property.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
@@ -27,6 +29,7 @@ MEMO = 1_600_000
 SEGMENT_CHARS, CALL_CHARS = 1 << 15, 1 << 18
 
 _loaded: dict = {}
+RELEASE.append(_loaded.clear)
 
 
 def tokenizer(path: str):
