@@ -9,12 +9,12 @@ from pyarrow import ipc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from loomarray.llm.common import bounded_batches, fresh_path, partitions, turn_to_other_work
+from loomarray.llm.common import bounded_batches, fresh_path, give_back, partitions, turn_to_other_work
 
 #: A block holds rows of about so many bytes of text (or one row that has more).
 BLOCK = 2 << 20
 #: Blocks that travel together.
-GROUP = 4
+GROUP = 2
 #: A block never has more rows than a two-byte number can tell apart.
 ROWS = 60_000
 
@@ -63,6 +63,7 @@ def blocks(df: DataFrame, size_of: str, size: int = BLOCK) -> DataFrame:
                 held.append(batch.slice(start))
         if held:
             yield out()
+        give_back()
 
     table = f"blocks_{uuid.uuid4().hex}"
     packed = df.mapInArrow(build, "group long, block int, n_bytes long, data binary")

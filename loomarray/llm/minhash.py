@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     buckets = partitions(spark)
     meeting = max(1, -(-classes.count() * m * m // KEYS))
     keyed = classes.select("rep", "sketch").mapInArrow(lambda batches: _keys(batches, m, meeting), "bucket int, keys binary, own binary, ids binary")
-    candidates = keyed.groupBy("bucket").applyInArrow(_meet, "a long, b long")
+    candidates = materialise(keyed.groupBy("bucket").applyInArrow(_meet, "a long, b long"), "candidates")
     clusters = components(candidates).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
     members = materialise(classes.select("digest", "rep").join(clusters.join(sizes, "cluster"), "rep"), "members")
@@ -232,6 +232,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         label = table["label"].to_numpy() if "label" in table.column_names else None
         a, b = links(unit, [np.frombuffer(x, U) for x in table["hashes"].to_pylist()], percent, label)
         a, b = forest(rep[a], rep[b])
+        give_back()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     chunks = F.ceil(F.col("members") / CHUNK)

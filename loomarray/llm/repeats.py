@@ -279,6 +279,7 @@ def repeats(docs: DataFrame, *keep: str) -> tuple[DataFrame, list[T.StructField]
         for b in batches:
             for group, block, data in zip(b.column("group").to_pylist(), b.column("block").to_pylist(), b.column("data"), strict=True):
                 yield batch([(group, block, k, blob) for k, blob in anchors(data.as_py(), buckets)], names, kinds)
+        give_back()
 
     def answer(with_: object):
         def run(table: pa.Table) -> pa.Table:
