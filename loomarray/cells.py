@@ -388,17 +388,17 @@ def numbered(df: DataFrame, *order, name: str = I) -> tuple[DataFrame, int]:
     A range sort; then a row's place is its place in its partition and the rows of the partitions
     before.  Only a count for each partition comes to the driver.
     """
-    ordered = df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id())
-    part = F.call_function("shiftright", F.col("_m"), F.lit(33))
+    ordered = df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id())
+    part = F.call_function("shiftright", F.col("_place"), F.lit(33))
     counts = {r.p: r.n for r in ordered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     before, total = {}, 0
     for p in sorted(counts):
         before[p] = total
         total += counts[p]
     if not counts:
-        return ordered.withColumn(name, F.col("_m")).drop("_m"), 0
+        return ordered.withColumn(name, F.col("_place")).drop("_place"), 0
     lookup = F.element_at(F.create_map(*(F.lit(x) for kv in before.items() for x in kv)), part)
-    return ordered.withColumn(name, F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + lookup).drop("_m"), total
+    return ordered.withColumn(name, F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + lookup).drop("_place"), total
 
 
 def from_column(df: DataFrame, value: str | Column, order_by: Sequence, dtype=None) -> Array:
@@ -466,3 +466,91 @@ def _operators() -> None:
 
 
 _operators()
+
+
+# ---- functions of any array-like, where the class has methods
+def ndim(a) -> int:
+    return asarray(a).ndim
+
+
+def shape(a) -> tuple[int, ...]:
+    return asarray(a).shape
+
+
+def size(a) -> int:
+    return asarray(a).size
+
+
+def item(a, *args):
+    return asarray(a).item(*args)
+
+
+def tolist(a):
+    return asarray(a).tolist()
+
+
+def tobytes(a, order: str = "C") -> bytes:
+    return asarray(a).tobytes(order)
+
+
+def view(a, dtype=None) -> Array:
+    """The same bytes as another type of the same size; without a type, the array."""
+    a = asarray(a)
+    if dtype is None or np.dtype(dtype) == a.dtype:
+        return a
+    d = dt.dtype(dtype)
+    return _bytes(a, d, lambda x: x.view(d))
+
+
+def byteswap(a) -> Array:
+    a = asarray(a)
+    return _bytes(a, a.dtype, lambda x: x.byteswap())
+
+
+def _bytes(a: Array, d: np.dtype, f) -> Array:
+    """A change of the bytes of values, batch by batch (bits of floats have no Column form)."""
+    import pyarrow as pa
+
+    from loomarray.operators.dense import _in, arrow
+
+    old = a.dtype
+    ratio = old.itemsize / d.itemsize
+    if a.shape and a.shape[-1] * ratio % 1 or (not a.shape and ratio != 1):
+        raise ValueError("the last axis must hold a whole number of values of the new type")
+    if ratio < 1:
+        raise ValueError("to a wider type, only by way of tobytes and frombuffer")
+    n = int(ratio)
+
+    def run(batches):
+        for b in batches:
+            x = np.ascontiguousarray(f(np.ascontiguousarray(_in(b.column(1), old))))
+            index = np.repeat(b.column(0).to_numpy() * n, n) + np.tile(np.arange(n), b.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(index), arrow(x, d)], [I, V])
+
+    schema = T.StructType([T.StructField(I, T.LongType()), T.StructField(V, dt.spark_type(d))])
+    new = (*a.shape[:-1], a.shape[-1] * n) if a.shape else ()
+    return Array.of(a.df.mapInArrow(run, schema), new, d)
+
+
+def _methods() -> None:
+    """Every function whose first argument is an array is also a method."""
+    names = """sum prod mean max min ptp argmax argmin var std median all any cumsum cumprod sort argsort partition argpartition
+    reshape flatten ravel squeeze swapaxes transpose repeat take put choose compress clip round nonzero searchsorted diagonal trace dot conj conjugate
+    real imag copy fill byteswap view tofile count_nonzero around""".split()
+    import loomarray
+
+    def method(name):
+        def run(self, *args, **kw):
+            return getattr(loomarray, name)(self, *args, **kw)
+
+        run.__name__ = name
+        return run
+
+    for name in names:
+        if name in ("real", "imag"):
+            setattr(Array, name, property(lambda self, name=name: elementwise(name, self)))
+        else:
+            setattr(Array, name, method(name))
+
+
+_methods()

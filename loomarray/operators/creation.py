@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loomarray import dtypes as dt
-from loomarray.array import Array, asarray, coords, generated, local, mapped
+from loomarray.cells import Array, asarray, coords, generated, local, mapped
 
 
 def _shape(shape) -> tuple[int, ...]:
@@ -68,7 +68,7 @@ asfortranarray = ascontiguousarray
 
 
 def asarray_chkfinite(a, dtype=None) -> Array:
-    from loomarray.array import elementwise
+    from loomarray.cells import elementwise
     from loomarray.operators.reductions import all as all_
 
     a = asarray(a, dtype)
@@ -169,7 +169,7 @@ def triu(a, k: int = 0) -> Array:
 
 def diagflat(a, k: int = 0) -> Array:
     """A square matrix with the cells on its k-th diagonal."""
-    from loomarray.array import gather
+    from loomarray.cells import gather
 
     a = asarray(a)
     n = a.size + abs(k)
@@ -189,7 +189,7 @@ def diag(a, k: int = 0) -> Array:
 
 
 def vander(x, n: int | None = None, increasing: bool = False) -> Array:
-    from loomarray.array import elementwise
+    from loomarray.cells import elementwise
 
     x = asarray(x)
     n = x.size if n is None else n
@@ -220,9 +220,9 @@ def fromstring(text: str, dtype=np.float64, count: int = -1, sep: str = " ") ->
 
 def fromfile(path: str, dtype=np.float64, count: int = -1, sep: str = "", offset: int = 0) -> Array:
     """Raw values of a file: fixed-width records that Spark reads, so that any store does."""
-    from loomarray.array import session
+    from loomarray.cells import session
     from loomarray.operators.dense import arrow
-    from loomarray.array import I, V
+    from loomarray.cells import I, V
     import pyarrow as pa
     from pyspark.sql import types as T
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomarray import dtypes as dt
-from loomarray.array import I, V, Array, coords, ravel
+from loomarray.cells import I, V, Array, coords, ravel
 
 
 def _in(column, d: np.dtype) -> np.ndarray:

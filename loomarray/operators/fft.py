@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loomarray import dtypes as dt
-from loomarray.array import Array, asarray, axes_of, coords, generated, mapped
+from loomarray.cells import Array, asarray, axes_of, coords, generated, mapped
 from loomarray.operators.dense import along
 from loomarray.operators.shape import array_split, moveaxis, pad, roll
 

@@ -7,7 +7,7 @@ import contextlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomarray.array import I, V, Array, asarray, coords
+from loomarray.cells import I, V, Array, asarray, coords
 from loomarray.operators.dense import _in
 
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loomarray import dtypes as dt
-from loomarray.array import I, V, Array, asarray, axes_of, coords, gather, generated, mapped, moved, ravel, size_of
+from loomarray.cells import I, V, Array, asarray, axes_of, coords, gather, generated, mapped, moved, ravel, size_of
 
 I64 = np.dtype("int64")
 
@@ -399,7 +399,7 @@ def mask_indices(n: int, mask_func, k: int = 0):
 
 # ---- comparisons of whole arrays
 def array_equal(a, b, equal_nan: bool = False) -> bool:
-    from loomarray.array import elementwise
+    from loomarray.cells import elementwise
     from loomarray.operators.reductions import all as all_
 
     a, b = asarray(a), asarray(b)
@@ -412,7 +412,7 @@ def array_equal(a, b, equal_nan: bool = False) -> bool:
 
 
 def array_equiv(a, b) -> bool:
-    from loomarray.array import elementwise
+    from loomarray.cells import elementwise
     from loomarray.operators.reductions import all as all_
 
     a, b = asarray(a), asarray(b)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loomarray import dtypes as dt
-from loomarray.array import I, V, Array, asarray, axes_of, coords, elementwise, mapped, ravel, size_of
+from loomarray.cells import I, V, Array, asarray, axes_of, coords, elementwise, mapped, ravel, size_of
 from loomarray.functions import elementwise as ew
 from loomarray.operators import reductions as red
 from loomarray.operators.dense import blocks

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loomarray import dtypes as dt
-from loomarray.array import Array, asarray, elementwise, mapped
+from loomarray.cells import Array, asarray, elementwise, mapped
 from loomarray.functions import elementwise as ew
 
 

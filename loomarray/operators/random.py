@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomarray import dtypes as dt
-from loomarray.array import I, V, Array, asarray, local, session, size_of
+from loomarray.cells import I, V, Array, asarray, local, session, size_of
 from loomarray.operators.dense import arrow
 
 BLOCK = 1 << 16
@@ -104,7 +104,7 @@ class _Common:
         small = isinstance(x, (int, np.integer)) and x <= BLOCK or not isinstance(x, (int, np.integer)) and asarray(x).size <= BLOCK
         if small:
             return local(self.source.own.permutation(x if isinstance(x, (int, np.integer)) else asarray(x).numpy()))
-        from loomarray.array import generated, numbered
+        from loomarray.cells import generated, numbered
         from loomarray.operators.indexing import take
 
         a = generated((int(x),), np.int64, lambda i: i) if isinstance(x, (int, np.integer)) else asarray(x)

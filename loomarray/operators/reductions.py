@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loomarray import dtypes as dt
-from loomarray.array import I, V, Array, asarray, axes_of, coords, elementwise, mapped, moved, ravel
+from loomarray.cells import I, V, Array, asarray, axes_of, coords, elementwise, mapped, moved, ravel
 from loomarray.functions import elementwise as ew
 
 F64, I64, U64, BOOL = (np.dtype(x) for x in ("float64", "int64", "uint64", "bool"))
@@ -210,7 +210,7 @@ def std(a, axis=None, ddof: float = 0, keepdims: bool = False, where=None) -> Ar
 
 def _at(a: Array, q: list[float]) -> list[float]:
     """Quantiles of all values, through a range sort and the two places around each: nothing is gathered."""
-    from loomarray.array import numbered
+    from loomarray.cells import numbered
 
     ordered, n = numbered(a.df.select(V), V)
     want = sorted({int(x) for p in q for x in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)), n - 1)})

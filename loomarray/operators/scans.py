@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomarray import dtypes as dt
-from loomarray.array import I, V, Array, asarray, axes_of, coords, elementwise, ravel
+from loomarray.cells import I, V, Array, asarray, axes_of, coords, elementwise, ravel
 from loomarray.functions import elementwise as ew
 
 #: Cells of a line that one window holds.
@@ -55,7 +55,7 @@ def cumsum(a, axis=None, dtype=None, chunk: int = CHUNK) -> Array:
     if d.kind == "c":
         parts = [Array(x.frame, x.index, x.value[p].cast("double"), x.shape, np.float64) for p in ("re", "im")]
         re, im = (cumsum(p, k, chunk=chunk) for p in parts)
-        from loomarray.array import mapped
+        from loomarray.cells import mapped
 
         return mapped(lambda r, i: dt.cplx(r, i, d), d, re, im)
     wide = "double" if d.kind == "f" else "decimal(38,0)" if d.itemsize == 8 and a.dtype.itemsize == 8 else "long"

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loomarray import dtypes as dt
-from loomarray.array import I, V, Array, asarray, axes_of, coords, gather, generated, mapped, moved, ravel, size_of, stretched
+from loomarray.cells import I, V, Array, asarray, axes_of, coords, gather, generated, mapped, moved, ravel, size_of, stretched
 
 
 def reshape(a, shape) -> Array:
@@ -373,7 +373,7 @@ def broadcast_to(a, shape) -> Array:
     if a.shape == shape:
         return a
     if a.gen is not None:
-        from loomarray.array import broadcast_index
+        from loomarray.cells import broadcast_index
 
         return generated(shape, a.dtype, lambda i: a.gen(broadcast_index(i, shape, a.shape)))
     return Array.of(stretched(a, shape), shape, a.dtype)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomarray import dtypes as dt
-from loomarray.array import I, V, Array, asarray, axes_of, coords, gather, mapped, numbered, ravel
+from loomarray.cells import I, V, Array, asarray, axes_of, coords, gather, mapped, numbered, ravel
 from loomarray.functions import elementwise as ew
 from loomarray.operators.scans import lines
 
@@ -290,7 +290,7 @@ def trim_zeros(a, trim: str = "fb") -> Array:
 # ---- counting
 def bincount(x, weights=None, minlength: int = 0) -> Array:
     """How often each whole number from 0 occurs, or the sum of its weights."""
-    from loomarray.array import session
+    from loomarray.cells import session
 
     x = asarray(x)
     if x.dtype.kind not in "iu" and x.dtype.kind != "b":
@@ -404,7 +404,7 @@ def histogram2d(x, y, bins=10, range=None, density: bool = False, weights=None):
 
 def histogramdd(sample, bins=10, range=None, density: bool = False, weights=None):  # noqa: A002
     """Counts over a grid of bins; `sample` is a matrix with a column, or a list with an array, for each dimension."""
-    from loomarray.array import session
+    from loomarray.cells import session
 
     if not isinstance(sample, (list, tuple)):
         from loomarray.operators.shape import unstack
@@ -441,7 +441,7 @@ def histogramdd(sample, bins=10, range=None, density: bool = False, weights=None
 
 def cov(m, y=None, rowvar: bool = True, bias: bool = False, ddof=None) -> Array:
     """Covariances of variables (rows): products of centred values, summed by a join on the observation."""
-    from loomarray.array import elementwise
+    from loomarray.cells import elementwise
     from loomarray.operators.linalg import matmul
     from loomarray.operators.reductions import mean
     from loomarray.operators.shape import atleast_2d, concatenate, transpose
@@ -460,7 +460,7 @@ def cov(m, y=None, rowvar: bool = True, bias: bool = False, ddof=None) -> Array:
 
 
 def corrcoef(x, y=None, rowvar: bool = True) -> Array:
-    from loomarray.array import elementwise
+    from loomarray.cells import elementwise
     from loomarray.operators.linalg import diagonal
 
     c = cov(x, y, rowvar)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from loomarray.array import Array
+from loomarray.cells import Array
 
 
 def _kind(x):

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loomarray import dtypes as dt
-from loomarray.array import Array, asarray, elementwise, mapped
+from loomarray.cells import Array, asarray, elementwise, mapped
 from loomarray.functions import elementwise as ew
 
 
@@ -158,7 +158,7 @@ def interp(x, xp, fp, left=None, right=None) -> Array:
 
 def packbits(a, axis=None, bitorder: str = "big") -> Array:
     """Eight truth values to a byte along an axis (flattened without one)."""
-    from loomarray.array import I, V, axes_of, coords, ravel
+    from loomarray.cells import I, V, axes_of, coords, ravel
 
     a = asarray(a)
     if axis is None:
@@ -175,7 +175,7 @@ def packbits(a, axis=None, bitorder: str = "big") -> Array:
 
 def unpackbits(a, axis=None, count=None, bitorder: str = "big") -> Array:
     """The bits of bytes along an axis."""
-    from loomarray.array import axes_of, gather_bits
+    from loomarray.cells import axes_of, gather_bits
 
     a = asarray(a)
     if axis is None:
