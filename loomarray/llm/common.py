@@ -38,7 +38,30 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more, and let Spark clear their shuffles."""
+    for df in tables:
+        jvm, path = df.sparkSession._jvm, df.__dict__.pop("_shared_path", None)
+        if path:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+    if tables:
+        spark = tables[0].sparkSession
+        del tables
+        clear_shuffles(spark)
+
+
+def clear_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of finished jobs go when the driver collects its garbage; have it do so now."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomarray.llm.common import materialise
+from loomarray.llm.common import discard, materialise
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,8 +56,8 @@ def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     seen = None
     while True:
         if (seen[0] if seen else stars.count()) <= one_task:
-            stars = stars.coalesce(1).mapInArrow(_local, "a long, b long")
-            stars = materialise(stars, "edges")
+            old, stars = stars, materialise(stars.coalesce(1).mapInArrow(_local, "a long, b long"), "edges")
+            discard(old)
             break
         # large star: the greater neighbours of a node go to the least node near it
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -69,7 +69,8 @@ def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
-        stars = materialise(small.distinct(), "edges")
+        old, stars = stars, materialise(small.distinct(), "edges")
+        discard(old)
         # done when every edge leads from a node with one edge to a node that leads nowhere
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomarray.llm.common import give_back, id_text, materialise, partitions, turn_to_other_work
+from loomarray.llm.common import discard, give_back, id_text, materialise, partitions, turn_to_other_work
 from loomarray.llm.components import components, forest
 from loomarray.llm.hashing import U, mix
 from loomarray.llm.shingles import shingle_sets
@@ -202,6 +202,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     clusters = components(candidates).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
     members = materialise(classes.select("digest", "rep").join(clusters.join(sizes, "cluster"), "rep"), "members")
+    discard(candidates)
 
     def compute(batches):
         turn_to_other_work()
@@ -240,7 +241,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     leads = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("members")) < LEADERS
     dealt = sets.withColumn("chunk", F.explode(F.when((chunks > 1) & leads, F.sequence(F.lit(0).cast("long"), chunks.cast("long") - 1)).otherwise(F.array(own_chunk))))
     links_1 = materialise(deal(dealt).groupBy("task").applyInArrow(compare, "a long, b long"), "links")
-    found = links_1
+    found, done = links_1, [sets, members]
     large = sets.where(F.col("members") > CHUNK)
     if not large.isEmpty():
         labels = components(links_1)
@@ -256,12 +257,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         both = F.array_distinct(F.concat(column(own_chunk), F.when(F.col("aside"), line).otherwise(F.array().cast("array<bigint>"))))
         again = sided.where("all > most").withColumn("chunk", F.explode(both.cast("array<bigint>"))).select("rep", "cluster", "chunk", "label", "hashes")
         links_2 = materialise(deal(again).groupBy("task").applyInArrow(compare, "a long, b long"), "links")
-        found = links_1.unionByName(links_2)
+        found, done = links_1.unionByName(links_2), [*done, labelled]
+    discard(*done)
     joined = components(found).select(F.col("node").alias("rep"), "component")
     of_class = classes.select("digest", "rep").join(joined, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     # rows of one doc_id in classes of different components are one node
     out = hashed.drop("sketch").join(of_class, "digest", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = materialise(out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), "near-duplicates")
+    discard(hashed, classes)
+    return out
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

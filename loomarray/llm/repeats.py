@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomarray.llm.blocks import blocks, unpack_batch
-from loomarray.llm.common import give_back, materialise, partitions, turn_to_other_work
+from loomarray.llm.common import clear_shuffles, give_back, materialise, partitions, turn_to_other_work
 from loomarray.llm.hashing import U, Prefix, grams, sliding_min
 from loomarray.llm.rlindex import RunLengthIndex
 
@@ -292,6 +292,8 @@ def repeats(docs: DataFrame, *keep: str) -> tuple[DataFrame, list[T.StructField]
 
     shared = materialise(own.mapInArrow(send_anchors, schema).groupBy("bucket").applyInArrow(answer(shared_anchors), schema).where(F.length("blob") > 0), "shared")
 
+    clear_shuffles(spark)
+
     def send_snippets(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         for group, block, data, known in joined(left, right):
@@ -302,6 +304,8 @@ def repeats(docs: DataFrame, *keep: str) -> tuple[DataFrame, list[T.StructField]
 
     snippets = own.select("group", "block", "data").groupBy("group").cogroup(shared.withColumn("kind", F.lit(0)).groupBy("group")).applyInArrow(send_snippets, schema)
     found = materialise(snippets.groupBy("bucket").applyInArrow(answer(match), schema), "matches")
+    del snippets
+    clear_shuffles(spark)
     return own, shared.withColumn("kind", F.lit(0)).unionByName(found.withColumn("kind", F.lit(1))), buckets, fields
 
 

@@ -78,10 +78,12 @@ def edited(text: str, following: str) -> str:
 
 def range_of(doc_id: Column, bounds: list[int]) -> Column:
     """The number of bounds below an id, found in two steps over about the square root of their number."""
+    if not bounds:
+        return F.lit(0)
     step = max(1, math.isqrt(len(bounds)))
     rows = [bounds[i : i + step] for i in range(0, len(bounds), step)]
     below = lambda array: F.size(F.filter(array, lambda b: b < doc_id))
-    lit = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<bigint>")
+    lit = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
     coarse = below(lit([r[-1] for r in rows]))
     fine = F.get(F.array(*(lit(r) for r in rows)), coarse)
     return coarse * step + F.when(fine.isNotNull(), below(fine)).otherwise(0)
@@ -111,7 +113,7 @@ def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     rows = id_text(docs)
     p = F.when(F.col("doc_id").isNull(), -1).otherwise(range_of(F.col("doc_id"), bounds)).cast("int")
     lowest = F.lit(-1 if nulls else 0)  # what comes after it is the very first
-    first = F.col("doc_id").isin(bounds) if len(bounds) <= 64 else F.array_contains(F.array(*map(F.lit, bounds)), F.col("doc_id"))
+    first = F.col("doc_id").isin(bounds)  # Spark makes a set of it
     after = F.when(F.col("doc_id") == most, lowest).when(first, F.col("_p") + 1) if n else F.lit(None).cast("int")
     if n and nulls:
         top_null = F.when(F.col("doc_id").isNull(), F.lit(0))  # null ids come next after the lowest range
