@@ -45,9 +45,18 @@ def array_str(a, **kw) -> str:
 
 def array_repr(a, **kw) -> str:
     a = asarray(a)
-    text = array2string(a, separator=", ", prefix="array(", **kw)
-    plain = a.dtype.name in ("float64", "int64", "bool", "complex128")
-    return f"array({text})" if plain else f"array({text}, dtype={a.dtype.name})"
+    o = np.get_printoptions()
+    text = "array(" + array2string(a, separator=", ", prefix="array(", suffix=")", **kw)
+    extras = []
+    if a.size > o["threshold"]:
+        extras.append(f"shape={a.shape}")
+    if a.dtype.name not in ("float64", "int64", "bool", "complex128"):
+        extras.append(f"dtype={a.dtype.name}")
+    if not extras:
+        return text + ")"
+    text, more = text + ",", ", ".join(extras) + ")"
+    last = len(text) - (text.rfind("\n") + 1)
+    return text + (" " if last + len(more) + 1 <= o["linewidth"] else "\n" + " " * len("array(")) + more
 
 
 format_float_positional = np.format_float_positional
