@@ -274,4 +274,4 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     Rows of one doc_id are one document and stay or go together; rows without a doc_id stay.
     """
     kept = near_duplicates(docs, words, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").unionByName(docs.where("doc_id is null"))
+    return docs.join(kept.hint("merge"), F.col("doc_id") == F.col("_kept"), "left_semi").unionByName(docs.where("doc_id is null"))

@@ -163,5 +163,5 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
     is taken.  A row without a doc_id goes by what is taken of such rows.
     """
     copies = mix(docs, weights, most, seed).groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(copies.where("_copies > 0"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    joined = docs.join(copies.where("_copies > 0").hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
