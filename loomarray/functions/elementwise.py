@@ -195,7 +195,8 @@ def floor_divide(loop, a, b):
         exact = divided(a - m, b)
         near = _floor(exact)
         near = F.when(exact - near > 0.5, near + 1.0).otherwise(near)
-        out = F.when(b == 0, divided(a, b)).when(exact == 0, F.when(is_negative(a) != is_negative(b), F.lit(-0.0)).otherwise(0.0)).otherwise(near)
+        far = F.when((a == 0) | (is_negative(a) == is_negative(b)), 0.0).otherwise(-1.0)
+        out = F.when(b == 0, divided(a, b)).when((F.abs(b) == math.inf) & (F.abs(a) != math.inf) & ~F.isnan(a), far).when(exact == 0, F.when(is_negative(a) != is_negative(b), F.lit(-0.0)).otherwise(0.0)).otherwise(near)
         return shaped(F.when(F.isnan(m) & (b != 0), F.when(F.isnan(a) | F.isnan(b) | (F.abs(a) == math.inf), NAN).otherwise(out)).otherwise(out), loop)
     wide = "decimal(38,0)" if loop.itemsize == 8 else "long"
     a, b = a.cast(wide), b.cast(wide)
@@ -342,7 +343,7 @@ def gcd(loop, a, b):
 
 @kernel("lcm")
 def lcm(loop, a, b):
-    wide = "decimal(38,0)" if loop.itemsize == 8 else "long"
+    wide = "decimal(38,0)" if loop.itemsize >= 4 else "long"
     g = gcd(loop, a, b).cast(wide)
     x, y = F.abs(a.cast(wide)), F.abs(b.cast(wide))
     return wrap(F.when(g == 0, F.lit(0).cast(wide)).otherwise(F.floor(x / F.when(g == 0, F.lit(1).cast(wide)).otherwise(g)).cast(wide) * y), loop)
