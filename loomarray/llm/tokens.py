@@ -23,6 +23,8 @@ from loomarray.llm.common import RELEASE
 #: Unicode's White_Space property.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: Marks that compose with ASCII letters; a comma or full stop at the end of a word.
+MARK, STOP = re.compile("[\u0300-\u036f]"), re.compile(rb"(?<=[a-z])(?=[,.] )")
 #: At most so many pieces are remembered in a worker; the others are encoded each time they occur.
 MEMO = 1_600_000
 #: Texts longer than this are cut at safe boundaries, and about so much is encoded in one call.
@@ -141,7 +143,14 @@ class Ids:
         self.memo: dict = _loaded.setdefault(("memo", path, dtype), {})
 
     def pieces(self, text: str) -> list:
-        return text.encode().split() if self.words else PIECE.findall(text)
+        if not self.words:
+            return PIECE.findall(text)
+        data = text.encode()
+        # The library lowers letters and parts them from other signs; doing both first makes pieces
+        # recur.  Not where that could touch a special string, or a letter that a mark composes with.
+        if b"<|" in data or not (text.isascii() or MARK.search(text) is None):
+            return data.split()
+        return STOP.sub(b" ", data.lower()).split()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut_up = [self.pieces(x) for x in texts]
