@@ -22,7 +22,7 @@ def crc(ids):
 def test_pieces_are_safe(rows, path):
     from loomarray.llm.tokens import Ids, Lengths
 
-    texts = [t or "" for _, t, *_ in rows] + ["don't  stop\r\n\n  now ", "  lead", "trail  ", "á é", "1234 5a6", "　wide　", "x<|endoftext|>y <|endoftext|>", "﻿mark", "İSTANBUL ΣΑΣ"]
+    texts = [t or "" for _, t, *_ in rows] + ["don't  stop\r\n\n  now ", "  lead", "trail  ", "á é", "1234 5a6", "　wide　", "x<|endoftext|>y <|endoftext|>", "﻿mark", "İSTANBUL ΣΑΣ", "H\u0331 h\u0331 A\u030a, Stop. It's, A.b, C", "<|ENDOFTEXT|> Up"]
     expected = ids_of(path, texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in Ids(path)(texts)] == expected
     assert Lengths(path)(texts).tolist() == [len(x) for x in expected]
