@@ -95,6 +95,30 @@ def give_back() -> None:
         return
 
 
+def lean(f):
+    """`f`, after which what it used goes back to the system: workers wait for work with little memory."""
+
+    def run(table):
+        try:
+            return f(table)
+        finally:
+            give_back()
+
+    return run
+
+
+def lean2(f):
+    """`lean` for functions of two tables (Spark counts the parameters)."""
+
+    def run(left, right):
+        try:
+            return f(left, right)
+        finally:
+            give_back()
+
+    return run
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomarray.llm.common import discard, give_back, id_text, materialise, partitions, turn_to_other_work
+from loomarray.llm.common import discard, give_back, id_text, lean, materialise, partitions, turn_to_other_work
 from loomarray.llm.components import components, forest
 from loomarray.llm.hashing import U, mix
 from loomarray.llm.shingles import shingle_sets
@@ -144,8 +144,6 @@ def _meet(table: pa.Table) -> pa.Table:
     least = np.repeat(np.minimum.reduceat(who, head), np.diff([*head, len(key)]))
     some = who != least
     a, b = forest(who[some], least[some])
-    del keys, ids, key, who, order, new, least
-    give_back()
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -191,6 +189,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
                     digest.append(_digest(flat[e - c : e]) if c else None)
                     out.append(found[i].tobytes() if c else None)
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate([np.empty(0, np.int64), *n])), pa.array(digest, pa.binary()), pa.array(out, pa.binary())], ["doc_id", "n_shingles", "digest", "sketch"])
+            del data, n, digest, out
+        give_back()
 
     hashed = materialise(texts.mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, sketch binary"), "sketches")
     usable = hashed.where("doc_id is not null and digest is not null")
@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     buckets = partitions(spark)
     meeting = max(1, -(-classes.count() * m * m // KEYS))
     keyed = classes.select("rep", "sketch").mapInArrow(lambda batches: _keys(batches, m, meeting), "bucket int, keys binary, own binary, ids binary")
-    candidates = materialise(keyed.groupBy("bucket").applyInArrow(_meet, "a long, b long"), "candidates")
+    candidates = materialise(keyed.groupBy("bucket").applyInArrow(lean(_meet), "a long, b long"), "candidates")
     clusters = components(candidates).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
     members = materialise(classes.select("digest", "rep").join(clusters.join(sizes, "cluster"), "rep"), "members")
@@ -233,9 +233,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         label = table["label"].to_numpy() if "label" in table.column_names else None
         a, b = links(unit, [np.frombuffer(x, U) for x in table["hashes"].to_pylist()], percent, label)
         a, b = forest(rep[a], rep[b])
-        give_back()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
+    compare = lean(compare)
     chunks = F.ceil(F.col("members") / CHUNK)
     own_chunk = F.pmod(F.xxhash64("rep"), chunks).cast("long")
     leads = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("members")) < LEADERS

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomarray.llm.blocks import blocks, unpack_batch
-from loomarray.llm.common import clear_shuffles, give_back, materialise, partitions, turn_to_other_work
+from loomarray.llm.common import clear_shuffles, give_back, lean, lean2, materialise, partitions, turn_to_other_work
 from loomarray.llm.hashing import U, Prefix, grams, sliding_min
 from loomarray.llm.rlindex import RunLengthIndex
 
@@ -285,10 +285,9 @@ def repeats(docs: DataFrame, *keep: str) -> tuple[DataFrame, list[T.StructField]
         def run(table: pa.Table) -> pa.Table:
             table = table.sort_by([("group", "ascending"), ("block", "ascending")])
             out = with_(table["blob"].to_pylist())
-            give_back()
             return pa.table([table["group"], table["block"], table["bucket"], pa.array(out, pa.binary())], names)
 
-        return run
+        return lean(run)
 
     shared = materialise(own.mapInArrow(send_anchors, schema).groupBy("bucket").applyInArrow(answer(shared_anchors), schema).where(F.length("blob") > 0), "shared")
 
@@ -299,10 +298,9 @@ def repeats(docs: DataFrame, *keep: str) -> tuple[DataFrame, list[T.StructField]
         for group, block, data, known in joined(left, right):
             if known[0]:
                 rows += [(group, block, k, blob) for k, blob in Snippets(data, known[0], buckets).send()]
-        give_back()
         return pa.Table.from_batches([batch(rows, names, kinds)])
 
-    snippets = own.select("group", "block", "data").groupBy("group").cogroup(shared.withColumn("kind", F.lit(0)).groupBy("group")).applyInArrow(send_snippets, schema)
+    snippets = own.select("group", "block", "data").groupBy("group").cogroup(shared.withColumn("kind", F.lit(0)).groupBy("group")).applyInArrow(lean2(send_snippets), schema)
     found = materialise(snippets.groupBy("bucket").applyInArrow(answer(match), schema), "matches")
     del snippets
     clear_shuffles(spark)
@@ -342,10 +340,9 @@ def apply(docs: DataFrame, finish, fields: list[T.StructField], *keep: str) -> D
             for name, column in zip(names, zip(*rows, strict=True), strict=True):
                 table = table.append_column(name, pa.array(column, arrow.field(name).type))
             tables.append(table.cast(arrow))
-        give_back()
         return pa.concat_tables(tables)
 
-    return own.select("group", "block", "data").groupBy("group").cogroup(marks.groupBy("group")).applyInArrow(run, schema)
+    return own.select("group", "block", "data").groupBy("group").cogroup(marks.groupBy("group")).applyInArrow(lean2(run), schema)
 
 
 SPANS = [
