@@ -84,14 +84,25 @@ class RunLengthIndex:
                 np.multiply(rank[by:] + np.uint64(1), left[: n - by] >= by, out=out[: n - by])
             return out
 
-        # the first word: symbols by doubling, as many as fit beside the place
-        word, key, base = 1, text.astype(np.uint64), self.symbols
-        while (2 * word) * math.log2(base) < 64 - n.bit_length():
+        # the first word: as many symbols as fit beside the place, by doubling and then the rest
+        base, bits = self.symbols, 63 - n.bit_length()
+        most = max(1, min(self.depth, int(bits / math.log2(max(2, base)))))
+        words = [text.astype(np.uint64)]  # of 1, 2, 4, ... symbols
+
+        def joined(key: np.ndarray, word: int, other: np.ndarray, size: int) -> np.ndarray:
             more = np.zeros(n, np.uint64)
             if word < n:
-                np.multiply(key[word:], left[: n - word] > word, out=more[: n - word])
-            key = key * np.uint64(base**word) + more
-            word *= 2
+                np.multiply(other[word:], left[: n - word] > word, out=more[: n - word])
+            return key * np.uint64(base**size) + more
+
+        while 2 << (len(words) - 1) <= most:
+            half = 1 << (len(words) - 1)
+            words.append(joined(words[-1], half, words[-1], half))
+        key, word = words[-1], 1 << (len(words) - 1)
+        for k in range(len(words) - 2, -1, -1):
+            if word + (1 << k) <= most:
+                key, word = joined(key, word, words[k], 1 << k), word + (1 << k)
+        del words
         rank, kinds = ranks(key)
         depth, kept = word, None
         longest = int(left.max(initial=0))
