@@ -54,6 +54,11 @@ def term_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return own[head], h[head], np.diff([*head, len(h)]), np.bincount(own, minlength=len(texts))
 
 
+def narrow(tf: np.ndarray) -> np.ndarray:
+    """Term frequencies unchanged, in two bytes each where they fit and else in four (a text has under 2^31 words)."""
+    return tf.astype(np.uint16 if tf.max(initial=0) < 1 << 16 else np.uint32)
+
+
 def invert(docs: np.ndarray, terms: np.ndarray, tf: np.ndarray) -> dict[str, np.ndarray]:
     """Postings by term, and in a term by document."""
     order = np.argsort(terms, kind="stable")
@@ -61,7 +66,7 @@ def invert(docs: np.ndarray, terms: np.ndarray, tf: np.ndarray) -> dict[str, np.
     new = np.ones(len(terms), bool)
     new[1:] = terms[1:] != terms[:-1]
     head = np.flatnonzero(new)
-    return {"terms": terms[head], "begin": np.concatenate([head, [len(terms)]]).astype(np.int64), "docs": docs.astype(np.int32), "tf": np.minimum(tf, 65535).astype(np.uint16)}
+    return {"terms": terms[head], "begin": np.concatenate([head, [len(terms)]]).astype(np.int64), "docs": docs.astype(np.int32), "tf": narrow(tf)}
 
 
 class Shard:
@@ -179,7 +184,7 @@ def build(docs: DataFrame, base: str):
             for at in range(0, len(texts), 512):
                 some = texts[at : at + 512]
                 own, term, tf, length = term_counts(some)
-                parts.append(((own + offset).astype(np.int32), term, np.minimum(tf, 65535).astype(np.uint16)))
+                parts.append(((own + offset).astype(np.int32), term, narrow(tf)))
                 words.append(length)
                 offset += len(some)
                 ids.append(batch.column("doc_id").slice(at, len(some)).to_numpy())

@@ -137,6 +137,20 @@ def test_search_prunes_exactly(tmp_path):
         assert ids.tolist() == best.tolist() and np.allclose(score, total[best])
 
 
+def test_search_counts_frequent_words_in_full(spark):
+    """More than 65,535 of a word in a text: scores and ranks by the true count."""
+    from loomarray.llm.search import top_k
+
+    bags = {1: {"x": 70_000, "y": 30_000}, 2: {"x": 100_000, "z": 1}, 3: {"x": 1}} | {k: {"w": 1} for k in range(10, 500)}
+    docs = spark.createDataFrame([(d, " ".join(" ".join([w] * n) for w, n in b.items())) for d, b in bags.items()], "doc_id long, text string")
+    n, mean = len(bags), sum(sum(b.values()) for b in bags.values()) / len(bags)
+    idf = math.log(1 + (n - 3 + 0.5) / 3.5)
+    score = {d: idf * bags[d]["x"] * 2.2 / (bags[d]["x"] + 1.2 * (0.25 + 0.75 * sum(bags[d].values()) / mean)) for d in (1, 2, 3)}
+    got = top_k(docs, docs.where("doc_id = 3"), k=3).orderBy("rank").collect()
+    assert [r.doc_id for r in got] == sorted(score, key=lambda d: -score[d])
+    assert np.allclose([r.score for r in got], [score[r.doc_id] for r in got], rtol=0, atol=1e-8)
+
+
 # ---- 4
 def groups(rows, n, percent):
     sets, parent = {}, {}
