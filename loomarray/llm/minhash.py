@@ -165,8 +165,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     shares a key is decided exactly (up to 64-bit hashes of shingles).
 
     Per document: doc_id, n_shingles, component_id (the least doc_id it reaches), kept (doc_id =
-    component_id).  Empty and null texts have no shingles and are alone.  Rows of one doc_id are one
-    node.  A null doc_id is alone: component_id null, kept true.  An empty table gives no rows;
+    component_id).  Empty and null texts have no shingles and link nothing.  Rows of one doc_id are one
+    node, whatever their texts.  A null doc_id is alone: component_id null, kept true.  An empty table gives no rows;
     other columns are dropped.
     """
     spark = docs.sparkSession
@@ -259,12 +259,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         links_2 = materialise(deal(again).groupBy("task").applyInArrow(compare, "a long, b long"), "links")
         found, done = links_1.unionByName(links_2), [*done, labelled]
     discard(*done)
+    # rows of one doc_id in several classes, or in one and without shingles, are one node: edges join the classes
+    repeated = hashed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    several = None
+    if not repeated.isEmpty():
+        stands = materialise(hashed.where("doc_id is not null").select("doc_id", "digest").join(repeated, "doc_id", "left_semi").distinct(), "stands")
+        several = stands.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+        same = stands.join(several, "doc_id", "left_semi").join(classes.select("digest", "rep"), "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        found = found.unionByName(same)
     joined = components(found).select(F.col("node").alias("rep"), "component")
     of_class = classes.select("digest", "rep").join(joined, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    # rows of one doc_id in classes of different components are one node
-    out = hashed.drop("sketch").join(of_class, "digest", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
+    out = hashed.drop("sketch").join(of_class, "digest", "left")
+    if several is not None:  # their rows without shingles are in no class
+        out = out.join(several.join(joined.withColumnRenamed("rep", "doc_id").withColumnRenamed("component", "own"), "doc_id"), "doc_id", "left")
+        out = out.withColumn("component", F.coalesce("component", "own"))
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     out = materialise(out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), "near-duplicates")
-    discard(hashed, classes)
+    discard(hashed, classes, *([stands] if several is not None else []))
     return out
 
 

@@ -206,6 +206,29 @@ def test_near_duplicates_edges(odd, empty):
     assert near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_join_rows_of_one_id(spark, odd, rows, monkeypatch):
+    """Rows of one doc_id are one node: what either text reaches is one group, by few edges and by rounds."""
+    from loomarray.llm import components, minhash
+
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(60)) for x in "abcd")
+    texts = [(3, a), (7, a), (7, b), (7, ""), (9, b), (12, b + " more"), (13, "alone in the world"), (4, c), (5, c), (5, None), (None, b), (20, d), (20, d), (21, ""), (21, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    expected = sorted((k, {7: 3, 9: 3, 12: 3, 5: 4}.get(k, k)) for k, _ in texts if k is not None)
+    original = components.components
+    for one in (0, 1000):
+        monkeypatch.setattr(minhash, "components", lambda edges, one=one: original(edges, one_task=one))
+        got = minhash.near_duplicates(docs, 3, 85).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == expected
+        assert all(r.kept == (r.doc_id == r.component_id or r.doc_id is None) for r in got) and len(got) == len(texts)
+    assert sorted(r.doc_id for r in minhash.keep_one(docs, 3, 85).where("doc_id is not null").collect()) == [3, 4, 13, 20, 20, 21, 21]
+    more = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(k, t) for k, t, *_ in rows[40:44]] + [(rows[43][0], rows[5][1])], "doc_id long, text string"))
+    got = collections.defaultdict(set)
+    for r in minhash.near_duplicates(more, 3, 85).collect():
+        got[r.doc_id].add(r.component_id)
+    assert all(len(x) == 1 for x in got.values()) and got[rows[43][0]] == got[rows[5][0]]
+
+
 def test_components(spark):
     from loomarray.llm.components import components
 
