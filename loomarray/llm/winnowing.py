@@ -15,6 +15,8 @@ from loomarray.llm.hashing import U, grams, sliding_min
 
 #: Code points of a gram, and grams of a window: two texts that share K + W - 1 code points in a row share an entry.
 K, W = 25, 51
+#: Code points of the further grams that texts of fewer than 2 K code points have.
+SHORT = 5
 #: Of an entry's 64 bits, the upper 40 are the gram's hash and the lower 24 its position.
 POSITION = U((1 << 24) - 1)
 
@@ -23,7 +25,8 @@ def winnow(texts: list[str], k: int = K, w: int = W) -> list[np.ndarray]:
     """Entries of each text, by position: of every window of `w` grams the least hash, the rightmost of equals.
 
     A text of fewer grams than a window is one window; one of fewer code points than a gram is one
-    gram; an empty text has no entry.  (Positions count modulo 2^24.)
+    gram; an empty text has no entry.  (Positions count modulo 2^24; entries
+    stand in order and at most `w` apart, so each place where they fall is 2^24 code points further.)
     """
     out: list = [None] * len(texts)
     some, size = [], 0
@@ -41,6 +44,30 @@ def winnow(texts: list[str], k: int = K, w: int = W) -> list[np.ndarray]:
     return out
 
 
+def adapted(texts: list[str], k: int = K, w: int = W) -> list[np.ndarray]:
+    """Entries of each text as by `winnow`, and more for short ones, by a rule of the text's own length n alone.
+
+    From 2 (k + w - 1) code points on there are no more.  Below, the window is smaller, so that texts
+    that keep a half of n in a row share an entry; below 2 k, where that half may hold no gram, grams of
+    SHORT code points come along.  A smaller window keeps all entries of a larger one, so short texts
+    still share with long ones what they shared.  No such promise holds below 2 SHORT code points.
+    """
+    out = winnow(texts, k, w)
+    groups: dict = {}
+    for i, x in enumerate(texts):
+        n = len(x)
+        for g in ((k, SHORT) if SHORT < k and n < 2 * k else (k,)):
+            if g <= n < 2 * (k + w - 1):
+                groups.setdefault((g, min(w, max(1, (n + 1) // 2 - g + 1))), []).append(i)
+    for (g, v), own in groups.items():
+        for i, entries in zip(own, winnow([texts[i] for i in own], g, v), strict=True):
+            if g != k:
+                entries = np.concatenate([out[i], entries])
+                entries = entries[np.argsort(entries & POSITION, kind="stable")]
+            out[i] = entries
+    return out
+
+
 def _winnow(texts: list[str], some: list[int], k: int, w: int, out: list) -> None:
     data = np.frombuffer("".join([texts[i] for i in some]).encode("utf-32-le"), np.uint32)
     h = grams(data, k)
@@ -94,7 +121,8 @@ def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
 
     The next document is that with the next lower doc_id; after the last comes the first.  Rows go
     once to ranges of doc_id, each with a copy of the row that comes next after it, and stream
-    through in order, so no task holds more than a batch.
+    through in order, so no task holds more than a batch.  Short texts have more entries (`adapted`):
+    an edited text of 10 code points or more shares an entry with its own; shorter ones may not.
 
     Per document: doc_id, n_chars (code points), edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next.  A null text is empty: its fingerprint is the empty string, and two
@@ -132,11 +160,11 @@ def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = texts_of(part)
-                rows = [*([held] if held else []), *zip(part.column("doc_id").to_pylist(), texts, winnow(texts, k, w), part.column("_p").to_pylist(), part.column("_copy").to_pylist(), strict=True)]
+                rows = [*([held] if held else []), *zip(part.column("doc_id").to_pylist(), texts, adapted(texts, k, w), part.column("_p").to_pylist(), part.column("_copy").to_pylist(), strict=True)]
                 pairs = [(a, b) for a, b in zip(rows, rows[1:], strict=False) if not a[4] and a[3] == b[3]]
                 held = rows[-1] if rows else None
                 new = [edited(a[1], b[1]) for a, b in pairs]
-                prints = winnow(new, k, w)
+                prints = adapted(new, k, w)
                 columns = [
                     pa.array([a[0] for a, _ in pairs], pa.int64()),
                     pa.array([len(a[1]) for a, _ in pairs], pa.int64()),

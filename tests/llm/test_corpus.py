@@ -333,6 +333,21 @@ def test_winnowing_guarantee():
             assert [(int(e >> U(24)), int(e & U((1 << 24) - 1))) for e in entries] == expected
 
 
+def test_half_kept_short_texts_share_an_entry():
+    from loomarray.llm.winnowing import adapted, edited, likeness, winnow
+
+    rng = random.Random(6)
+    draw = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    texts = [draw(n) for n in range(300)]
+    changed = [edited(t, draw(rng.choice([0, 3, 30, 400]))) for t in texts]
+    a, b = adapted(texts), adapted(changed)
+    assert all(likeness(x, y) > 0 for x, y in zip(a[10:], b[10:], strict=True))
+    for t, entries, plain in zip(texts, a, winnow(texts), strict=True):
+        assert set(plain.tolist()) <= set(entries.tolist())
+        if len(t) >= 150:
+            assert entries.tolist() == plain.tolist()
+
+
 # ---- 8
 def remaining(rows):
     seen, out = set(), {}
