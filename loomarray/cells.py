@@ -13,11 +13,14 @@ from __future__ import annotations
 import math
 import numbers
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import add
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from loomarray import dtypes as dt
 from loomarray.functions import elementwise as ew
@@ -87,9 +90,14 @@ class Array:
         self._frame, self._index, self._value, self.gen = frame, index, value, gen
         self.shape, self.dtype = tuple(int(s) for s in shape), dt.dtype(dtype)
 
+    #: The table behind an array whose places are not numbered yet.
+    _table: Rows | None = None
+
     # ---- frames
     @property
     def frame(self) -> DataFrame:
+        if self._frame is None and self._table is not None:
+            self._frame = self._table.numbered
         if self._frame is None:
             self._frame = session().range(self.size).withColumnRenamed("id", I)
             self._index, self._value = F.col(I), self.gen(F.col(I))
@@ -110,6 +118,11 @@ class Array:
         """Columns i and v."""
         return self.frame.select(self.index.cast("long").alias(I), self.value.alias(V))
 
+    @property
+    def bag(self) -> DataFrame:
+        """Column v, for what does not depend on places: nothing is numbered for it."""
+        return self.df.select(V) if self._table is None else self._table.df.select(self._value.alias(V))
+
     @classmethod
     def of(cls, df: DataFrame, shape: Sequence[int], dtype) -> Array:
         """From a frame with columns i and v."""
@@ -120,16 +133,32 @@ class Array:
         if self.gen is not None:
             g = self.gen
             return Array(None, None, None, self.shape, dtype, lambda i: f(g(i)))
+        if self._table is not None and len(self.shape) == 1:
+            return self._table.array(f(self._value), dtype)
         return Array(self.frame, self.index, f(self.value), self.shape, dtype)
 
     def reshaped(self, shape: Sequence[int]) -> Array:
         out = Array(self._frame, self._index, self._value, shape, self.dtype, self.gen)
+        out._table = self._table
         return out
 
     def cached(self) -> Array:
-        """Written to memory and disk of the cluster, for arrays that are used again."""
+        """Kept in memory and on disk of the cluster, for arrays that are used again, until `dispose`."""
         return Array.of(self.df.persist(), self.shape, self.dtype)
 
+    def dispose(self) -> None:
+        """Give back what `cached` keeps.  The array stays usable: its plan is run again."""
+        if self._frame is not None:
+            self._frame.unpersist()
+
+    def __enter__(self) -> Array:
+        return self
+
+    def __exit__(self, *problem) -> None:
+        self.dispose()
+
+    using = cached
+
     # ---- metadata
     @property
     def ndim(self) -> int:
@@ -196,6 +225,56 @@ class Array:
     def tolist(self):
         return self.numpy().tolist()
 
+    toArray = tolist
+
+    def _flat(self, indices: Sequence[int]) -> int:
+        """The flat index of one index an axis; negative ones count from the end."""
+        if len(indices) != self.ndim:
+            raise IndexError(f"Index has {len(indices)} dimensions, but array has {self.ndim} dimensions")
+        at = []
+        for k, (j, n) in enumerate(zip(indices, self.shape, strict=True)):
+            if not -n <= j < n:
+                raise IndexError(f"Index {j} is out of bounds for axis {k} with size {n}")
+            at.append(j % n)
+        return sum(j * s for j, s in zip(at, strides(self.shape), strict=True))
+
+    def get(self, indices: Sequence[int]):
+        """One value, by an index for each axis."""
+        return self.item(self._flat(indices))
+
+    def iget(self, flat: int):
+        return self.item(flat)
+
+    def set(self, indices: Sequence[int], value) -> Array:
+        """A new array with another value in one place; whole-number arrays round it."""
+        return self.iset(self._flat(indices), value)
+
+    def iset(self, flat: int, value) -> Array:
+        if not -self.size <= flat < self.size:
+            raise IndexError("index out of bounds")
+        if self.dtype.kind in "iu" and isinstance(value, float):
+            value = math.floor(value + 0.5)
+        one = dt.lit(bool(value) if self.dtype.kind == "b" else value, self.dtype)
+        flat %= self.size
+        return Array(self.frame, self.index, F.when(self.index == flat, one).otherwise(self.value), self.shape, self.dtype)
+
+    def _part(self, name: str, *slices: str) -> Array:
+        if self.ndim < 2:
+            raise ValueError(f"{name}() requires at least 2 dimensions")
+        return self.slice(*slices)
+
+    def row(self, i: int) -> Array:
+        return self._part("row", str(i), ":")
+
+    def col(self, j: int) -> Array:
+        return self._part("col", ":", str(j))
+
+    def rows(self, start: int, stop: int) -> Array:
+        return self._part("rows", f"{start}:{stop}", ":")
+
+    def cols(self, start: int, stop: int) -> Array:
+        return self._part("cols", ":", f"{start}:{stop}")
+
     def tobytes(self, order: str = "C") -> bytes:
         return self.numpy().tobytes(order)
 
@@ -331,6 +410,10 @@ def aligned(*arrays: Array) -> tuple[DataFrame | None, Column | None, list, tupl
 
 def mapped(f: Callable[..., Column], dtype, *arrays: Array) -> Array:
     """A new array of a function of cells that broadcast together."""
+    framed = [a for a in arrays if a.gen is None]
+    rows = framed[0]._table if framed else None
+    if rows is not None and all(a._table is rows and a.ndim == 1 if a.gen is None else a.size == 1 and a.ndim < 2 for a in arrays):
+        return rows.array(f(*(a._value if a.gen is None else a.gen(F.lit(0).cast("long")) for a in arrays)), dtype)
     frame, index, values, shape = aligned(*arrays)
     if frame is None:
         return generated(shape, dtype, lambda i: f(*(v(i) for v in values)))
@@ -382,40 +465,134 @@ def moved(a: Array, shape: Sequence[int], target: Callable[[list[Column]], Seque
     return Array.of(df.select(ravel(target(coords(F.col(I), a.shape)), shape).alias(I), V), shape, a.dtype)
 
 
-def numbered(df: DataFrame, *order, name: str = I) -> tuple[DataFrame, int]:
-    """Rows sorted by `order` with their place from 0, and how many there are.
+#: Rows that one window numbers, about; more are cut into ranges, of which there are at most RANGES.
+IN_A_WINDOW, RANGES = 1 << 18, 1 << 14
+
+
+def _literal(x, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType) and x is not None:
+        return F.struct(*(_literal(v, f.dataType).alias(f.name) for v, f in zip(x, kind.fields, strict=True)))
+    return F.lit(bytes(x) if isinstance(x, bytearray) else x).cast(kind)
+
+
+def _cuts(keys: DataFrame, n: int) -> tuple[list, list[int]]:
+    """Values of column k that cut a sample of it into even ranges, ascending, and how often each would stand
+    there: more than once where one value fills several ranges.  The sample is bounded by the number of ranges."""
+    ranges = min(RANGES, -(-n // IN_A_WINDOW))
+    sample = [r.k for r in keys.sample(min(1.0, 32 * ranges / n), seed=17).orderBy("k").collect()]
+    cuts, times = [], []
+    for j in range(1, ranges if sample else 1):
+        x = sample[j * len(sample) // ranges]
+        if x is None:  # nulls stand before the first cut
+            continue
+        if cuts and repr(cuts[-1]) == repr(x):
+            times[-1] += 1
+        else:
+            cuts.append(x)
+            times.append(1)
+    return cuts, times
+
+
+def ranged(df: DataFrame, key: Column, n: int, salt: Column | None = None) -> tuple[DataFrame, dict[int, int]]:
+    """Rows with the number of their range by `key` (column _range), and how many rows stand before each range.
 
-    A range sort; then a row's place is its place in its partition and the rows of the partitions
-    before.  Only a count for each partition comes to the driver.
+    A row's range is a function of its values alone: a binary search among cuts that are literals in the
+    plan.  What equals a cut is apart from what is above it, and with `salt` (a hash of the row) spread over
+    as many ranges as it would fill.  One count a range comes to the driver.
     """
-    ordered = df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id())
-    part = F.call_function("shiftright", F.col("_place"), F.lit(33))
-    counts = {r.p: r.n for r in ordered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    before, total = {}, 0
-    for p in sorted(counts):
-        before[p] = total
-        total += counts[p]
-    if not counts:
-        return ordered.withColumn(name, F.col("_place")).drop("_place"), 0
-    lookup = F.element_at(F.create_map(*(F.lit(x) for kv in before.items() for x in kv)), part)
-    return ordered.withColumn(name, F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + lookup).drop("_place"), total
+    keys = df.select(key.alias("k"))
+    cuts, times = _cuts(keys, n)
+    return _dealt(df, key, keys.schema["k"].dataType, cuts, times, salt)
+
+
+def _dealt(df: DataFrame, key: Column, kind: T.DataType, cuts: list, times: list[int], salt: Column | None) -> tuple[DataFrame, dict[int, int]]:
+    if not cuts:
+        return df.withColumn("_range", F.lit(0)), {0: 0}
+    width = [0, *(times if salt is not None else [1] * len(cuts))]  # ranges of what equals a cut; then one of what is above
+    base = np.cumsum([0, *(w + 1 for w in width[:-1])]).tolist()
+    literal = F.array(*(_literal(x, kind) for x in cuts))
+    if len(cuts) < 32:
+        up = reduce(add, [F.coalesce((_literal(x, kind) <= key).cast("int"), F.lit(0)) for x in cuts])
+    else:
+        steps = F.array(*(F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)))
+        up = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(literal, at + s - 1) <= key, at + s).otherwise(at))
+    wide = F.get(whole(width), F.col("_up"))
+    equal = F.get(literal, F.col("_up") - 1).eqNullSafe(key) & (F.col("_up") > 0)
+    inside = F.when(equal, F.pmod(salt, wide).cast("int") if salt is not None else F.lit(0)).otherwise(wide)
+    out = df.withColumn("_up", up).withColumn("_range", (F.get(whole(base), F.col("_up")) + inside).cast("int")).drop("_up")
+    counts = dict(out.groupBy("_range").agg(F.count("*")).collect())
+    order = sorted(counts)
+    return out, dict(zip(order, np.cumsum([0, *(counts[r] for r in order[:-1])]).tolist(), strict=True))
+
+
+def whole(numbers: Sequence[int]) -> Column:
+    """A literal array of longs."""
+    return F.expr("array(" + ",".join(f"{x}L" for x in numbers) + ")")
+
+
+def numbered(df: DataFrame, *order, name: str = I, n: int | None = None) -> tuple[DataFrame, int]:
+    """Rows with their place from 0 in the order of the values `order`, and how many there are.
+
+    The place is a function of the rows: what stands before a row's range (see `ranged`), and its place in
+    the range by a window.  So the result does not depend on how often, or in how many partitions, the plan
+    is run.  Rows that tie in `order` and differ elsewhere stand in the order of a hash of the row, rows alike
+    in everything in any order.  `order` has values, not sort orders: negatives of numbers for descending ones.
+    """
+    order = [c if isinstance(c, Column) else F.col(c) for c in order]
+    if n is None:
+        n = df.count()
+    tie = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
+    if n <= IN_A_WINDOW:
+        w = Window.partitionBy(F.lit(0)).orderBy(*order, tie)
+        return df.withColumn(name, (F.row_number().over(w) - 1).cast("long")), n
+    first = df.select(order[0].alias("k"))
+    cuts, times = _cuts(first, n)
+    if cuts and max(times) == 1:  # the first value alone cuts evenly
+        out, before = _dealt(df, order[0], first.schema["k"].dataType, cuts, times, None)
+    else:
+        out, before = ranged(df, F.struct(*(c.alias(f"k{j}") for j, c in enumerate(order))), n, tie)
+    start = F.get(whole([before.get(r, 0) for r in range(max(before, default=0) + 1)]), F.col("_range"))
+    w = Window.partitionBy("_range").orderBy(*order, tie)
+    return out.withColumn(name, (F.row_number().over(w) - 1).cast("long") + start).drop("_range"), n
+
+
+class Rows:
+    """A table whose rows are cells in a given order; they are counted at once, and numbered when a place is asked for."""
+
+    def __init__(self, df: DataFrame, order: Sequence[Column]):
+        self.df, self.order, self.count, self._numbered = df, list(order), df.count(), None
+
+    @property
+    def numbered(self) -> DataFrame:
+        if self._numbered is None:
+            self._numbered = numbered(self.df, *self.order, name="_i", n=self.count)[0]
+        return self._numbered
+
+    def array(self, value: Column, dtype) -> Array:
+        out = Array(None, F.col("_i"), value, (self.count,), dtype)
+        out._table = self
+        return out
 
 
 def from_column(df: DataFrame, value: str | Column, order_by: Sequence, dtype=None) -> Array:
-    """A table's column as a one-dimensional array, in a given order of the rows (ties must not matter)."""
+    """A table's column as a one-dimensional array, in a given order of the rows (ties must not matter).
+
+    Rows are numbered only where a place is needed: functions of the values and reductions of all of them
+    read the table as it stands.
+    """
     v = F.col(value) if isinstance(value, str) else value
-    out, n = numbered(df.select(v.alias(V), *(c if isinstance(c, Column) else F.col(c) for c in order_by)), *order_by)
-    d = dt.of_spark(out.schema[V].dataType)
-    a = Array.of(out.select(I, V), (n,), d)
+    order = [c if isinstance(c, Column) else F.col(c) for c in order_by]
+    kept = df.select(v.alias(V), *(c.alias(f"_o{k}") for k, c in enumerate(order)))
+    rows = Rows(kept, [F.col(f"_o{k}") for k in range(len(order))])
+    a = rows.array(F.col(V), dt.of_spark(kept.schema[V].dataType))
     return a if dtype is None else a.astype(dtype)
 
 
 def from_columns(df: DataFrame, values: Sequence[str], order_by: Sequence) -> list[Array]:
     """Columns of one table as arrays of one frame: functions of them are projections."""
-    names = [c for c in dict.fromkeys([*values, *order_by])]
-    out, n = numbered(df.select(*names), *order_by, name="_i")
-    index = F.col("_i")
-    return [Array(out, index, F.col(v), (n,), dt.of_spark(out.schema[v].dataType)) for v in values]
+    names = list(dict.fromkeys([*values, *order_by]))
+    rows = Rows(df.select(*names), [F.col(c) for c in order_by])
+    return [rows.array(F.col(v), dt.of_spark(rows.df.schema[v].dataType)) for v in values]
 
 
 def from_vectors(df: DataFrame, key: str, vector: str, width: int) -> Array:
@@ -518,7 +695,7 @@ def _bytes(a: Array, d: np.dtype, f) -> Array:
     if a.shape and a.shape[-1] * ratio % 1 or (not a.shape and ratio != 1):
         raise ValueError("the last axis must hold a whole number of values of the new type")
     if ratio < 1:
-        raise ValueError("to a wider type, only by way of tobytes and frombuffer")
+        return _joined(a, d, d.itemsize // old.itemsize)
     n = int(ratio)
 
     def run(batches):
@@ -532,6 +709,25 @@ def _bytes(a: Array, d: np.dtype, f) -> Array:
     return Array.of(a.df.mapInArrow(run, schema), new, d)
 
 
+def _joined(a: Array, d: np.dtype, n: int) -> Array:
+    """Each `n` neighbouring values of the last axis as one of a wider type: they meet in a group of their own."""
+    import pyarrow as pa
+
+    from loomarray.operators.dense import _in, arrow
+
+    old = a.dtype
+    groups = a.df.select(div(F.col(I), n).alias(I), F.struct((F.col(I) % n).alias("p"), V).alias("x")).groupBy(I)
+    df = groups.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x[V]).alias("x"))  # n is at most 16
+
+    def run(batches):
+        for b in batches:
+            x = np.ascontiguousarray(_in(b.column(1).flatten(), old)).view(d)
+            yield pa.RecordBatch.from_arrays([b.column(0), arrow(x, d)], [I, V])
+
+    schema = T.StructType([T.StructField(I, T.LongType()), T.StructField(V, dt.spark_type(d))])
+    return Array.of(df.mapInArrow(run, schema), (*a.shape[:-1], a.shape[-1] // n), d)
+
+
 def _methods() -> None:
     """Every function whose first argument is an array is also a method."""
     names = """sum prod mean max min ptp argmax argmin var std median all any cumsum cumprod sort argsort partition argpartition

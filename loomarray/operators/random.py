@@ -110,11 +110,23 @@ class _Common:
         a = generated((int(x),), np.int64, lambda i: i) if isinstance(x, (int, np.integer)) else asarray(x)
         n = a.shape[0]
         seed = int(self.source.own.randint(0, 2**31 - 1) if self.source.legacy else self.source.own.integers(0, 2**31 - 1))
-        order, _ = numbered(session().range(n).select(F.col("id").alias("_s")), F.xxhash64("_s", F.lit(seed)), "_s")
+        order, _ = numbered(session().range(n).select(F.col("id").alias("_s")), F.xxhash64("_s", F.lit(seed)), "_s", n=n)
         return take(a, Array.of(order.select(I, F.col("_s").alias(V)), (n,), np.int64), 0)
 
     shuffle = permutation
 
+    def weighted_order(self, n: int, p: Array) -> Array:
+        """Places in the order in which draws without replacement take them: by an exponential time over the
+        weight, from a hash of the place and a seed.  Places of weight 0 come last."""
+        from loomarray.cells import numbered
+
+        seed = int(self.source.own.randint(0, 2**31 - 1) if self.source.legacy else self.source.own.integers(0, 2**31 - 1))
+        u = (F.call_function("shiftrightunsigned", F.xxhash64(I, F.lit(seed)), F.lit(11)) + 0.5) / float(1 << 53)
+        w = F.col(V).cast("double")
+        times = p.df.select(I, F.when(w > 0, -F.log(u) / w).otherwise(float("inf")).alias("_t"))
+        order, _ = numbered(times, "_t", I, name="_n", n=n)
+        return Array.of(order.select(F.col("_n").alias(I), F.col(I).alias(V)), (n,), np.int64)
+
     def choice(self, a, size=None, replace: bool = True, p=None):
         n = int(a) if isinstance(a, (int, np.integer)) else asarray(a).shape[0]
         count = size_of(_size(size))
@@ -124,11 +136,10 @@ class _Common:
                 return int(at) if isinstance(a, (int, np.integer)) else asarray(a)[int(at)].item()
             at = local(np.asarray(at, np.int64))
         elif not replace:
-            if p is not None:
-                raise NotImplementedError("large weighted draws without replacement")
             from loomarray.operators.shape import array_split
 
-            at = array_split(self.permutation(n), [count])[0].reshaped(_size(size))
+            order = self.permutation(n) if p is None else self.weighted_order(n, asarray(p))
+            at = array_split(order, [count])[0].reshaped(_size(size))
         else:
             weights = None if p is None else np.asarray(p.numpy() if isinstance(p, Array) else p)
             at = self.source.draw("choice", size, n, dtype=_Z, **({"p": weights} if weights is not None else {})) if weights is not None else self.integers_(0, n, size)

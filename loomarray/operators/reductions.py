@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomarray import dtypes as dt
 from loomarray.cells import I, V, Array, asarray, axes_of, coords, elementwise, mapped, moved, ravel
@@ -28,13 +29,18 @@ def numeric(a: Array) -> None:
         raise TypeError("not for booleans: it subtracts")
 
 
-def grouped(a: Array, axis, keepdims: bool, agg, dtype, where=None) -> Array:
-    """`agg(value, position)` over each line; position counts along the axes reduced.  `where` is a mask array."""
+def grouped(a: Array, axis, keepdims: bool, agg, dtype, where=None, placed: bool = False) -> Array:
+    """`agg(value, position)` over each line; position counts along the axes reduced.  `where` is a mask array.
+
+    Only with `placed` does the result depend on positions; a whole column is else read unnumbered.
+    """
     axes = axes_of(axis, a.ndim)
     kept = [k for k in range(a.ndim) if k not in axes]
     shape = tuple(a.shape[k] for k in kept)
     final = tuple(1 if k in axes else d for k, d in enumerate(a.shape)) if keepdims else shape
     value = F.col(V)
+    if not kept and where is None and not placed:
+        return Array.of(a.bag.agg(agg(value, None).alias(V)).select(F.lit(0).cast("long").alias(I), V), final, dtype)
     if where is not None:
         a = mapped(lambda v, m: F.struct(v.alias("x"), m.cast("boolean").alias("m")), a.dtype, a, asarray(where))  # masked cells become null below
         df = a.frame.select(a.index.alias(I), a.value.alias("_s")).select(I, F.when(F.col("_s.m"), F.col("_s.x")).alias(V))
@@ -64,7 +70,7 @@ def _sum(d: np.dtype, v: Column) -> Column:
 def sum(a, axis=None, keepdims: bool = False, dtype=None, where=None, initial=None) -> Array:  # noqa: A001
     a = asarray(a)
     d = np.dtype(dtype) if dtype is not None else sum_type(a.dtype)
-    narrow = a.dtype.kind in "biu" and a.dtype.itemsize < 8 and d == I64  # fits a long for 2^31 cells and more
+    narrow = a.dtype.kind in "biu" and a.dtype.itemsize < 8 and d == I64 and a.size < 1 << 31  # then a long has room
     x = a.astype(d)
     zero = dt.lit(0, d)
     agg = (lambda v, p: F.coalesce(F.sum(v), zero)) if narrow else (lambda v, p: F.coalesce(_sum(d, v), zero))
@@ -174,7 +180,7 @@ def _arg(name: str):
                 return F.max_by(p, F.struct(bad, key, -p))
             return F.min_by(p, F.struct(~bad, key, p))
 
-        return grouped(a, axis, keepdims, agg, I64)
+        return grouped(a, axis, keepdims, agg, I64, placed=True)
 
     return run
 
@@ -209,12 +215,22 @@ def std(a, axis=None, ddof: float = 0, keepdims: bool = False, where=None) -> Ar
 
 
 def _at(a: Array, q: list[float]) -> list[float]:
-    """Quantiles of all values, through a range sort and the two places around each: nothing is gathered."""
-    from loomarray.cells import numbered
+    """Quantiles of all values: ranges are counted, and only those that hold a wanted place are looked into,
+    by their values' running counts.  Nothing is sorted as a whole and a few values come to the driver."""
+    from loomarray.cells import ranged
 
-    ordered, n = numbered(a.df.select(V), V)
+    n = a.size
     want = sorted({int(x) for p in q for x in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)), n - 1)})
-    got = {r[I]: float(r[V]) for r in ordered.where(F.col(I).isin(want)).collect()}
+    df, before = ranged(a.bag, F.col(V), n)
+    starts = sorted(before, key=before.get)
+    at = {w: starts[int(np.searchsorted([before[r] for r in starts], w, side="right")) - 1] for w in want}
+    own = df.where(F.col("_range").isin(*set(at.values()))).groupBy("_range", V).agg(F.count("*").alias("_n"))
+    upto = own.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_range").orderBy(V)))
+    hit = F.lit(False)
+    for w, r in at.items():
+        hit = hit | ((F.col("_range") == r) & (F.col("_upto") > w - before[r]) & (F.col("_upto") - F.col("_n") <= w - before[r]))
+    found = upto.where(hit).collect()
+    got = {w: next(float(r[V]) for r in found if r["_range"] == k and r["_upto"] - r["_n"] <= w - before[k] < r["_upto"]) for w, k in at.items()}
     if math.isnan(got[n - 1]):
         return [math.nan] * len(q)
     out = []
@@ -225,8 +241,8 @@ def _at(a: Array, q: list[float]) -> list[float]:
     return out
 
 
-#: A line of more cells is sorted across the cluster.
-GATHERED = 1 << 22
+#: Quantiles of more cells than this go by ranges.
+GATHERED = 1 << 18
 
 
 def quantile(a, q, axis=None, keepdims: bool = False) -> Array:
@@ -339,7 +355,7 @@ def _nanarg(name: str):
             found = F.max_by(ok, F.when(ok.isNotNull(), F.struct(v, -p))) if name == "max" else F.min_by(ok, F.when(ok.isNotNull(), F.struct(v, p)))
             return F.coalesce(found, F.raise_error(F.lit("All-NaN slice encountered")).cast("long"))
 
-        return grouped(a, axis, keepdims, agg, I64)
+        return grouped(a, axis, keepdims, agg, I64, placed=True)
 
     return run
 

@@ -33,7 +33,7 @@ def _ranked(a: Array, axis, by=None) -> tuple[DataFrame, tuple[int, ...], int]:
     df = lines(a, k)
     order = [key(a.dtype, F.col(V)), F.col("_p")] if by is None else by
     if a.ndim == 1:  # one line: a range sort over the cluster
-        df, _ = numbered(df, *order, name="_r")
+        df, _ = numbered(df, *order, name="_r", n=a.size)
     else:
         df = df.withColumn("_r", F.row_number().over(Window.partitionBy("_o").orderBy(*order)) - 1)
     return df, a.shape, k
@@ -153,7 +153,7 @@ def searchsorted(a, v, side: str = "left", sorter=None) -> Array:
     edges = a.df.select(F.lit(-1).cast("long").alias("_j"), dt.cast(F.col(V), a.dtype, d).alias("x"))
     values = v.df.select(F.col(I).alias("_j"), dt.cast(F.col(V), v.dtype, d).alias("x"))
     first = F.col("_j") >= 0 if side == "left" else F.col("_j") < 0  # among equals: values before edges, or after
-    df, _ = numbered(edges.union(values), key(d, F.col("x")), ~first, F.col("_j"), name="_r")
+    df, _ = numbered(edges.union(values), key(d, F.col("x")), ~first, F.col("_j"), name="_r", n=a.size + v.size)
     is_edge = (F.col("_j") < 0).cast("long")
     line = Array.of(df.select(F.col("_r").alias(I), is_edge.alias(V)), (a.size + v.size,), I64)
     from loomarray.operators.scans import cumsum
@@ -183,14 +183,16 @@ def digitize(x, bins, right: bool = False) -> Array:
 
 
 # ---- sets
-def _values(a: Array) -> DataFrame:
-    """Distinct values (column x) with their count and first place."""
+def _values(a: Array, placed: bool = False) -> DataFrame:
+    """Distinct values (column x) with their count and, where wanted, their first place."""
     v = F.col(V)
     if a.dtype.kind == "f":
         v = v + F.lit(0).cast(dt.spark_type(a.dtype))
     elif a.dtype.kind == "c":
         v = dt.cplx(v["re"] + F.lit(0.0), v["im"] + F.lit(0.0), a.dtype)
-    return a.df.select(I, v.alias("x")).groupBy("x").agg(F.count("*").alias("n"), F.min(I).alias("first"))
+    if placed:
+        return a.df.select(I, v.alias("x")).groupBy("x").agg(F.count("*").alias("n"), F.min(I).alias("first"))
+    return a.bag.select(v.alias("x")).groupBy("x").agg(F.count("*").alias("n"))
 
 
 def _from_values(df: DataFrame, d: np.dtype) -> Array:
@@ -200,7 +202,7 @@ def _from_values(df: DataFrame, d: np.dtype) -> Array:
 
 def unique(a, return_index: bool = False, return_inverse: bool = False, return_counts: bool = False):
     a = asarray(a)
-    values = _from_values(_values(a), a.dtype)
+    values = _from_values(_values(a, return_index), a.dtype)
     out = [values]
     if return_index:
         out.append(Array(values.frame, values.index, F.col("first"), values.shape, I64))
@@ -295,16 +297,16 @@ def bincount(x, weights=None, minlength: int = 0) -> Array:
     x = asarray(x)
     if x.dtype.kind not in "iu" and x.dtype.kind != "b":
         raise TypeError("whole numbers only")
-    low, high = x.df.agg(F.min(V), F.max(V)).first()
+    low, high = x.bag.agg(F.min(V), F.max(V)).first()
     if low is not None and int(low) < 0:
         raise ValueError("'list' argument must have no negative elements")
     n = max(minlength, 0 if high is None else int(high) + 1)
     if weights is None:
-        sums, d, zero = x.df.groupBy(F.col(V).cast("long").alias("_k")).agg(F.count("*").alias("s")), I64, F.lit(0).cast("long")
+        sums, d, zero = x.bag.groupBy(F.col(V).cast("long").alias("_k")).agg(F.count("*").alias("s")), I64, F.lit(0).cast("long")
     else:
         w = asarray(weights)
         both = mapped(lambda v, u: F.struct(v.cast("long").alias("k"), u.cast("double").alias("w")), F64, x, w)
-        sums, d, zero = both.df.groupBy(F.col(V)["k"].alias("_k")).agg(F.sum(F.col(V)["w"]).alias("s")), F64, F.lit(0.0)
+        sums, d, zero = both.bag.groupBy(F.col(V)["k"].alias("_k")).agg(F.sum(F.col(V)["w"]).alias("s")), F64, F.lit(0.0)
     full = session().range(n).join(sums, F.col("id") == F.col("_k"), "left")
     return Array.of(full.select(F.col("id").alias(I), F.coalesce("s", zero).alias(V)), (n,), d)
 
@@ -315,7 +317,7 @@ def histogram_bin_edges(a, bins=10, range=None, weights=None) -> np.ndarray:  #
         return np.asarray(bins.numpy() if isinstance(bins, Array) else bins, float)
     a = asarray(a)
     v = dt.cast(F.col(V), a.dtype, F64)
-    df = a.df.select(v.alias("x"))
+    df = a.bag.select(v.alias("x"))
     if range is not None:
         df = df.where((F.col("x") >= range[0]) & (F.col("x") <= range[1]))
     n, lo, hi, sd, mean = df.agg(F.count("x"), F.min("x"), F.max("x"), F.stddev_pop("x"), F.avg("x")).first()
@@ -424,7 +426,7 @@ def histogramdd(sample, bins=10, range=None, density: bool = False, weights=None
         at = [_bin(dt.cast(c, k, F64), e) for c, k, e in zip(v, kinds, edges, strict=False)]
         return F.struct(ravel([c.cast("long") for c in at], shape).alias("k"), (v[-1].cast("double") if w else F.lit(1)).alias("w"))
 
-    df = mapped(cell, F64, *xs, *w).df.select(F.col(V)["k"].alias("_k"), F.col(V)["w"].alias("w")).where(F.col("_k").isNotNull())
+    df = mapped(cell, F64, *xs, *w).bag.select(F.col(V)["k"].alias("_k"), F.col(V)["w"].alias("w")).where(F.col("_k").isNotNull())
     sums = df.groupBy("_k").agg((F.sum("w") if w else F.count("*")).alias("s"))
     n = math.prod(shape)
     d = F64 if w or density else I64
