@@ -68,4 +68,6 @@ def blocks(df: DataFrame, size_of: str, size: int = BLOCK) -> DataFrame:
     table = f"blocks_{uuid.uuid4().hex}"
     packed = df.mapInArrow(build, "group long, block int, n_bytes long, data binary")
     packed.write.option("path", fresh_path(spark, "blocks")).bucketBy(partitions(spark), "group").saveAsTable(table)
-    return spark.table(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the frame keeps its files and buckets; the catalog keeps nothing
+    return out

@@ -16,18 +16,54 @@ BATCH_BYTES = 4 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`.
 
-    Where the session names none (local tests), a temporary folder is made once and set.
+    Where the session names none and is local (tests), a temporary folder is made once and set; on a
+    cluster such a folder would be one machine's own, so that is an error.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="loomarray-")
         sc.setCheckpointDir(found)
     return found
 
 
+#: Folders of running applications, which go when the driver ends.
+_folders: set = set()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/loomarray/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the shared folder, which is deleted when the driver ends."""
+    base = f"{shared_dir(spark).rstrip('/')}/loomarray-{spark.sparkContext.applicationId}"
+    if base not in _folders:
+        place = spark._jvm.org.apache.hadoop.fs.Path(base)
+        system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(place)
+        system.deleteOnExit(place)
+        _folders.add(base)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that `df` has not: columns of its own never clash with an operator's."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str):
+    """The column of this name, whatever signs it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(df: DataFrame) -> list:
+    return [quoted(c) for c in df.columns]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -129,6 +165,11 @@ def id_text(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Bytes that the optimizer expects of `df`: of a Parquet scan, of its files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomarray.llm.common import id_text, texts_of, turn_to_other_work
+from loomarray.llm.common import bounded_batches, columns, free, id_text, quoted, texts_of, turn_to_other_work
 
 #: Rows that the model is fitted on at most, those whose hashed doc_id is least.
 FIT_ROWS = 12_000
@@ -205,21 +206,21 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, folds:
     return Gam.fit(x[order], y[order])
 
 
-def score_quality(docs: DataFrame, gam: Gam, *keep: str) -> DataFrame:
-    """The columns `keep`, and score and predicted, of every whole text; no shuffle."""
-    fields = [docs.schema[c] for c in keep]
+def score_quality(docs: DataFrame, gam: Gam, *keep: str, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The columns `keep`, and score and predicted (under `names`), of every whole text; no shuffle."""
+    held = [f"c{k}" for k in range(len(keep))]  # any names can be given, but not all may go to Python
+    fields = [T.StructField(h, docs.schema[c].dataType) for h, c in zip(held, keep, strict=True)]
 
     def score(batches):
         turn_to_other_work()
         for batch in batches:
-            texts = texts_of(batch, "_text")
+            texts = texts_of(batch)
             p = np.concatenate([np.empty(0), *(gam.score(matrix(texts[k : k + 512])) for k in range(0, len(texts), 512))])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
-
-    from pyspark.sql import types as T
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in held), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*held, "score", "predicted"])
 
     schema = T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(score, schema)
+    kept = [quoted(c).alias(h) for h, c in zip(held, keep, strict=True)]
+    return docs.select(*kept, F.col("text").cast("string").alias("text")).mapInArrow(score, schema).toDF(*keep, *names)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -236,10 +237,12 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs`, whole, that the classifier does not reject."""
-    from loomarray.llm.common import bounded_batches
+    """The rows of `docs`, whole, that the classifier does not reject.
 
+    Null and empty texts are scored like others, null ids and repeated rows each by their text; columns of
+    any name, `score` or `predicted` too, come through unchanged.  An empty table gives no rows.
+    """
     bounded_batches(docs.sparkSession)
     gam = fit_quality(docs, labels)
-    names = docs.columns
-    return score_quality(docs, gam, *names).where("predicted = 1").select(*names)
+    score, predicted = free(docs, "score", "predicted")
+    return score_quality(docs, gam, *docs.columns, names=(score, predicted)).where(F.col(predicted) == 1).select(*columns(docs))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomarray.llm.blocks import blocks, unpack_batch
-from loomarray.llm.common import clear_shuffles, give_back, lean, lean2, materialise, partitions, turn_to_other_work
+from loomarray.llm.common import clear_shuffles, columns, give_back, lean, lean2, materialise, partitions, quoted, turn_to_other_work
 from loomarray.llm.hashing import U, Prefix, grams, sliding_min
 from loomarray.llm.rlindex import RunLengthIndex
 
@@ -46,11 +46,11 @@ class Windows:
 
     def __init__(self, data: bytes):
         self.table = unpack_batch(data)
-        ids = self.table.column("_id").combine_chunks()
+        ids, texts = (self.table.column(self.table.num_columns - k).combine_chunks() for k in (2, 1))  # the last two
         self.ids = ids.fill_null(NONE).to_numpy(zero_copy_only=False)
-        texts = self.table.column("_text").combine_chunks()
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.chunk(0)
+        self.null = texts.is_null().to_pylist()
         self.sizes = pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         self.bytes = b"".join(x for x in texts.cast(pa.large_binary()).to_pylist() if x is not None)
         self.flat = np.frombuffer(self.bytes, np.uint8)
@@ -260,9 +260,10 @@ def removed(data: bytes, shared: dict[int, bytes], found: dict[int, bytes], buck
 def repeats(docs: DataFrame, *keep: str) -> tuple[DataFrame, list[T.StructField]]:
     """Rows of `docs` with what is removed of their texts (see `remove_repeats`), as blocks and marks ready to join."""
     spark = docs.sparkSession
-    fields = [docs.schema[c] for c in keep]
-    packed = docs.select(*keep, F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
-    own = blocks(packed, "_text")
+    held = [f"c{k}" for k in range(len(keep))]  # any names can be given, but not all may go to Python
+    fields = [T.StructField(h, docs.schema[c].dataType) for h, c in zip(held, keep, strict=True)]
+    kept = [quoted(c).alias(h) for h, c in zip(held, keep, strict=True)]
+    own = blocks(docs.select(*kept, F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), "text")
     total = own.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(partitions(spark), -(-total // BUCKET))
 
@@ -324,25 +325,24 @@ def spans_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def apply(docs: DataFrame, finish, fields: list[T.StructField], *keep: str) -> DataFrame:
     """`finish(table, index of the row, bytes, mask of removed bytes)` gives the values of `fields` of each row."""
     own, marks, buckets, kept = repeats(docs, *keep)
-    schema = T.StructType([*kept, *fields])
+    names = [f"f{k}" for k in range(len(fields))]
+    schema = T.StructType([*kept, *(T.StructField(n, f.dataType) for n, f in zip(names, fields, strict=True))])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    names = [f.name for f in fields]
     arrow = to_arrow_schema(schema)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         tables = [arrow.empty_table()]
         for _, _, data, known in joined(left, right):
             w, mask = removed(data, known[0], known[1], buckets)
-            null = w.table.column("_text").is_null().to_pylist()
-            rows = [finish(None if no else w.bytes[a : a + n], mask[a : a + n]) for a, n, no in zip(w.starts.tolist(), w.sizes.tolist(), null, strict=True)]
-            table = w.table.select(list(keep))
+            rows = [finish(None if no else w.bytes[a : a + n], mask[a : a + n]) for a, n, no in zip(w.starts.tolist(), w.sizes.tolist(), w.null, strict=True)]
+            table = w.table.select(list(range(len(kept))))
             for name, column in zip(names, zip(*rows, strict=True), strict=True):
                 table = table.append_column(name, pa.array(column, arrow.field(name).type))
             tables.append(table.cast(arrow))
         return pa.concat_tables(tables)
 
-    return own.select("group", "block", "data").groupBy("group").cogroup(marks.groupBy("group")).applyInArrow(lean2(run), schema)
+    return own.select("group", "block", "data").groupBy("group").cogroup(marks.groupBy("group")).applyInArrow(lean2(run), schema).toDF(*keep, *(f.name for f in fields))
 
 
 SPANS = [
@@ -398,9 +398,12 @@ def whole_characters(text: bytes, mask: np.ndarray) -> str:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The rows of `docs` with what stays of their texts (characters that a removal cuts through stay whole)
-    and n_chars to match; null texts stay null.  Columns and their order stay."""
-    names = docs.columns
-    kept = [c for c in names if c not in ("text", "n_chars")]
+    and n_chars to match; null texts stay null.  Columns of any name and their order stay.
+
+    Null ids count as larger than any, rows of one doc_id don't match each other, and an empty table gives
+    no rows.
+    """
+    kept = [c for c in docs.columns if c.lower() not in ("text", "n_chars")]
 
     def finish(text, mask):
         if text is None:
@@ -409,4 +412,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         return left, len(left)
 
     fields = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
-    return apply(docs, finish, fields, *kept).select(*names)
+    return apply(docs, finish, fields, *kept).select(*columns(docs))

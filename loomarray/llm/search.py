@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomarray.llm.common import fresh_path, give_back, id_text, materialise, partitions, turn_to_other_work
+from loomarray.llm.common import fresh_path, give_back, id_text, materialise, partitions, plan_bytes, turn_to_other_work
 from loomarray.llm.hashing import U
 from loomarray.llm.shingles import word_hashes
 from loomarray.llm.token_files import store
@@ -220,7 +220,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     spark = docs.sparkSession
     base = fresh_path(spark, "index")
     rows = id_text(docs).where("doc_id is not null")
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = plan_bytes(rows)
     parts = rows.rdd.getNumPartitions()
     shards = build(rows.coalesce(max(1, min(parts, -(-size // (SHARD // 4))))), base).collect()  # a name and two counts a shard
     n, words = sum(s.documents for s in shards), sum(s.words for s in shards)
