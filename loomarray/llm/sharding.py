@@ -81,15 +81,37 @@ class SlotMap:
         return cls(r.shards, np.array(r.shard_of), r.version, [tuple(x) for x in json.loads(r.edits)])
 
 
-def slot_of(key, slots: int = SLOTS):
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+def slot_of(*key, slots: int = SLOTS):
+    return F.pmod(F.xxhash64(*key), F.lit(slots)).cast("int")
+
+
+#: Rows alike in everything that one task writes out again.
+ALIKE = 1 << 16
+
+
+def numbered_copies(rows: DataFrame) -> DataFrame:
+    """The same rows, with a number `_copy` (from 0) among those that are alike in all columns.
+
+    Alike rows are counted, before and after a shuffle, and written out again from their count; large
+    counts in parts, so that no task holds the rows of one hot key.
+    """
+    names = rows.columns
+    counted = materialise(rows.groupBy(*names).agg(F.count("*").alias("_n")), "sizes")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    few = counted.where(F.col("_n") <= ALIKE).select(*names, F.explode(upto(F.col("_n"))).alias("_copy"))
+    parts = counted.where(F.col("_n") > ALIKE).select("*", F.explode(upto(F.ceil(F.col("_n") / ALIKE))).alias("_part")).repartition("_part", *names)
+    at = F.col("_part") * ALIKE
+    many = parts.select(*names, F.explode(F.sequence(at, F.least(at + ALIKE, F.col("_n")) - 1)).alias("_copy"))
+    return few.unionByName(many)
 
 
 def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """Deal all documents to shards so that the bytes of the shards are near equal (law `bytes`).
 
-    Size: UTF-8 bytes of the text (null: none) plus 16.  A record's virtual slot is a hash of its
-    doc_id, so copies of one text spread over all slots.  Bytes and rows of each slot are summed
+    Size: UTF-8 bytes of the text (null: none) plus 16.  A record's virtual slot is a hash of its doc_id,
+    text and size, and of its number among rows alike in these.  So copies of a text, repeated rows and
+    rows without an id all spread over the slots: a group of equal texts that holds a third of all rows could
+    not be in one shard with sizes near equal.  Bytes and rows of each slot are summed
     before the shuffle; the slot-to-shard map (one entry a slot, a fixed number) starts as version
     0, is rebalanced by the measured bytes into version 1, and both are stored at `path` (default:
     a new folder among the shared ones).  A record's `slot` is its place in its shard, gapless from
@@ -97,12 +119,12 @@ def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, path: str | Non
     more than one virtual slot.
 
     Per document: doc_id, size, text_crc32 (null text: of no bytes), law, shard, slot, grown_shard
-    (null under this law), virtual_slot.  Null doc_ids and repeated ids fall into one slot each;
-    an empty table gives no rows; other columns are dropped.
+    (null under this law), virtual_slot.  An empty table gives no rows; other columns are dropped.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + HEADER).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")).withColumn("virtual_slot", slot_of(F.col("doc_id"), slots)), "sizes")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + HEADER).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = numbered_copies(rows).withColumn("virtual_slot", slot_of("doc_id", "text_crc32", "size", "_copy", slots=slots))
     load, count = np.zeros(slots), np.zeros(slots, np.int64)
     for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect():  # at most one row a slot
         load[r.virtual_slot], count[r.virtual_slot] = r.bytes, r.n
@@ -117,7 +139,7 @@ def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, path: str | Non
         before[own] = np.cumsum(count[own]) - count[own]
     schema = T.StructType([T.StructField("virtual_slot", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("_before", T.LongType())])
     table = spark.createDataFrame(list(zip(range(slots), placed.shard_of.tolist(), before.tolist(), strict=True)), schema)
-    rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")) - 1
+    rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size", "_copy")) - 1
     return (
         rows.withColumn("_rank", rank)
         .join(F.broadcast(table), "virtual_slot")
