@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomarray.llm.common import id_text, materialise, texts_of
+from loomarray.llm.common import columns, free, id_text, materialise, texts_of
 
 #: A word is a run of anything but these.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Rows of a source that one task rounds before residuals are combined, and residuals combined at once.
 LEAF, FAN = 2_000, 64
+#: The shortest documents of a node, which take up what longer ones leave over and go up the tree.
+RESERVE = 16
 
 
 def word_sizes(docs: DataFrame) -> DataFrame:
@@ -40,17 +42,16 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (1, 2, 3),
     """
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    left, open_, out = Fraction(sum(sizes.values())), set(order), {}
-    while open_:
-        all_w = sum(weight[s] for s in open_)
-        over = {s for s in open_ if left * weight[s] > most * sizes[s] * all_w}
-        if not over:
-            return out | {s: float(left * weight[s] / all_w) for s in open_}
-        for s in over:
+    left, all_w, out = sum(sizes.values()), sum(weight.values()), {}
+    # those that reach their limit first, in one pass: each that stops leaves more for the others
+    for s in sorted(order, key=lambda s: Fraction(most * sizes[s], weight[s])):
+        if left * weight[s] > most * sizes[s] * all_w:
             out[s] = float(most * sizes[s])
             left -= most * sizes[s]
-        open_ -= over
-    return out
+            all_w -= weight[s]
+        else:
+            out[s] = None
+    return {s: float(Fraction(left * weight[s], all_w)) if t is None else t for s, t in out.items()}
 
 
 def pivot(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, int, float]:
@@ -82,25 +83,98 @@ def pivot(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> tuple[np
     return out, held, q
 
 
+def settle(a: int, q: float, size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> float:
+    """Pair one document (size `a`, probability `q`) with a group, in place: mass moves between it and the
+    group, whose probabilities all change by the same, until it is 0 or 1 or the group has nothing to give.
+
+    Each move goes as far as it can in the direction drawn, so that something becomes integral; the sum of
+    size x p never changes, and no p changes in expectation.
+    """
+    while 1e-9 < q < 1 - 1e-9:
+        free_ = np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9))
+        total = float(size[free_].sum())
+        if not total:
+            break
+        up = min((1 - q) * a, float(p[free_].min()) * total)  # words that can move to it
+        down = min(q * a, float(1 - p[free_].max()) * total)
+        move = up if rng.random() * (up + down) < down else -down
+        q += move / a
+        p[free_] -= move / total
+    return q
+
+
+def nearer(size: np.ndarray, copies: np.ndarray, miss: float, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """`copies` with what is missed (words taken too many) made smaller: one or two documents at a time have one
+    copy more or less, within `low` and `high`, those that leave the least, as long as that helps."""
+    copies, n = copies.copy(), len(copies)
+    for _ in range(4 * n):
+        who = np.concatenate([np.flatnonzero(copies < high), np.flatnonzero(copies > low)])
+        sign = np.where(np.arange(len(who)) < (copies < high).sum(), 1, -1)
+        change = sign * size[who]
+        order = np.argsort(change, kind="stable")
+        best = (abs(miss), None)
+        for shift in (0, 1):  # a second one whose change is next to what is wanted, on either side
+            if not len(who):
+                break
+            at = order[np.clip(np.searchsorted(change[order], -miss - change) - shift, 0, len(who) - 1)]
+            two = np.where(who[at] == who, np.inf, np.abs(miss + change + change[at]))
+            for value, pair in ((np.abs(miss + change), False), (two, True)):
+                if value.min() < best[0] - 1e-9:
+                    i = int(value.argmin())
+                    best = (float(value[i]), [i, int(at[i])] if pair else [i])
+        if best[1] is None:
+            break
+        for i in best[1]:
+            copies[who[i]] += sign[i]
+            miss += float(change[i])
+    return copies
+
+
+def whole(p: np.ndarray) -> np.ndarray:
+    """What is within rounding error of 0 or 1."""
+    return (p <= 1e-9) | (p >= 1 - 1e-9)
+
+
 KINDS = "doc_id long, source string, size long, source_size long, target double, copies long, p double, node long"
 
 
-def rounded(seed: int, level: int, last: bool):
-    """For one node of the tree: integral copies; what is left over keeps its `p` and goes up (or is drawn, at the root)."""
+def rounded(seed: int, level: int, last: bool, most: int):
+    """For one node of the tree: integral copies.
+
+    The longest documents, with half of all words, are rounded by pairs; the one left over is paired with
+    the shorter ones as a group.  These are halved in turn, until RESERVE documents are left, which keep
+    their `p` and go up.  At the root it goes on to the very last, which is rounded to the nearer side.
+    """
+    least = 1 if last else RESERVE
 
     def node(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("size", "descending"), ("doc_id", "ascending")])  # so what is left over is small
+        table = table.sort_by([("size", "descending"), ("doc_id", "ascending")])
         source, at = table["source"][0].as_py(), table["node"][0].as_py()
         rng = np.random.default_rng([seed, level, at & 0xFFFFFFFF, *(source or "\0").encode()])
-        p, size = table["p"].to_numpy(zero_copy_only=False), table["size"].to_numpy()
-        take, held, q = pivot(size, p, rng)
-        copies = table["copies"].to_numpy() + take.astype(np.int64)
-        rest = np.full(len(p), np.nan)
-        if held >= 0:
-            if last:
-                copies[held] += int(rng.random() < q)
-            else:
-                rest[held] = q
+        p, size = table["p"].to_numpy(zero_copy_only=False).copy(), table["size"].to_numpy()
+        first = p.copy()
+        open_ = np.flatnonzero(~whole(p))
+        while len(open_) > least:
+            upto = np.cumsum(size[open_])
+            n = min(int(np.searchsorted(upto, upto[-1] / 2)) + 1, len(open_) - least)
+            head, rest = open_[:n], open_[n:]
+            p[head], held, q = pivot(size[head], p[head], rng)
+            if held >= 0:
+                own = p[rest]
+                p[head[held]] = settle(int(size[head[held]]), q, size[rest], own, rng)
+                p[rest] = own
+            open_ = rest[~whole(p[rest])]
+        if last:
+            p = np.round(p)
+        done = whole(p)
+        copies = table["copies"].to_numpy() + np.where(done, np.round(p), 0).astype(np.int64)
+        if last:
+            had = table["copies"].to_numpy()
+            for low, high in ((had, had + ~whole(first)), (0, np.where(size > 0, most, 0))):  # the second where the first can't do
+                miss = float((size * (copies - had - first)).sum())
+                if abs(miss) >= max(1, size[size > 0].min(initial=1)):
+                    copies = nearer(size, copies, miss, low + 0 * copies, high + 0 * copies)
+        rest = np.where(done, np.nan, p)
         put = lambda t, name, a: t.set_column(t.schema.get_field_index(name), name, a)
         return put(put(table, "copies", pa.array(copies, pa.int64())), "p", pa.array(rest, pa.float64(), mask=np.isnan(rest)))
 
@@ -113,8 +187,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     Every document of a source has the same fractional number of copies, target / source_size, at
     most `most`.  The fraction is rounded by pivotal dependent rounding: within leaves of a source
     (its rows dealt by a hash of doc_id, so a source of any size is many leaves), then among what
-    the leaves leave over, one document each, up a tree of fan-in 64; the last one of a source is
-    drawn.  A source thus misses its target by less than the size of one document.
+    the leaves leave over, some 16 of their shortest documents each, up a tree of fan-in 64; the last one
+    of a source is rounded to the nearer side.  Where that misses by more than its shortest document, a few
+    documents of the root have one copy more or less; so a source misses its target by less than one of
+    its shortest documents where it has some dozens, and one of few documents by what their sizes leave.
 
     Only one row a source comes to the driver.  Draws depend on the seed, the source and the node
     alone, so reruns agree.
@@ -144,7 +220,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     level, parts = 0, []
     while True:
         done = leaves == 1
-        joined = materialise(joined.groupBy("source", "node").applyInArrow(rounded(seed, level, done), KINDS), "rounded")
+        joined = materialise(joined.groupBy("source", "node").applyInArrow(rounded(seed, level, done, most), KINDS), "rounded")
         parts.append(joined.where(F.col("p").isNull()))
         if done:
             break
@@ -160,8 +236,10 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
     """The rows of `docs`, whole, each as often as the mix holds it.
 
     Rows of one doc_id count as one document here: all of them stand as often as the first of them
-    is taken.  A row without a doc_id goes by what is taken of such rows.
+    is taken.  A row without a doc_id goes by what is taken of such rows.  Texts without words are not
+    taken.  Columns of any name come through unchanged; an empty table gives no rows.
     """
-    copies = mix(docs, weights, most, seed).groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(copies.where("_copies > 0").hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+    id_, times, copy = free(docs, "id", "copies", "copy")
+    copies = mix(docs, weights, most, seed).groupBy("doc_id").agg(F.max("copies").alias(times)).withColumnRenamed("doc_id", id_)
+    joined = docs.join(copies.where(F.col(times) > 0).hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(id_)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*columns(docs))
