@@ -10,17 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomarray.llm.common import discard, give_back, id_text, lean, materialise, partitions, turn_to_other_work
+from loomarray.llm.common import discard, free, give_back, id_text, lean, materialise, partitions, turn_to_other_work
 from loomarray.llm.components import components, forest
 from loomarray.llm.hashing import U, mix
 from loomarray.llm.shingles import shingle_sets
 
 #: MinHash values joined into one entry of a collection; a table's key has one entry of each collection.
 BAND = 3
-#: The chance at most that a pair right at the threshold has no key in common.
-MISS = 1e-5
-#: Members of a cluster that one task compares at once, and those that all its parts get.
-CHUNK, LEADERS = 2048, 32
+#: Keys that two texts must have in common where nobody else has them, and the chance at most that a pair
+#: right at the threshold has fewer in common altogether.
+NEED, MISS = 4, 1e-5
+#: Members of a cluster, and bytes of their sets, that one task compares at once; members that all its parts get.
+CHUNK, CHUNK_BYTES, LEADERS = 2048, 32 << 20, 32
+#: Bytes that a task of the last joins and comparisons reads, about.
+TASK_BYTES = 64 << 20
 #: Keys that meet in one bucket, about.
 KEYS = 1 << 20
 #: Texts hashed at once.
@@ -28,9 +31,18 @@ STEP = 512
 
 
 def entries(percent: int) -> int:
-    """Entries of each collection, so that a pair at the threshold meets with chance 1 - MISS at least."""
-    p = (percent / 100) ** BAND
-    return math.ceil(math.log(MISS / 2) / math.log(1 - p)) if p < 1 else 1
+    """Entries of each collection, so that a pair at the threshold has NEED keys in common with chance 1 - MISS at least."""
+    p, m = (percent / 100) ** BAND, math.isqrt(NEED - 1) + 1
+    while miss(p, m) > MISS:
+        m += 1
+    return m
+
+
+def miss(p: float, m: int) -> float:
+    """Chance that fewer than NEED keys agree: of two collections of `m` entries, each agreeing with chance `p`,
+    as many keys agree as the numbers of entries that do, multiplied."""
+    q = [math.comb(m, k) * p**k * (1 - p) ** (m - k) for k in range(m + 1)]
+    return sum(x * y for a, x in enumerate(q) for b, y in enumerate(q) if a * b < NEED)
 
 
 def multipliers(n: int) -> np.ndarray:
@@ -128,7 +140,10 @@ def _keys(batches, m: int, buckets: int):
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Members of one key, to the least of them."""
+    """Members of one key, to the least of them (columns a and b, n: how much the edge counts).
+
+    A key that only two have counts one for their edge; one that more have joins them at once.
+    """
     keys, ids = [], []
     for k, o, w in zip(table["keys"].to_pylist(), table["own"].to_pylist(), table["ids"].to_pylist(), strict=True):
         full = np.zeros((len(k) // 6, 8), np.uint8)
@@ -141,10 +156,16 @@ def _meet(table: pa.Table) -> pa.Table:
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
     head = np.flatnonzero(new)
-    least = np.repeat(np.minimum.reduceat(who, head), np.diff([*head, len(key)]))
-    some = who != least
-    a, b = forest(who[some], least[some])
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    size = np.diff(np.append(head, len(key)))
+    least = np.repeat(np.minimum.reduceat(who, head), size)
+    two, some = np.repeat(size == 2, size), who != least
+    a, b = forest(who[some & ~two], least[some & ~two])
+    x, y = who[some & two], least[some & two]
+    order = np.lexsort((x, y))
+    x, y = x[order], y[order]
+    first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])) if len(x) else np.empty(0, np.int64)
+    n = np.diff(np.append(first, len(x)))
+    return pa.table({"a": pa.array(np.concatenate([a, x[first]]), pa.int64()), "b": pa.array(np.concatenate([b, y[first]]), pa.int64()), "n": pa.array(np.concatenate([np.full(len(a), NEED), n]), pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -153,16 +174,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     1. Every whole text is hashed once to its set of shingles; kept are its size, a digest and the
        MinHash entries of two small collections.  Equal sets are one class, with its least doc_id.
     2. Tensored banding: a table's key joins one entry of each collection.  Keys meet in buckets,
-       and members of a key go to the least of them; components of these candidates are clusters.
+       and members of a key go to the least of them.  Two that meet alone must meet NEED times: that costs
+       next to no recall and leaves most chance meetings out, so that clusters do not grow together through
+       them.  Components of these candidates are clusters.
     3. The texts of cluster members are read again, and their full sets compared within the
        cluster: through lists of members by shingle, never by pairs of rows.  A cluster over CHUNK
-       members is dealt over chunks, each with the same few leaders; whoever is then not in the
+       members or CHUNK_BYTES of sets is dealt over chunks, each with the same few leaders; whoever is then not in the
        cluster's main component is compared with every chunk, so every pair that is not joined yet
        is compared exactly.
     4. Components of the links.
 
-    Two documents with similarity at the threshold share a key with chance 1 - MISS at least; what
-    shares a key is decided exactly (up to 64-bit hashes of shingles).
+    Two documents with similarity at the threshold become candidates with chance 1 - MISS at least; what
+    becomes one is decided exactly (up to 64-bit hashes of shingles).
 
     Per document: doc_id, n_shingles, component_id (the least doc_id it reaches), kept (doc_id =
     component_id).  Empty and null texts have no shingles and link nothing.  Rows of one doc_id are one
@@ -194,14 +217,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     hashed = materialise(texts.mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, sketch binary"), "sketches")
     usable = hashed.where("doc_id is not null and digest is not null")
-    classes = materialise(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch")), "classes")
+    classes = materialise(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("shingles"), F.any_value("sketch").alias("sketch")), "classes")
     buckets = partitions(spark)
     meeting = max(1, -(-classes.count() * m * m // KEYS))
     keyed = classes.select("rep", "sketch").mapInArrow(lambda batches: _keys(batches, m, meeting), "bucket int, keys binary, own binary, ids binary")
-    candidates = materialise(keyed.groupBy("bucket").applyInArrow(lean(_meet), "a long, b long"), "candidates")
+    met = keyed.groupBy("bucket").applyInArrow(lean(_meet), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    candidates = materialise(met.where(F.col("n") >= NEED).select("a", "b"), "candidates")
     clusters = components(candidates).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
-    members = materialise(classes.select("digest", "rep").join(clusters.join(sizes, "cluster"), "rep"), "members")
+    clustered = classes.select("digest", "rep", "shingles").join(clusters, "rep")
+    sizes = clustered.groupBy("cluster").agg(F.count("*").alias("members"), (F.sum("shingles") * 8).alias("size"))
+    parts = F.greatest(F.ceil(F.col("members") / CHUNK), F.ceil(F.col("size") / CHUNK_BYTES)).cast("long")
+    members = materialise(clustered.join(sizes, "cluster").select("digest", "rep", "cluster", "members", parts.alias("chunks"), "shingles"), "members")
+    set_bytes = (members.agg(F.sum("shingles")).first()[0] or 0) * 8
+    tasks = max(8 * buckets, -(-set_bytes // (TASK_BYTES // 8)))
     discard(candidates)
 
     def compute(batches):
@@ -215,15 +243,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
                     if _digest(s) == digest[at + i]:  # rows of one id can have other texts
                         keep.append(at + i)
                         sets.append(s.tobytes())
-            kept = batch.select(["rep", "cluster", "members"]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sets, pa.binary())], ["rep", "cluster", "members", "hashes"])
+            kept = batch.select(["rep", "cluster", "members", "chunks"]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sets, pa.binary())], ["rep", "cluster", "members", "chunks", "hashes"])
 
-    wanted = texts.join(members.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id").select(F.col("doc_id").alias("rep"), "cluster", "members", "digest", "text")
-    sets = materialise(wanted.mapInArrow(compute, "rep long, cluster long, members long, hashes binary"), "sets")
+    n_texts = max(buckets, -(-(hashed.agg(F.sum("n_shingles")).first()[0] or 0) * 8 // TASK_BYTES))  # a shingle a word
+    wanted = texts.repartition(n_texts, "doc_id").join(members.withColumnRenamed("rep", "doc_id").drop("shingles").hint("merge"), "doc_id").select(F.col("doc_id").alias("rep"), "cluster", "members", "chunks", "digest", "text")
+    sets = materialise(wanted.mapInArrow(compute, "rep long, cluster long, members long, chunks long, hashes binary"), "sets")
 
     def deal(frame: DataFrame) -> DataFrame:
-        """Units to tasks, many small ones to each."""
-        return frame.withColumn("task", F.pmod(F.xxhash64("cluster", "chunk"), F.lit(8 * buckets)))
+        """Units to tasks, many small ones to each; as many tasks as the bytes ask for."""
+        return frame.withColumn("task", F.pmod(F.xxhash64("cluster", "chunk"), F.lit(tasks))).repartition(max(buckets, -(-set_bytes // TASK_BYTES)), "task")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("cluster", "ascending"), ("chunk", "ascending"), ("rep", "ascending")]).combine_chunks()
@@ -236,20 +265,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     compare = lean(compare)
-    chunks = F.ceil(F.col("members") / CHUNK)
+    chunks = F.col("chunks")
     own_chunk = F.pmod(F.xxhash64("rep"), chunks).cast("long")
     leads = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("members")) < LEADERS
     dealt = sets.withColumn("chunk", F.explode(F.when((chunks > 1) & leads, F.sequence(F.lit(0).cast("long"), chunks.cast("long") - 1)).otherwise(F.array(own_chunk))))
     links_1 = materialise(deal(dealt).groupBy("task").applyInArrow(compare, "a long, b long"), "links")
     found, done = links_1, [sets, members]
-    large = sets.where(F.col("members") > CHUNK)
+    large = sets.where(chunks > 1)
     if not large.isEmpty():
         labels = components(links_1)
         labelled = materialise(large.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component"), "labelled")
         by_label = labelled.groupBy("cluster", "label").agg(F.count("*").alias("n"))
         main = by_label.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+        mean = F.ceil(F.col("members") / chunks)  # members of a part
         sided = labelled.join(F.broadcast(main) if main.count() <= 10_000 else main, "cluster").withColumn("aside", F.col("label") != F.col("main"))
-        rest = F.ceil((F.col("all") - F.col("most")) / CHUNK)  # parts of those aside
+        rest = F.greatest(F.ceil((F.col("all") - F.col("most")) / mean), F.lit(1)).cast("long")  # parts of those aside
         part = F.pmod(F.xxhash64("rep", F.lit(2)), rest)
         # chunk numbers a pair (part of those aside, chunk of all members)
         column = lambda x: F.transform(F.sequence(F.lit(0).cast("long"), rest.cast("long") - 1), lambda i: i * chunks + x)
@@ -282,7 +312,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs`, whole, of one document of each near-duplicate group: that with the least doc_id.
 
-    Rows of one doc_id are one document and stay or go together; rows without a doc_id stay.
+    Rows of one doc_id are one document and stay or go together; rows without a doc_id stay, and so do
+    null and empty texts, which are like nothing.  Columns of any name come through unchanged.  An empty
+    table gives no rows.
     """
-    kept = near_duplicates(docs, words, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept.hint("merge"), F.col("doc_id") == F.col("_kept"), "left_semi").unionByName(docs.where("doc_id is null"))
+    (own,) = free(docs, "kept")
+    kept = near_duplicates(docs, words, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(kept.hint("merge"), F.col("doc_id").cast("long") == F.col(own), "left_semi").unionByName(docs.where("doc_id is null"))
