@@ -15,6 +15,9 @@ from pyspark.sql.window import Window
 from loomarray.llm.common import id_text, materialise, texts_of
 from loomarray.llm.tokens import Ids
 
+#: Pieces of one length that one window ranks, about; runs of a plan that is broadcast.
+WINDOW, FEW_RUNS = 1 << 19, 1 << 18
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -68,19 +71,90 @@ def fill(sizes: list[int], have: list[int], room: int) -> list[int]:
     return chosen
 
 
+def best_pattern(sizes: np.ndarray, value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """How often to take each size so that `capacity` holds the most value: an unbounded knapsack by size."""
+    best = np.zeros(capacity + 1)
+    for s, v in zip(sizes.tolist(), value.tolist(), strict=True):
+        if v > 0:
+            for at in range(s, capacity + 1, s):
+                part = best[at : at + s]
+                np.maximum(part, best[at - s : at][: len(part)] + v, out=part)
+    best = np.maximum.accumulate(best)
+    use, room = np.zeros(len(sizes), np.int64), capacity
+    while room >= sizes.min():
+        fits = np.flatnonzero((sizes <= room) & (value > 0))
+        i = fits[np.argmax(best[room - sizes[fits]] + value[fits])] if len(fits) else -1
+        if i < 0 or best[room - sizes[i]] + value[i] < best[room] - 1e-12:
+            break
+        use[i] += 1
+        room -= int(sizes[i])
+    return float(value @ use), use
+
+
+def configurations(sizes: list[int], have: list[int], capacity: int, most: int = 400) -> list[tuple[list[int], int]]:
+    """Configurations (indices of sizes, repeats allowed) and how often to use each, so that few sequences hold all.
+
+    The linear programme over all configurations is solved by column generation: the prices of the sizes
+    under the configurations in use say, through a knapsack, which configuration to bring in.  At most as many
+    configurations as sizes are in use; each is used as often as the whole part of its share says, and the
+    little that is left is packed by filling the largest size's rest best, again and again.
+    """
+    size, n = np.array(sizes), np.array(have, float)
+    k = len(sizes)
+    if not k:
+        return []
+    basis = np.diag(capacity // size).astype(float)  # a column a configuration: one size alone
+    share = n / (capacity // size)
+    for _ in range(most):
+        price = np.linalg.solve(basis.T, np.ones(k))
+        value, use = best_pattern(size, price, capacity)
+        if value <= 1 + 1e-7:
+            break
+        step = np.linalg.solve(basis, use.astype(float))
+        can = np.flatnonzero(step > 1e-9)
+        ratio = share[can] / step[can]
+        out = int(can[np.argmin(ratio)])
+        times = float(ratio.min())
+        share = np.maximum(share - times * step, 0)
+        share[out] = times
+        basis[:, out] = use
+    left, found = list(have), []
+    for column, x in zip(basis.T.astype(np.int64), share, strict=True):
+        x = min([int(x + 1e-6), *(left[i] // int(column[i]) for i in np.flatnonzero(column))])
+        if x > 0:
+            found.append(([int(i) for i in np.repeat(np.arange(k), column)], x))
+            for i in np.flatnonzero(column):
+                left[i] -= int(column[i]) * x
+    first = 0
+    while True:
+        while first < k and not left[first]:
+            first += 1
+        if first == k:
+            return found
+        left[first] -= 1
+        near = [i for i in range(first, k) if left[i] and sizes[i] <= capacity - sizes[first]]
+        config = [first, *(near[i] for i in fill([sizes[i] for i in near], [left[i] for i in near], capacity - sizes[first]))]
+        left[first] += 1
+        uses = {i: config.count(i) for i in config}
+        times = min(left[i] // c for i, c in uses.items())
+        for i, c in uses.items():
+            left[i] -= c * times
+        found.append((config, times))
+
+
 def linear_grouping(hist: dict[int, int], capacity: int, groups: int, small: int) -> Bins:
     """Pack a histogram of lengths (1 .. capacity).
 
     1. Lengths over `small` are dealt into `groups` groups of equal cardinality, and each is rounded
        up to the largest of its group.
-    2. Configurations of these few sizes: again and again the largest size left with the sizes that
-       fill the rest best, used as often as the counts allow.
+    2. Configurations of these few sizes, and how often each is used, by `configurations`.
     3. The group's documents take the places of the rounded sizes, in order of length, so equal
        sequences stay runs.
     4. What is small goes where the least room is left that suffices, longest first.
 
     Only the histogram matters, so the work has a bound that does not depend on the number of
-    documents.
+    documents, and so has the number of runs: one a configuration, and one more wherever the length at
+    one of its places changes.
     """
     large = sorted((s for s in hist if s > small), reverse=True)
     total = sum(hist[s] for s in large)
@@ -106,20 +180,7 @@ def linear_grouping(hist: dict[int, int], capacity: int, groups: int, small: int
     sizes = sorted(merged, reverse=True)
     have = [sum(n for *_, n in merged[s]) for s in sizes]
     queues = [list(reversed(merged[s])) for s in sizes]  # the longest first, taken from the end
-    first = 0
-    while True:
-        while first < len(sizes) and not have[first]:
-            first += 1
-        if first == len(sizes):
-            break
-        have[first] -= 1
-        near = [i for i in range(first, len(sizes)) if have[i] and sizes[i] <= capacity - sizes[first]]
-        config = [first, *(near[i] for i in fill([sizes[i] for i in near], [have[i] for i in near], capacity - sizes[first]))]
-        have[first] += 1
-        uses = {i: config.count(i) for i in config}
-        times = min(have[i] // n for i, n in uses.items())
-        for i, n in uses.items():
-            have[i] -= n * times
+    for config, times in configurations(sizes, have, capacity):
         while times:  # substitute documents; a run lasts while no place changes its length
             heads, counts = [], {}
             for i in config:
@@ -178,18 +239,22 @@ def linear_grouping(hist: dict[int, int], capacity: int, groups: int, small: int
     return out
 
 
+#: Numbers of groups, and the parts of the capacity up to which lengths are small, that are tried.
+GROUPS, SMALL = (48, 128), (4, 3, 2)
+
+
 def plan(hist: dict[int, int], capacity: int) -> Bins:
     """The best of a few group counts and bounds of `small`: each costs only as the histogram is wide."""
     full = hist.get(capacity, 0)
     rest = {s: n for s, n in hist.items() if s < capacity and n}
-    tries = [linear_grouping(rest, capacity, g, capacity // k) for g in (48, 192, capacity) for k in (16, 8, 4)] if rest else [Bins()]
+    tries = [linear_grouping(rest, capacity, g, capacity // k) for g in GROUPS for k in SMALL] if rest else [Bins()]
     best = min(tries, key=lambda b: b.count)
     if full:
         best.runs.append((full, ((capacity, 0),)))
     return best
 
 
-PLACES = T.StructType([T.StructField(n, T.LongType()) for n in ("length", "rank_from", "rank_to", "first_sequence", "offset")])
+PLACES = T.StructType([T.StructField("length", T.LongType()), *(T.StructField(n, T.ArrayType(T.LongType())) for n in ("rank_from", "first_sequence", "offset"))])
 
 
 def places(bins: Bins) -> list[tuple[int, int, int, int, int]]:
@@ -204,10 +269,18 @@ def places(bins: Bins) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
+def by_length(runs: list[tuple[int, int, int, int, int]]) -> list[tuple[int, list[int], list[int], list[int]]]:
+    """A row for each length: its runs' first ranks, ascending, and their sequences and offsets."""
+    own: dict[int, list] = {}
+    for s, a, _, sequence, offset in sorted(runs):
+        own.setdefault(s, []).append((a, sequence, offset))
+    return [(s, *map(list, zip(*rows, strict=True))) for s, rows in own.items()]
+
+
 def ranked(pieces: DataFrame, by: str, order: list[str], salts: int) -> DataFrame:
     """`rank`: the place of a row among those of its `by`, from 0.
 
-    A hot value is dealt over `salts` windows; the rows before each come from a table of counts
+    A value is dealt over `salts` windows, more the more rows the most frequent has; the rows before each come from a table of counts
     with one row for each value and salt.
     """
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
@@ -226,8 +299,9 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> D
 
     The texts are read once and never shuffled: rows of lengths are written to the shared folder,
     a histogram (at most `capacity` rows) is planned on the driver, and each piece finds its place
-    by its length and its rank among the pieces of that length.  The plan has a few runs for each
-    length, so it is broadcast.
+    by its length and its rank among the pieces of that length: a binary search among the length's
+    runs.  The plan has a row for each length; its runs are as many as `linear_grouping` says, however
+    many documents there are, and only if they are few is it broadcast.
 
     A null or empty text is one piece of one token.  Null ids and repeated rows are pieces of
     their own; an empty table gives no rows; other columns are dropped.
@@ -235,7 +309,14 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> D
     spark = docs.sparkSession
     pieces = materialise(cut_pieces(docs, path, capacity, end_id), "pieces")
     hist = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    table = spark.createDataFrame(places(plan(hist, capacity)), PLACES)
-    at = ranked(pieces, "length", ["doc_id", "piece", "ids_crc32"], 64)
-    placed = at.join(F.broadcast(table), "length").where(F.col("rank").between(F.col("rank_from"), F.col("rank_to")))
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.col("rank") - F.col("rank_from")).alias("sequence_id"), "offset")
+    runs = by_length(places(plan(hist, capacity)))
+    table = spark.createDataFrame(runs, PLACES)
+    if sum(len(r[1]) for r in runs) <= FEW_RUNS:
+        table = F.broadcast(table)
+    most = max(hist.values(), default=0)
+    at = ranked(pieces, "length", ["doc_id", "piece", "ids_crc32"], max(64, -(-most // WINDOW))).join(table, "length")
+    steps = F.array(*(F.lit(1 << k) for k in range(max((len(r[1]) for r in runs), default=1).bit_length() - 1, -1, -1)))
+    run = F.aggregate(steps, F.lit(0), lambda k, s: F.when(F.get("rank_from", k + s - 1) <= F.col("rank"), k + s).otherwise(k)) - 1
+    found = at.withColumn("run", run)
+    of = lambda name: F.get(name, F.col("run"))
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", (of("first_sequence") + F.col("rank") - of("rank_from")).alias("sequence_id"), of("offset").alias("offset"))
