@@ -25,8 +25,9 @@ WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Marks that compose with ASCII letters; a comma or full stop at the end of a word.
 MARK, STOP = re.compile("[\u0300-\u036f]"), re.compile(rb"(?<=[a-z])(?=[,.] )")
-#: At most so many pieces are remembered in a worker; the others are encoded each time they occur.
-MEMO = 1_600_000
+#: At most so many pieces, of so many bytes with their ids, are remembered in a worker; the others are encoded
+#: each time they occur.
+MEMO, MEMO_BYTES = 1_600_000, 96 << 20
 #: Texts longer than this are cut at safe boundaries, and about so much is encoded in one call.
 SEGMENT_CHARS, CALL_CHARS = 1 << 15, 1 << 18
 
@@ -59,6 +60,34 @@ def drops_white_space(path: str) -> bool:
     return _loaded[key]
 
 
+def breaks_at_white_space(path: str) -> bool:
+    """Whether a text may be cut before white space that follows something else, told from its behaviour."""
+    key = ("breaks", path)
+    if key not in _loaded:
+        ids = lambda s: tokenizer(path).encode(s, add_special_tokens=False).ids
+        parts = [["ab", " cd", " ef"], ["don't", "\n\n stop"], ["x1", "\t y", "  z."], ["a,", " b", "\u3000c", "\x85d"], ["The", " the", " of"]]
+        _loaded[key] = all(ids("".join(p)) == [i for x in p for i in ids(x)] for p in parts)
+    return _loaded[key]
+
+
+def lowers_and_parts(path: str) -> bool:
+    """Whether ASCII letters count as their lower case, and a comma or full stop after one is a piece of its
+    own, told from its behaviour."""
+    key = ("lowers", path)
+    if key not in _loaded:
+        ids = lambda s: tokenizer(path).encode(s, add_special_tokens=False).ids
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        lowers = all(ids(c.upper()) == ids(c) and ids("x" + c.upper() + "y") == ids("x" + c + "y") for c in letters)
+        stops = all(ids(f"a{c}{s} {c}b") == ids("a" + c) + ids(s) + ids(c + "b") for c in letters for s in ",.")
+        _loaded[key] = lowers and stops
+    return _loaded[key]
+
+
+def special_strings(path: str) -> list[str]:
+    """Strings that stand for one id wherever they occur."""
+    return [t.content for t in tokenizer(path).get_added_tokens_decoder().values() if t.content]
+
+
 def cut(text: str, most: int = SEGMENT_CHARS) -> Iterator[str]:
     """Parts of about `most` characters, cut only before white space that follows something else.
 
@@ -78,7 +107,7 @@ CUT = re.compile(f"[^{WHITE}](?=[{WHITE}])")
 
 
 class Lengths:
-    """Token counts by the library's batch call: long texts cut, calls balanced by characters."""
+    """Token counts by the library's batch call: long texts cut where the tokenizer's behaviour allows it, calls balanced by size."""
 
     def __init__(self, path: str):
         self.path = path
@@ -94,7 +123,9 @@ class Lengths:
             self.count = lambda xs: [len(x) for x in sp.encode(xs, num_threads=1, add_bos=False, add_eos=False)]
         else:
             tok = tokenizer(path)
-            self.parts = cut
+            spaced = any(re.search(f"[{WHITE}]", s) for s in special_strings(path))
+            safe = not spaced and (breaks_at_white_space(path) or drops_white_space(path))
+            self.parts = cut if safe else lambda s: [s]
             self.count = lambda xs: [len(x) for x in tok.encode_batch_fast(xs, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> np.ndarray:
@@ -139,18 +170,26 @@ class Ids:
 
     def __init__(self, path: str, dtype: str = "<u4"):
         self.tok, self.dtype = tokenizer(path), dtype
-        self.words = drops_white_space(path)
-        self.memo: dict = _loaded.setdefault(("memo", path, dtype), {})
+        special = special_strings(path)
+        spaced = any(re.search(f"[{WHITE}]", s) for s in special)  # then no white space is a safe place
+        self.words = drops_white_space(path) and not spaced
+        self.lowers = self.words and lowers_and_parts(path)
+        self.breaks = not spaced and breaks_at_white_space(path)
+        self.special = [s.lower().encode() for s in special]
+        self.memo, self.held = _loaded.setdefault(("memo", path, dtype), ({}, [0]))
 
     def pieces(self, text: str) -> list:
         if not self.words:
-            return PIECE.findall(text)
+            return PIECE.findall(text) if self.breaks else [text] if text else []
         data = text.encode()
+        if not self.lowers:
+            return data.split()
         # The library lowers letters and parts them from other signs; doing both first makes pieces
         # recur.  Not where that could touch a special string, or a letter that a mark composes with.
-        if b"<|" in data or not (text.isascii() or MARK.search(text) is None):
+        lower = data.lower()
+        if any(s in lower for s in self.special) or not (text.isascii() or MARK.search(text) is None):
             return data.split()
-        return STOP.sub(b" ", data.lower()).split()
+        return STOP.sub(b" ", lower).split()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut_up = [self.pieces(x) for x in texts]
@@ -167,8 +206,10 @@ class Ids:
                 data = np.fromiter(chain.from_iterable(flat), self.dtype).tobytes()
                 ends = np.cumsum(sizes).tolist()
                 fresh.update((p, data[e - n : e]) for p, e, n in zip(some, ends, sizes.tolist(), strict=True))
-            if len(memo) + len(fresh) <= MEMO:
+            size = sum(map(len, fresh)) + sum(map(len, fresh.values()))
+            if len(memo) + len(fresh) <= MEMO and self.held[0] + size <= MEMO_BYTES:
                 memo.update(fresh)
+                self.held[0] += size
             else:
                 look = Layered(memo, fresh)
         get = look.__getitem__
