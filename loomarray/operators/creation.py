@@ -219,29 +219,23 @@ def fromstring(text: str, dtype=np.float64, count: int = -1, sep: str = " ") ->
 
 
 def fromfile(path: str, dtype=np.float64, count: int = -1, sep: str = "", offset: int = 0) -> Array:
-    """Raw values of a file: fixed-width records that Spark reads, so that any store does."""
-    from loomarray.cells import session
-    from loomarray.operators.dense import arrow
-    from loomarray.cells import I, V
-    import pyarrow as pa
-    from pyspark.sql import types as T
+    """Raw values of a file, read in blocks on the executors, or text with a separator, split there.
+
+    `offset` counts bytes and `count` values; a file that ends within a value raises.
+    """
+    from loomarray.sources.npy import blocks_of, store
 
     d = dt.dtype(dtype)
     if sep:
-        text = "\n".join(r.value for r in session().read.text(path).collect())
-        return fromstring(text, d, count, sep)
-    rows = session().read.format("binaryFile").load(path).select("content")
-
-    def run(batches):
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                data = np.frombuffer(x, d, count, offset)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(data))), arrow(data, d)], [I, V])
-
-    schema = T.StructType([T.StructField(I, T.LongType()), T.StructField(V, dt.spark_type(d))])
-    length = session().read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
-    n = max(0, (length - offset) // d.itemsize)
-    return Array.of(rows.mapInArrow(run, schema), (n if count < 0 else count,), d)
+        from loomarray.sources.text import separated
+
+        return separated(path, d, count, sep)
+    system, p = store(path)
+    info = system.get_file_info(p)
+    if not info.is_file:
+        raise FileNotFoundError(f"not a file: {path}")
+    n = max(0, (info.size - offset) // d.itemsize)
+    return blocks_of(path, d, offset, (n if count < 0 else min(n, count),))
 
 
 def meshgrid(*xi, indexing: str = "xy", sparse: bool = False) -> list[Array]:

@@ -93,6 +93,20 @@ def einsum(subscripts: str, *operands) -> Array:
     return Array.of(done.select(ravel([F.col(column(c)) for c in out], shape).alias(I), V), shape, d)
 
 
+#: Products of cells beyond which a product of matrices goes by dense blocks.
+BY_BLOCKS = 1 << 24
+
+
+def _product(a: Array, b: Array) -> Array:
+    """A product of two matrices: by blocks if it is large, else by a join of cells."""
+    d = np.result_type(a.dtype, b.dtype)
+    if a.shape[0] * a.shape[1] * b.shape[1] < BY_BLOCKS or d == np.float16 or d.kind == "b":
+        return einsum("ij,jk->ik", a, b)
+    from loomarray.operators.blockwise import product
+
+    return product(a.astype(d), b.astype(d))
+
+
 def matmul(a, b) -> Array:
     a, b = asarray(a), asarray(b)
     if not a.ndim or not b.ndim:
@@ -105,6 +119,8 @@ def matmul(a, b) -> Array:
         return einsum("...ij,j->...i", a, b)
     if a.shape[-1] != b.shape[-2]:
         raise ValueError("matmul: mismatch in the core dimension")
+    if a.ndim == 2 and b.ndim == 2:
+        return _product(a, b)
     return einsum("...ij,...jk->...ik", a, b)
 
 
@@ -149,6 +165,13 @@ def tensordot(a, b, axes=2) -> Array:
         left, right = list(range(a.ndim - axes, a.ndim)), list(range(axes))
     else:
         left, right = (axes_of(x, n) for x, n in zip(axes, (a.ndim, b.ndim), strict=True))
+    free_a, free_b = ([k for k in range(v.ndim) if k not in own] for v, own in ((a, left), (b, right)))
+    if left and free_a and free_b and [a.shape[k] for k in left] == [b.shape[k] for k in right]:  # as a product of matrices
+        inner_ = size_of([a.shape[k] for k in left])
+        outer_a, outer_b = ([v.shape[k] for k in free] for v, free in ((a, free_a), (b, free_b)))
+        x = transpose(a, [*free_a, *left]).reshaped((size_of(outer_a), inner_))
+        y = transpose(b, [*right, *free_b]).reshaped((inner_, size_of(outer_b)))
+        return _product(x, y).reshaped((*outer_a, *outer_b))
     names = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
     x, y = list(names[: a.ndim]), list(names[a.ndim : a.ndim + b.ndim])
     for p, q in zip(left, right, strict=True):

@@ -220,7 +220,9 @@ def _at(a: Array, q: list[float]) -> list[float]:
     from loomarray.cells import ranged
 
     n = a.size
-    want = sorted({int(x) for p in q for x in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)), n - 1)})
+    want = sorted({int(x) for p in q for x in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
+    if a.dtype.kind == "f" and math.isnan(a.bag.agg(F.max(V)).first()[0]):  # NaN is above all
+        return [math.nan] * len(q)
     df, before = ranged(a.bag, F.col(V), n)
     starts = sorted(before, key=before.get)
     at = {w: starts[int(np.searchsorted([before[r] for r in starts], w, side="right")) - 1] for w in want}
@@ -231,8 +233,6 @@ def _at(a: Array, q: list[float]) -> list[float]:
         hit = hit | ((F.col("_range") == r) & (F.col("_upto") > w - before[r]) & (F.col("_upto") - F.col("_n") <= w - before[r]))
     found = upto.where(hit).collect()
     got = {w: next(float(r[V]) for r in found if r["_range"] == k and r["_upto"] - r["_n"] <= w - before[k] < r["_upto"]) for w, k in at.items()}
-    if math.isnan(got[n - 1]):
-        return [math.nan] * len(q)
     out = []
     for p in q:
         x = p * (n - 1)

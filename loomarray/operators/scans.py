@@ -75,10 +75,32 @@ def cumprod(a, axis=None, dtype=None, chunk: int = CHUNK) -> Array:
         df = lines(x, k).withColumn(V, F.col(V).cast("double"))
         out = scan(df, x.shape[k], F.product, lambda before, own: before * own, chunk)
         return Array.of(out.select(I, ew.shaped(F.col(V), d).alias(V)), x.shape, d)
-    # integers wrap and complex numbers turn: no aggregate has that, so lines go to NumPy
-    from loomarray.operators.dense import along
+    # integers wrap and complex numbers turn: no window has that, so NumPy takes a chunk of a line at a time
+    n = x.shape[k]
+    if n <= chunk:
+        from loomarray.operators.dense import along
+
+        return along(x, k, lambda m: np.cumprod(m, axis=-1, dtype=d), n, d)
+    return _in_chunks(x, k, d, chunk)
 
-    return along(x, k, lambda m: np.cumprod(m, axis=-1, dtype=d), x.shape[k], d)
+
+def _in_chunks(x: Array, k: int, d: np.dtype, chunk: int) -> Array:
+    """Products along a line longer than a chunk: within chunks, times the products of the chunks before."""
+    from loomarray.cells import mapped
+    from loomarray.operators.dense import along
+    from loomarray.operators.shape import moveaxis, pad
+
+    n, parts = x.shape[k], -(-x.shape[k] // chunk)
+    line = moveaxis(x, k, -1)
+    lead = line.shape[:-1]
+    full = pad(line, [*((0, 0) for _ in lead), (0, parts * chunk - n)], constant_values=1).reshaped((*lead, parts, chunk))
+    own = along(full, len(lead) + 1, lambda m: np.cumprod(m, axis=-1, dtype=d), chunk, d)
+    whole = own[(..., chunk - 1)]  # of each chunk
+    upto = cumprod(whole, len(lead), d, chunk)
+    before = pad(upto[(..., slice(0, parts - 1))], [*((0, 0) for _ in lead), (1, 0)], constant_values=1)
+    out = mapped(lambda b, v: ew.multiply(d, b, v), d, before.reshaped((*lead, parts, 1)), own)
+    out = out.reshaped((*lead, parts * chunk))[(..., slice(0, n))]
+    return moveaxis(out, -1, k)
 
 
 def nancumsum(a, axis=None) -> Array:

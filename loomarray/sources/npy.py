@@ -127,6 +127,14 @@ def load(path: str, block: int = BLOCK) -> Array:
     with system.open_input_file(p) as f:
         head = parse_header(f.read(1 << 16))
     d, shape, start = head["descr"], head["shape"], head["offset"]
+    out = blocks_of(path, d, start, shape if not head["fortran_order"] else shape[::-1], block)
+    from loomarray.operators.shape import transpose
+
+    return transpose(out) if head["fortran_order"] else out
+
+
+def blocks_of(path: str, d: np.dtype, start: int, shape, block: int = BLOCK) -> Array:
+    """Values of type `d` (of either byte order) from byte `start` of a file, a block of them at a time."""
     n, native = math.prod(shape), d.newbyteorder("=")
 
     def run(batches):
@@ -140,10 +148,7 @@ def load(path: str, block: int = BLOCK) -> Array:
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(m) + k * block), arrow(x, native)], [I, V])
 
     schema = T.StructType([T.StructField(I, T.LongType()), T.StructField(V, dt.spark_type(native))])
-    out = Array.of(session().range(-(-n // block)).mapInArrow(run, schema), shape if not head["fortran_order"] else shape[::-1], native)
-    from loomarray.operators.shape import transpose
-
-    return transpose(out) if head["fortran_order"] else out
+    return Array.of(session().range(-(-n // block)).mapInArrow(run, schema), shape, native)
 
 
 # ---- ZIP and NPZ

@@ -96,6 +96,16 @@ def genfromtxt(source, dtype=np.float64, comments="#", delimiter=None, skip_head
     return _table(lines, split, d, usecols, ndmin, unpack, 0, max_rows, lambda x, t: number(x, t, missing, filling_values))
 
 
+def separated(source, d: np.dtype, count: int, sep: str) -> Array:
+    """Values of a text with a separator (white space counts as one with any other), in order."""
+    mark = sep.strip()
+    tokens = F.split(F.col("value"), re.escape(mark) if mark else r"\s+")
+    found = lines_of(source).select("_k", F.posexplode(tokens).alias("_j", "_x")).where(F.trim("_x") != "")
+    rows, n = numbered(found, "_k", "_j", name="_n")
+    kept = n if count < 0 else min(n, count)
+    return Array.of(rows.where(F.col("_n") < kept).select(F.col("_n").alias(I), number(F.col("_x"), d).alias(V)), (kept,), d)
+
+
 def fromregex(source, regexp: str, dtype=np.float64) -> Array:
     """A row for each match of a pattern, a column for each of its groups."""
     d = dt.dtype(dtype)
