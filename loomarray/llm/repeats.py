@@ -212,7 +212,7 @@ def match(parts: list[bytes]) -> list[bytes]:
     chosen = np.flatnonzero(many[group] > 1)
     texts = list(ids)
     index = RunLengthIndex([texts[j] for j in chosen.tolist()], DEPTH)
-    found = index.stream(index.group_least(first[chosen]), NONE)
+    found = index.stream(first[chosen], NONE)
     # windows of each distinct snippet, one after the other, as runs of equal least id
     windows = np.fromiter(map(len, texts), np.int64, len(texts)) - DEPTH + 1
     text = np.repeat(np.arange(len(windows)), windows)

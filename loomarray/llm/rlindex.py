@@ -7,12 +7,27 @@ import math
 import numpy as np
 
 
+def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """How many symbols from places `a` and from places `b` on are equal, `most` at the most; ends count as symbols."""
+    n, each = len(text), 4  # symbols compared at once
+    padded = np.concatenate([text, np.zeros(most + each, text.dtype)]).astype(np.uint64)
+    word = sum(padded[k : n + most + k] << np.uint64(16 * k) for k in range(each))
+    out, alive = np.full(len(a), most, np.int64), np.arange(len(a))
+    for t in range(0, most, each):
+        differ = word[a[alive] + t] ^ word[b[alive] + t]
+        apart = differ > 0
+        lowest = differ[apart] & (~differ[apart] + np.uint64(1))
+        out[alive[apart]] = np.minimum(t + np.log2(lowest.astype(np.float64)).astype(np.int64) // 16, most)
+        alive = alive[~apart]
+    return out
+
+
 class RunLengthIndex:
     """Index of `texts` (bytes), whose ends sort by their order.
 
     Kept for each run of the transform: its symbol, its first row, where its first row maps to
-    (LF), and the suffixes of its first and last row.  Kept for each group of neighbouring rows
-    that share `depth` symbols: its first row.
+    (LF), and the suffixes of its first and last row, with what those share at most with the
+    suffixes beside them, cut at `depth`.  Nothing is kept for each row.
     """
 
     def __init__(self, texts: list[bytes], depth: int):
@@ -24,39 +39,60 @@ class RunLengthIndex:
         code[present] = np.arange(1, len(present) + 1)
         self.code, self.symbols = code, len(present) + 1
         # texts with one end each, one after the other; ends are 0
-        at = np.cumsum(sizes + 1) - (sizes + 1)
-        n = int((sizes + 1).sum())
-        owner = np.repeat(np.arange(m, dtype=np.int32), sizes + 1)
-        left = (np.repeat(at + sizes, sizes + 1) - np.arange(n)).astype(np.int32)  # symbols before the end
+        self.at = at = np.cumsum(sizes + 1) - (sizes + 1)
+        self.n = n = int((sizes + 1).sum())
+        left = self.left()
         text = np.zeros(n, np.int16)
         text[left > 0] = code[flat]
-        rows, shared = self._sort(text, left, owner)
+        rows = self._sort(text, left)
         before = np.where(rows > 0, text[rows - 1], 0)
-        before[left[rows] == sizes[owner[rows]]] = 0  # a whole text follows an end
+        start = np.zeros(n, bool)
+        start[at] = True
+        before[start[rows]] = 0  # a whole text follows an end
         first = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]])) if n else np.empty(0, np.int64)
         self.run_start, self.run_symbol = first, before[first]
-        size = np.diff(np.concatenate([first, [n]]))
-        smaller = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.symbols))])
+        self.run_size = size = np.diff(np.concatenate([first, [n]]))
+        self.smaller = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.symbols))])
         order = np.argsort(self.run_symbol, kind="stable")
         s = size[order]
         ahead = np.cumsum(s) - s  # of runs with smaller symbols or the same, earlier: just C + rank
         self.run_to = np.empty(len(first), np.int64)
         self.run_to[order] = ahead
-        self.smaller = smaller
         self.sample_first, self.sample_last = rows[first], rows[np.concatenate([first[1:] - 1, [n - 1]])] if n else rows[:0]
         self.by_symbol = {c: np.flatnonzero(self.run_symbol == c) for c in range(self.symbols)}
-        self.run_size = size
-        self.group_start = np.flatnonzero(np.concatenate([[True], ~shared])) if n else np.empty(0, np.int64)
-        self.n, self.at, self._rows, self._owner = n, at, rows, owner
+        del rows, before
+        self._sample(order, text, left)
+
+    def left(self) -> np.ndarray:
+        """Symbols from each place to the end of its text."""
+        return (np.repeat(self.at + self.sizes, self.sizes + 1) - np.arange(self.n)).astype(np.int32)
 
-    def _sort(self, text: np.ndarray, left: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows in suffix order (prefix doubling), and whether neighbours share `depth` symbols.
+    def _sample(self, order: np.ndarray, text: np.ndarray, left: np.ndarray):
+        """Places whose neighbour above does not follow from the next place's, their neighbours, and what they share.
+
+        Where rows next to each other have one symbol before them, the rows of those symbols are
+        next to each other too.  So only the symbol before a run's first row starts anew: above it
+        stands the symbol before the last row of the run that precedes it among its symbol's runs
+        (or among the symbol's before).  Ends start anew as well; above each is the text before's.
+        """
+        ends = self.at + self.sizes
+        head = self.run_symbol[order] > 0
+        place, above = self.sample_first[order] - 1, np.concatenate([[0], self.sample_last[order][:-1] - 1])[: len(order)]
+        above[head & np.concatenate([[False], ~head[:-1]])[: len(order)]] = self.n - 1  # the least symbol comes after the last end
+        place, above = place[head], above[head]
+        shared = np.minimum(common(text, place, above, self.depth), np.minimum(left[place], left[above]))
+        place, above = np.concatenate([place, ends]), np.concatenate([above, ends[:1], ends[:-1]])
+        by = np.argsort(place)
+        self.sampled, self.above, self.shared = place[by], above[by], np.concatenate([shared, np.zeros(len(ends), shared.dtype)])[by]
+
+    def _sort(self, text: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Rows in suffix order, by prefix doubling.
 
         Keys carry their place in the low bits, so sorting values sorts places.
         """
         n = len(text)
         if not n:
-            return np.empty(0, np.int64), np.empty(0, bool)
+            return np.empty(0, np.int64)
         low = np.uint64(n.bit_length())
         place, mask = np.arange(n, dtype=np.uint64), np.uint64((1 << n.bit_length()) - 1)
 
@@ -104,60 +140,49 @@ class RunLengthIndex:
                 key, word = joined(key, word, words[k], 1 << k), word + (1 << k)
         del words
         rank, kinds = ranks(key)
-        depth, kept = word, None
-        longest = int(left.max(initial=0))
-        while True:
-            if kept is None and 2 * depth >= self.depth:
-                # ranks at min(depth, self.depth) settle which rows share self.depth symbols
-                kept = (rank, moved(rank, self.depth - depth)) if depth <= self.depth else (self._exact(text, left), None)
-            if depth > longest or kinds == n:
-                break
+        depth, longest = word, int(left.max(initial=0))
+        while depth <= longest and kinds < n:
             rank, kinds = ranks(rank, moved(rank, depth))
             depth *= 2
-        order = (np.sort((rank << low) | place) & mask).astype(np.int64)  # equal suffixes by their texts' order
-        a, b = kept or (rank, None)  # all apart, or none long enough
-        a = a[order]
-        same = a[1:] == a[:-1]
-        if b is not None:
-            b = b[order]
-            same &= b[1:] == b[:-1]
-        long = left[order] >= self.depth
-        return order, same & long[1:] & long[:-1]
-
-    def _exact(self, text: np.ndarray, left: np.ndarray) -> np.ndarray:
-        """Class of the first `depth` symbols, where a word holds more than that."""
-        key = np.zeros(len(text), np.int64)
-        padded = np.concatenate([text, np.zeros(self.depth, text.dtype)])
-        for k in range(self.depth):
-            key = key * self.symbols + np.where(left > k, padded[k : k + len(text)], 0)
-        return key
+        return (np.sort((rank << low) | place) & mask).astype(np.int64)  # equal suffixes by their texts' order
 
     @property
     def runs(self) -> int:
         return len(self.run_start)
 
-    def group_least(self, value: np.ndarray) -> np.ndarray:
-        """Least `value` (one a text) in each group."""
-        return np.minimum.reduceat(value[self._owner[self._rows]], self.group_start) if self.n else value[:0]
+    def statistics(self) -> tuple[np.ndarray, np.ndarray]:
+        """Matching statistics of the indexed texts: for each place, how much its suffix shares with the one
+        above it in suffix order, cut at `depth`, and the place of that one.
+
+        Read off the samples: `k` places ahead of a sampled one, `k` symbols more are shared.
+        """
+        sample = np.repeat(np.arange(len(self.sampled)), np.diff(self.sampled, prepend=-1))
+        away = self.sampled[sample] - np.arange(self.n)
+        return np.minimum(self.shared[sample] + away, self.depth), self.above[sample] - away
 
-    def stream(self, least: np.ndarray, missing) -> np.ndarray:
-        """Matching statistics of the indexed texts against all of them, cut at `depth`.
+    def stream(self, value: np.ndarray, missing) -> np.ndarray:
+        """For every place with `depth` symbols: the least `value` (one a text) of all places that have the same.
 
-        All texts step backwards together, from their ends, by LF.  The runs are spread to a table of
-        rows for that time, so a step is a look-up.  Result, text after text and an end each: for
-        every place with `depth` symbols, `least` of the group it is in.
+        Long matches hang together in chains, each place by the one above it; chains are followed in
+        leaps that double.  Result, text after text and an end each; `missing` where a text is too short.
         """
         out = np.full(self.n, missing)
-        kind = np.int32 if self.n < 1 << 31 else np.int64
-        step = np.repeat((self.run_to - self.run_start).astype(kind), self.run_size) + np.arange(self.n, dtype=kind)
-        value = np.repeat(least, np.diff(np.concatenate([self.group_start, [self.n]])))
-        order = np.argsort(-self.sizes, kind="stable")  # the longest first, so those left are the first
-        row, end, size = order.astype(kind), (self.at + self.sizes)[order], self.sizes[order]
-        for t in range(1, int(self.sizes.max(initial=0)) + 1):
-            stay = len(size) - int(np.searchsorted(size[::-1], t))
-            row, end, size = step[row[:stay]], end[:stay], size[:stay]
-            if t >= self.depth:
-                out[end - t] = value[row]
+        own = np.flatnonzero(self.left() >= self.depth)
+        length, above = self.statistics()
+        number = np.zeros(self.n, np.int64)
+        number[own] = np.arange(len(own))
+        up = np.where(length[own] >= self.depth, number[above[own]], np.arange(len(own)))
+        del length, above, number
+        least = np.repeat(value, self.sizes + 1)[own]
+        while True:
+            further = up[up]
+            least = np.minimum(least, least[up])
+            if (further == up).all():
+                break
+            up = further
+        whole = least.copy()
+        np.minimum.at(whole, up, least)
+        out[own] = whole[up]
         return out
 
     def _rank(self, c: int, row: int) -> int:

@@ -487,7 +487,7 @@ def test_run_length_index():
                 s[rng.randrange(len(s))] = rng.choice(letters)
             texts.append(bytes(s))
         index, value = RunLengthIndex(texts, depth), np.array([rng.randint(0, 50) for _ in texts])
-        got, best = index.stream(index.group_least(value), 99), {}
+        got, best = index.stream(value, 99), {}
         for s, v in zip(texts, value, strict=True):
             for p in range(len(s) - depth + 1):
                 best[s[p : p + depth]] = min(best.get(s[p : p + depth], 99), v)
@@ -500,6 +500,15 @@ def test_run_length_index():
                 assert n == sum(x[i : i + len(part)] == part for x in texts for i in range(len(x) - len(part) + 1))
                 assert texts[at[0]][at[1] : at[1] + len(part)] == part
         assert index.find(b"\xff\x00nothing")[0] in (0, 1)
+        ordered = sorted(([x + len(texts) for x in s[i:]] + [k], int(index.at[k]) + i) for k, s in enumerate(texts) for i in range(len(s) + 1))
+        length, above = index.statistics()
+        for (a, p), (b, q) in zip(ordered, ordered[1:], strict=False):
+            same = next(i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y)
+            assert (length[q], above[q]) == (min(same, depth), p)
+        assert length[ordered[0][1]] == 0
+        assert len(index.sampled) <= index.runs + len(texts)
+    empty = RunLengthIndex([], 50)
+    assert empty.n == 0 and len(empty.stream(np.empty(0, np.int64), 99)) == 0
 
 
 # ---- all
