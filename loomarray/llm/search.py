@@ -60,7 +60,7 @@ def narrow(tf: np.ndarray) -> np.ndarray:
 
 
 def invert(docs: np.ndarray, terms: np.ndarray, tf: np.ndarray) -> dict[str, np.ndarray]:
-    """Postings by term, and in a term by document."""
+    """Postings by term, and in a term in the order given."""
     order = np.argsort(terms, kind="stable")
     terms, docs, tf = terms[order], docs[order], tf[order]
     new = np.ones(len(terms), bool)
