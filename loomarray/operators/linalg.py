@@ -1,4 +1,5 @@
-"""Linear algebra: contractions are joins and sums; factorisations go to NumPy, a matrix of a stack at a time."""
+"""Linear algebra: contractions are joins and sums; factorisations go to NumPy, a matrix of a stack at a time, or
+blocks of rows of one tall matrix (`tall`)."""
 
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ from loomarray import dtypes as dt
 from loomarray.cells import I, V, Array, asarray, axes_of, coords, elementwise, mapped, ravel, size_of
 from loomarray.functions import elementwise as ew
 from loomarray.operators import reductions as red
+from loomarray.operators import tall
 from loomarray.operators.dense import blocks
 from loomarray.operators.shape import broadcast_to, expand_dims, matrix_transpose, moveaxis, permute_dims, swapaxes, transpose  # noqa: F401
 
@@ -257,9 +259,23 @@ def inv(a) -> Array:
 def pinv(a, rcond: float = 1e-15) -> Array:
     a = _float(a)
     m, n = a.shape[-2:]
+    if tall.fits(a):
+        return transpose(tall.pinv_transposed(a, rcond))
+    if tall.fits(across := _across(a)):
+        return tall.pinv_transposed(across, rcond)
     return _matrices(a, lambda x: np.linalg.pinv(x, rcond), ((n, m), None))
 
 
+def _across(a: Array) -> Array:
+    """A matrix with its axes swapped, for what a wide one shares with a tall one; stacks as they are."""
+    return transpose(a) if a.ndim == 2 else a
+
+
+def _triangle(a: Array) -> Array | None:
+    """The tall one of a matrix and its transpose, if there is one that goes by blocks of rows."""
+    return next((x for x in (a, _across(a)) if tall.fits(x)), None)
+
+
 def _together(a: Array, b: Array):
     """Matrices of two stacks side by side, as one stack, and how many columns are the first's."""
     from loomarray.operators.shape import concatenate
@@ -287,12 +303,21 @@ def lstsq(a, b, rcond=None):
     both, k = _together(a, b.reshaped((b.size, 1)) if vector else b)
     m, p = both.shape[-2], both.shape[-1] - k
     full = m > k
+    if tall.fits(both):
+        most = np.finfo(both.dtype).eps * max(m, k) if rcond is None else rcond
+        return _least(tall.lstsq(both, k, most), full, k, vector)
 
     def f(x):
         s, r, rank, sv = np.linalg.lstsq(x[:, :k], x[:, k:], rcond)
         return s, r if len(r) else np.full(p, np.nan), np.array(rank), sv
 
-    s, r, rank, sv = _matrices(both, f, ((k, p), None), ((p,), dt.part(both.dtype)), ((), np.dtype("int64")), ((min(m, k),), dt.part(both.dtype)))
+    outs = _matrices(both, f, ((k, p), None), ((p,), dt.part(both.dtype)), ((), np.dtype("int64")), ((min(m, k),), dt.part(both.dtype)))
+    return _least(outs, full, k, vector)
+
+
+def _least(found, full: bool, k: int, vector: bool):
+    """Results of `lstsq` in NumPy's form: without full rank there are no residuals."""
+    s, r, rank, sv = found
     rank_ = int(rank.item())
     if not full or rank_ < k:
         r = asarray(np.empty(0))
@@ -302,6 +327,8 @@ def lstsq(a, b, rcond=None):
 def qr(a, mode: str = "reduced"):
     a = _float(a)
     m, n = a.shape[-2:]
+    if mode != "complete" and tall.fits(a):
+        return tall.qr(a, mode)
     k = m if mode == "complete" else min(m, n)
     if mode == "r":
         return _matrices(a, lambda x: np.linalg.qr(x, "r"), ((min(m, n), n), None))
@@ -320,12 +347,19 @@ def svd(a, full_matrices: bool = True, compute_uv: bool = True):
     k = min(m, n)
     if not compute_uv:
         return svdvals(a)
+    if not full_matrices and tall.fits(a):
+        return tall.svd(a)
+    if not full_matrices and tall.fits(across := _across(a)):
+        u, s, v = tall.svd(across)
+        return transpose(v), s, transpose(u)
     u, v = (m, n) if full_matrices else (k, k)
     return _matrices(a, lambda x: tuple(np.linalg.svd(x, full_matrices)), ((m, u), None), ((k,), dt.part(a.dtype)), ((v, n), None))
 
 
 def svdvals(a) -> Array:
     a = _float(a)
+    if (x := _triangle(a)) is not None:
+        return tall.of_triangle(x, lambda r: np.linalg.svd(r, compute_uv=False), (x.shape[1],))
     return _matrices(a, lambda x: np.linalg.svd(x, compute_uv=False), ((min(a.shape[-2:]),), dt.part(a.dtype)))
 
 
@@ -368,6 +402,8 @@ def eigvalsh(a, UPLO: str = "L") -> Array:  # noqa: N803
 
 def cond(a, p=None) -> Array:
     a = _float(a)
+    if p in (None, 2, -2) and (x := _triangle(a)) is not None:
+        return tall.of_triangle(x, lambda r: np.linalg.cond(r, p), ())
     return _matrices(a, lambda x: np.linalg.cond(x, p), ((), dt.part(a.dtype)))
 
 
@@ -375,6 +411,14 @@ def matrix_rank(a, tol=None) -> Array:
     a = _float(a)
     if a.ndim < 2:
         return red.any(a).astype(np.int64)
+    if (x := _triangle(a)) is not None:
+        small = np.finfo(x.dtype).eps * max(x.shape)
+
+        def rank(r):
+            s = np.linalg.svd(r, compute_uv=False)
+            return np.array(float((s > (s[0] * small if tol is None else tol)).sum()))
+
+        return tall.of_triangle(x, rank, (), np.int64)
     return _matrices(a, lambda x: np.linalg.matrix_rank(x, tol), ((), np.dtype("int64")))
 
 
