@@ -14,7 +14,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import loomarray as la
-from loomarray.cells import I, V, Array, byteswap, from_column, view
+from loomarray.cells import I, V, Array, byteswap, from_column, from_columns, view
+from loomarray.operators import tall
 from loomarray.plans.queries import CELLS, QUERIES, SQL, WIDTH, _K, _POS, _by_column, _by_row, _cells, _holes, _whole, made, matrix, of_column, of_columns, of_matrix, shared_folder, shown, sql_neat
 
 LA = la.linalg
@@ -111,6 +112,40 @@ for _name, _f, _sql in [
     of_matrix(f"linalg_{_name.removeprefix('linalg_')}" if not _name.startswith("linalg_") else f"linalg_of_{_name.removeprefix('linalg_')}", _f, _sql)
 
 
+# ---- one tall matrix, by blocks of rows whatever its size: a constant, quantities and prices of line items
+def tall_columns(spark, sf_dir: str) -> Array:
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    q, p = from_columns(df, ["l_quantity", "l_extendedprice"], ["l_orderkey", "l_linenumber"])
+    q, p = q.astype(np.float64), p.astype(np.float64)
+    return la.stack([q * 0.0 + 1.0, q / 10.0, p / 10000.0], axis=1)
+
+
+def tall_fit(a: Array) -> Array:
+    """Intercept and slope of prices by quantities."""
+    return tall.lstsq(a, 2, 1e-12)[0]
+
+
+def tall_gram(a: Array) -> Array:
+    return gram(tall.qr(a, "r")) / float(a.shape[0])
+
+
+def tall_orthogonal(a: Array) -> Array:
+    return gram(tall.qr(a)[0])
+
+
+_TALL = "WITH t AS (SELECT 1.0::DOUBLE AS c0, l_quantity::DOUBLE / 10 AS c1, l_extendedprice::DOUBLE / 10000 AS c2 FROM lineitem) "
+_THREE = "SELECT k::BIGINT AS i, ((k // 3 = k % 3)::INT)::DOUBLE AS v FROM (SELECT unnest(range(9)) AS k)"
+for _name, _f, _sql in [
+    ("lstsq", tall_fit, f"SELECT 0::BIGINT AS i, {sql_neat('regr_intercept(c2, c1)')} AS v FROM t UNION ALL SELECT 1::BIGINT, {sql_neat('regr_slope(c2, c1)')} FROM t"),
+    ("qr_r", tall_gram, " UNION ALL ".join(f"SELECT {3 * j + k}::BIGINT AS i, {sql_neat(f'avg(c{j} * c{k})')} AS v FROM t" for j in range(3) for k in range(3))),
+    ("qr", tall_orthogonal, _THREE),
+    ("pinv", lambda a: la.matmul(la.transpose(tall.pinv_transposed(a, 1e-15)), a), _THREE),
+    ("svdvals", lambda a: la.sum(la.square(tall.of_triangle(a, lambda r: np.linalg.svd(r, compute_uv=False), (3,)))) / float(a.shape[0]), f"SELECT 0::BIGINT AS i, {sql_neat('avg(c0 * c0 + c1 * c1 + c2 * c2)')} AS v FROM t"),
+]:
+    QUERIES[f"linalg_tall_{_name}"] = lambda spark, sf_dir, f=_f, shown=shown: shown(f(tall_columns(spark, sf_dir)))
+    SQL[f"linalg_tall_{_name}"] = _TALL + _sql
+
+
 # ---- transforms
 _DFT = "SELECT r, k, sum(v * cos(2 * pi() * k * c / 64)) AS re, -sum(v * sin(2 * pi() * k * c / 64)) AS im FROM m, (SELECT unnest(range({0})) AS k) GROUP BY r, k"
 _FOUR = "SELECT r, k, l, sum(v * cos(2 * pi() * (k * (c // 8) + l * (c % 8)) / 8)) AS re, -sum(v * sin(2 * pi() * (k * (c // 8) + l * (c % 8)) / 8)) AS im FROM m, (SELECT unnest(range(8)) AS k), (SELECT unnest(range({0})) AS l) GROUP BY r, k, l"
