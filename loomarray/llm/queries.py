@@ -74,13 +74,19 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomarray.llm.merkle import manifest
+
+    return manifest(documents(spark, sf_dir))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomarray.llm.divergence import divergence_rules
 
     return divergence_rules(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_shard, op3_top_k, op4_near_duplicates, op5_mix, op6_fingerprints, op7_token_files, op8_repeats, op9_token_counts, op10_pack, op13_divergence)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_shard, op3_top_k, op4_near_duplicates, op5_mix, op6_fingerprints, op7_token_files, op8_repeats, op9_token_counts, op10_pack, op12_manifest, op13_divergence)}
 
 #: DuckDB SQL for what SQL can express.
 ORACLE_SQL: dict[str, str] = {}
