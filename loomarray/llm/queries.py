@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomarray.llm.common import documents
+from loomarray.llm.sql import COLLOCATIONS
 
 
 def tokenizer_file(name: str) -> str:
@@ -74,6 +75,12 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomarray.llm.collocations import collocations
+
+    return collocations(documents(spark, sf_dir), least=30, longest=4, best=2000)
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomarray.llm.merkle import manifest
 
@@ -86,7 +93,7 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_rules(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_shard, op3_top_k, op4_near_duplicates, op5_mix, op6_fingerprints, op7_token_files, op8_repeats, op9_token_counts, op10_pack, op12_manifest, op13_divergence)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_shard, op3_top_k, op4_near_duplicates, op5_mix, op6_fingerprints, op7_token_files, op8_repeats, op9_token_counts, op10_pack, op11_collocations, op12_manifest, op13_divergence)}
 
 #: DuckDB SQL for what SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_collocations": COLLOCATIONS}
