@@ -15,10 +15,10 @@ from loomarray.llm.hashing import U, mix
 
 #: Words of the longest phrases.
 LONGEST = 4
-#: Shards that the scan goes round.
-SHARDS = 4
+#: Shards that the scan goes round.  More of them start longer phrases earlier, and sum up what is open more often.
+SHARDS = 2
 #: Texts of a block of coded words.
-BLOCK = 4 << 20
+BLOCK = 8 << 20
 #: Bits of the filter of phrases that have reached the threshold.  Where it fills up, more phrases are counted than
 #: need be, and come out the same.
 BITS = 1 << 26
@@ -51,7 +51,7 @@ def coded(texts: list[str]) -> tuple[list[str], np.ndarray]:
     return [w.decode() for w in numbers][2:], np.maximum(line - 1, 0)
 
 
-def in_shards(docs: DataFrame, shards: int) -> DataFrame:
+def in_shards(docs: DataFrame, shards: int, block: int = BLOCK) -> DataFrame:
     """Texts coded once, in blocks of one language each: shard, lang, n (words), words, line.  A written table, a folder a shard."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -74,7 +74,7 @@ def in_shards(docs: DataFrame, shards: int) -> DataFrame:
             for lang, text in zip(batch.column("lang").to_pylist(), texts_of(batch), strict=True):
                 held.setdefault(lang, []).append(text)
                 size += len(text)
-                if size >= BLOCK:
+                if size >= block:
                     yield from out()
                     size = 0
         yield from out()
@@ -98,18 +98,19 @@ def longer(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(h * U(0x9E3779B97F4A7C15) + w)
 
 
-def bits_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return h & U(BITS - 1), (h >> U(32)) & U(BITS - 1)
+def bits_of(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each hash in a filter of a power of two bits."""
+    return h & U(bits - 1), (h >> U(32)) & U(bits - 1)
 
 
 def within(cells: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Which hashes a filter may have; never no to one it has."""
-    a, b = bits_of(h)
+    a, b = bits_of(h, len(cells) << 6)
     return ((cells[a >> U(6)] >> (a & U(63))) & (cells[b >> U(6)] >> (b & U(63))) & U(1)).astype(bool)
 
 
-def filter_of(reached: DataFrame) -> np.ndarray:
-    """The filter of these phrases (lang, phrase): BITS bits, whatever their number; set bits are gathered by cells."""
+def filter_of(reached: DataFrame, bits: int = BITS) -> np.ndarray:
+    """The filter of these phrases (lang, phrase): so many bits, whatever their number; set bits are gathered by cells."""
 
     def cells(batches):
         for batch in batches:
@@ -120,11 +121,11 @@ def filter_of(reached: DataFrame) -> np.ndarray:
                 for k in range(1, len(words)):
                     h = longer(h, words[k : k + 1])
                 out[i] = h[0]
-            at = np.concatenate(bits_of(out))
+            at = np.concatenate(bits_of(out, bits))
             yield pa.RecordBatch.from_arrays([pa.array((at >> U(6)).astype(np.int64)), pa.array((U(1) << (at & U(63))).view(np.int64))], ["cell", "bits"])
 
     got = reached.select("lang", "phrase").mapInArrow(cells, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(BITS >> 6, U)
+    out = np.zeros(bits >> 6, U)
     out[got["cell"].to_numpy()] = got["bits"].to_numpy().view(U)
     return out
 
@@ -198,7 +199,7 @@ def scan(shard: DataFrame, step: int, shards: int, now: np.ndarray, before: np.n
     return shard.select("lang", "words", "size", "line").mapInArrow(run, "lang string, phrase string, n int, new long")
 
 
-def frequent(docs: DataFrame, least: int = 30, longest: int = LONGEST, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
+def frequent(docs: DataFrame, least: int = 30, longest: int = LONGEST, shards: int = SHARDS, block: int = BLOCK, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """All phrases of up to `longest` words with `least` occurrences or more, and the words of each language.
 
     The corpus is dealt to shards, which are scanned round and round.  Single words are counted from
@@ -211,22 +212,22 @@ def frequent(docs: DataFrame, least: int = 30, longest: int = LONGEST, shards: i
 
     Returns (lang, phrase, n, a) and (lang, n).
     """
-    lines = in_shards(docs, shards)
+    lines = in_shards(docs, shards, block)
     step, last, closed, open_ = 0, 0, [], None
-    filters = [np.zeros(BITS >> 6, U)]  # as each step left it; those of the last cycle and the one before
+    filters = [np.zeros(bits >> 6, U)]  # as each step left it; those of the last cycle and the one before
     while step < last + shards or step < shards:
         step += 1
         shard = lines.where(F.col("shard") == (step - 1) % shards)
         rows = scan(shard, step, shards, filters[-1], filters[0] if step > shards else None, longest).select("lang", "phrase", "n", "new", F.lit(0).cast("long").alias("a"), F.lit(step).alias("first"))
         if open_ is not None:
             rows = rows.unionByName(open_.select("lang", "phrase", "n", F.lit(0).cast("long").alias("new"), "a", "first"))
-        sums = rows.groupBy("lang", "phrase", "n").agg(F.sum("new").alias("new"), F.sum("a").alias("a"), F.min("first").alias("first"))
+        sums = rows.groupBy("lang", "phrase").agg(F.first("n").alias("n"), F.sum("new").alias("new"), F.sum("a").alias("a"), F.min("first").alias("first"))
         merged = materialise(sums.select("lang", "phrase", "n", (F.col("a") + F.col("new")).alias("a"), "first", (F.col("a") < least).alias("short")), "counts")
         through = F.col("first") + shards - 1 <= step
         through = through | (step >= shards) & (F.col("n") == 1)
         reached = merged.where((F.col("a") >= least) & F.col("short") & (F.col("n") < longest))
         closed.append(materialise(merged.where(through & (F.col("a") >= least)).select("lang", "phrase", "n", "a"), "frequent"))
-        gained = filter_of(reached)
+        gained = filter_of(reached, bits)
         if gained.any():
             last = step
         filters = [*filters, filters[-1] | gained][-shards - 1 :]
@@ -245,7 +246,7 @@ def part(phrase: Column, first: int, size: int) -> Column:
     return F.array_join(F.slice(F.split(phrase, " "), first + 1, size), " ")
 
 
-def collocations(docs: DataFrame, least: int = 30, longest: int = LONGEST, best: int = 2000, shards: int = SHARDS) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, longest: int = LONGEST, best: int = 2000, shards: int = SHARDS, block: int = BLOCK, bits: int = BITS) -> DataFrame:
     """The phrases of each language whose words stand together most.
 
     Texts are lowered (A-Z only) and cut at `. , ; : ! ?` and line ends into pieces; words are runs of
@@ -259,7 +260,7 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = LONGEST, best:
     1), phrase, a, l, r, n, score.
     """
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    found, words = frequent(docs, least, longest, shards)
+    found, words = frequent(docs, least, longest, shards, block, bits)
     known = found.select("lang", "phrase", "a")
     candidates = found.where("n > 1")
     cuts = candidates.select("lang", "phrase", "n", "a", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("k"))
