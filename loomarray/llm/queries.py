@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomarray.llm.common import documents
-from loomarray.llm.sql import COLLOCATIONS
+from loomarray.llm.sql import COLLOCATIONS, DIVERGENCE, MANIFEST
 
 
 def tokenizer_file(name: str) -> str:
@@ -96,4 +96,4 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_quality, op2_shard, op3_top_k, op4_near_duplicates, op5_mix, op6_fingerprints, op7_token_files, op8_repeats, op9_token_counts, op10_pack, op11_collocations, op12_manifest, op13_divergence)}
 
 #: DuckDB SQL for what SQL can express.
-ORACLE_SQL: dict[str, str] = {"op11_collocations": COLLOCATIONS}
+ORACLE_SQL: dict[str, str] = {"op11_collocations": COLLOCATIONS, "op12_manifest": MANIFEST, "op13_divergence": DIVERGENCE}
