@@ -130,6 +130,41 @@ def nearer(size: np.ndarray, copies: np.ndarray, miss: float, low: np.ndarray, h
     return copies
 
 
+#: Documents whose copies `reached` tries in all numbers, the shortest ones, and words that these may have.
+FEW, WORDS = 48, 1 << 22
+
+
+def reached(size: np.ndarray, copies: np.ndarray, miss: float, most: int) -> np.ndarray:
+    """`copies` with the least miss that 0 to `most` copies of each of the FEW shortest documents can reach.
+
+    The sums that the first k documents can make are the bits of a number; the way back gives the copies.
+    """
+    who = np.flatnonzero(size > 0)
+    who = who[np.argsort(size[who], kind="stable")][:FEW]
+    who = who[: int(np.searchsorted(np.cumsum(size[who]) * most, WORDS, side="right"))]
+    if not len(who):
+        return copies
+    want = max(0, round(float((size[who] * copies[who]).sum()) - miss))
+    sums = [1]
+    for n in size[who].tolist():
+        line = sums[-1]
+        for k in range(1, most + 1):
+            line |= sums[-1] << k * n
+        sums.append(line)
+    above, below = sums[-1] >> want, sums[-1] & ((1 << want) - 1)
+    up = want + (above & -above).bit_length() - 1 if above else None
+    down = below.bit_length() - 1 if below else None
+    at = min((x for x in (up, down) if x is not None), key=lambda x: abs(x - want))
+    if abs(miss) <= abs(at - float((size[who] * copies[who]).sum()) + miss) + 1e-9:
+        return copies
+    out = copies.copy()
+    for i, line in zip(who[::-1], sums[-2::-1], strict=True):
+        n = int(size[i])
+        out[i] = next(k for k in range(most + 1) if at >= k * n and line >> at - k * n & 1)
+        at -= int(out[i]) * n
+    return out
+
+
 def whole(p: np.ndarray) -> np.ndarray:
     """What is within rounding error of 0 or 1."""
     return (p <= 1e-9) | (p >= 1 - 1e-9)
@@ -174,6 +209,9 @@ def rounded(seed: int, level: int, last: bool, most: int):
                 miss = float((size * (copies - had - first)).sum())
                 if abs(miss) >= max(1, size[size > 0].min(initial=1)):
                     copies = nearer(size, copies, miss, low + 0 * copies, high + 0 * copies)
+            miss = float((size * (copies - had - first)).sum())
+            if abs(miss) >= 1:
+                copies = reached(size, copies, miss, most)
         rest = np.where(done, np.nan, p)
         put = lambda t, name, a: t.set_column(t.schema.get_field_index(name), name, a)
         return put(put(table, "copies", pa.array(copies, pa.int64())), "p", pa.array(rest, pa.float64(), mask=np.isnan(rest)))
@@ -189,8 +227,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     (its rows dealt by a hash of doc_id, so a source of any size is many leaves), then among what
     the leaves leave over, some 16 of their shortest documents each, up a tree of fan-in 64; the last one
     of a source is rounded to the nearer side.  Where that misses by more than its shortest document, a few
-    documents of the root have one copy more or less; so a source misses its target by less than one of
-    its shortest documents where it has some dozens, and one of few documents by what their sizes leave.
+    documents of the root have one copy more or less; and where a word or more is missed after that, the
+    shortest of them get the copies, 0 to `most`, whose sum is the nearest that any numbers give (`reached`).
 
     Only one row a source comes to the driver.  Draws depend on the seed, the source and the node
     alone, so reruns agree.

@@ -553,3 +553,20 @@ def test_stages_keep_columns_of_any_name(spark, tmp_path):
             assert len(rows) == plain.count(), name
             assert all(r[n] == (-1 if r.doc_id is None else r.doc_id) * 100 + k for r in rows for k, n in enumerate(CLASHING)), name
         assert stage(spark, wide.where("false"), str(tmp_path)).count() == 0, name
+
+
+def test_mix_reaches_the_best_sum():
+    """Sources of few documents miss their target by no more than any numbers of copies must."""
+    from itertools import product
+
+    from loomarray.llm.mixing import reached
+
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        size = rng.integers(0, 60, 5)
+        copies = np.where(size > 0, rng.integers(0, 4, 5), 0)
+        want = float(rng.uniform(0, 3 * size.sum()))
+        best = min(abs(float(np.dot(k, size)) - want) for k in product(range(4), repeat=5))
+        got = reached(size, copies, float((size * copies).sum()) - want, 3)
+        assert got.min() >= 0 and got.max() <= 3
+        assert abs(float((size * got).sum()) - want) <= best + 0.5  # whole words are aimed at
