@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -138,18 +136,26 @@ def shifted(a: Array, axis: int, by: int, chunk: int = CHUNK) -> tuple[DataFrame
     return df, F.col(V), F.col("_w"), F.col("_none")
 
 
-def diff(a, n: int = 1, axis: int = -1) -> Array:
-    """Differences of neighbours, n times."""
+def diff(a, n: int = 1, axis: int = -1, prepend=None, append=None) -> Array:
+    """Differences of neighbours, n times; values to `prepend` or `append` along the axis come first (a scalar is one slice)."""
     a = asarray(a)
+    if n < 0:
+        raise ValueError("order must be non-negative")
     (k,) = axes_of(axis, a.ndim)
+    if prepend is not None or append is not None:
+        from loomarray.operators.shape import broadcast_to, concatenate
+
+        def ends(x):
+            x = asarray(x)
+            return x if x.ndim else broadcast_to(x, (*a.shape[:k], 1, *a.shape[k + 1 :]))
+
+        a = concatenate([*([] if prepend is None else [ends(prepend)]), a, *([] if append is None else [ends(append)])], axis=k)
     name = "not_equal" if a.dtype.kind == "b" else "subtract"
     for _ in range(n):
         df, own, after, none = shifted(a, k, 1)
         shape = (*a.shape[:k], max(0, a.shape[k] - 1), *a.shape[k + 1 :])
-        rest = [j for j in range(a.ndim) if j != k]
         cs = coords(F.col(I), a.shape)
         value = ew.apply(name, [after, own], [a.dtype, a.dtype])[0]
-        del rest
         a = Array.of(df.where(~none).select(ravel(cs, shape).alias(I), value.alias(V)), shape, a.dtype)
     return a
 
@@ -227,44 +233,25 @@ def trapezoid(y, x=None, dx: float = 1.0, axis: int = -1) -> Array:
 
 
 def convolve(a, v, mode: str = "full") -> Array:
-    """Discrete convolution; the shorter operand is read on the driver and slides over the other."""
-    return _slide(a, v, mode, flip=True)
+    """Discrete convolution of two lines of any length (see `convolution.convolved`)."""
+    a, v = asarray(a), asarray(v)
+    return _slide(a, v, mode, False, (min(a.size, v.size) - 1) // 2)
 
 
 def correlate(a, v, mode: str = "valid") -> Array:
-    """Cross-correlation, c[k] = sum a[n + k] conj(v[n])."""
-    return _slide(a, v, mode, flip=False)
+    """Cross-correlation, c[k] = sum a[n + k] conj(v[n]): the convolution with the second line turned round."""
+    a, v = asarray(a), asarray(v)
+    if v.dtype.kind == "c":
+        v = elementwise("conjugate", v)
+    short = min(a.size, v.size)
+    return _slide(a, v, mode, True, (short - 1) // 2 if a.size >= v.size else short // 2)
 
 
-def _slide(a, v, mode: str, flip: bool) -> Array:
-    a, v = asarray(a), asarray(v)
-    n, m = a.size, v.size
-    if not n or not m:
+def _slide(a: Array, v: Array, mode: str, backwards: bool, half: int) -> Array:
+    from loomarray.operators.convolution import convolved
+
+    n, m = max(a.size, v.size), min(a.size, v.size)
+    if not m:
         raise ValueError("an operand is empty")
-    swap = m > n
-    if not flip and v.dtype.kind == "c":
-        v = elementwise("conjugate", v)
-    long, short = (v, a) if swap else (a, v)
-    kernel = short.numpy()
-    if not flip:
-        kernel = kernel[::-1] if not swap else kernel
-    d = np.result_type(a.dtype, v.dtype)
-    long = long.reshaped((long.size,)).astype(d)
-    if not flip and swap:
-        from loomarray.operators.shape import flip as flip_
-
-        long = flip_(long)
-    n, m = max(n, m), min(n, m)
-    terms = F.array(*(F.struct(F.lit(j).cast("long").alias("j"), dt.lit(x, d).alias("k")) for j, x in enumerate(kernel.tolist())))
-    spread = long.df.select(I, V, F.explode(terms).alias("_t")).select((F.col(I) + F.col("_t.j")).alias(I), ew.multiply(d, F.col(V), F.col("_t.k")).alias(V))
-    from loomarray.operators.reductions import _sum
-
-    low, high = {"full": (0, n + m - 1), "same": ((m - 1) // 2, (m - 1) // 2 + n), "valid": (m - 1, n)}[mode]
-    kept = spread.where((F.col(I) >= low) & (F.col(I) < high))
-    out = kept.groupBy(I).agg((F.bool_or(V) if d.kind == "b" else _sum(d, F.col(V))).alias(V))
-    if not flip and swap and mode == "same":
-        pass
-    return Array.of(out.select((F.col(I) - low).alias(I), V), (high - low,), d)
-
-
-del math
+    low, high = {"full": (0, n + m - 1), "same": (half, half + n), "valid": (m - 1, n)}[mode]
+    return convolved(a, v, backwards, np.result_type(a.dtype, v.dtype), low, high)

@@ -140,44 +140,49 @@ def compress(condition, a, axis=None) -> Array:
 
 
 def searchsorted(a, v, side: str = "left", sorter=None) -> Array:
-    """Where to put values in a sorted array so that it stays sorted.
+    """Where to put values in a sorted array so that it stays sorted: the number of edges before each, by an as-of merge."""
+    from loomarray.operators.merging import asof
 
-    Values and edges are sorted together once; a value's place is the number of edges before it.
-    """
     a, v = asarray(a), asarray(v)
     if sorter is not None:
         from loomarray.operators.indexing import take
 
         a = take(a, sorter)
     d = np.result_type(a.dtype, v.dtype)
-    edges = a.df.select(F.lit(-1).cast("long").alias("_j"), dt.cast(F.col(V), a.dtype, d).alias("x"))
-    values = v.df.select(F.col(I).alias("_j"), dt.cast(F.col(V), v.dtype, d).alias("x"))
-    first = F.col("_j") >= 0 if side == "left" else F.col("_j") < 0  # among equals: values before edges, or after
-    df, _ = numbered(edges.union(values), key(d, F.col("x")), ~first, F.col("_j"), name="_r", n=a.size + v.size)
-    is_edge = (F.col("_j") < 0).cast("long")
-    line = Array.of(df.select(F.col("_r").alias(I), is_edge.alias(V)), (a.size + v.size,), I64)
-    from loomarray.operators.scans import cumsum
+    edges = a.bag.select(key(d, dt.cast(F.col(V), a.dtype, d)).alias("x"), F.lit(0).alias("y"))
+    values = v.df.select(I, key(d, dt.cast(F.col(V), v.dtype, d)).alias("x"))
+    out = asof(values, edges, a.size + v.size, side == "right")
+    return Array.of(out.select(I, F.col("_before").alias(V)), v.shape, I64)
+
+
+def _few(edges) -> bool:
+    """Whether edges come to the driver: those that are there already, and arrays of a bounded size."""
+    from loomarray.operators.merging import LITERAL
 
-    count = cumsum(line).df.select(F.col(I).alias("_r"), F.col(V).alias("_c"))
-    out = df.where(F.col("_j") >= 0).join(count, "_r").select(F.col("_j").alias(I), F.col("_c").alias(V))
-    return Array.of(out, v.shape, I64)
+    return not isinstance(edges, Array) or edges.size <= LITERAL
 
 
 def digitize(x, bins, right: bool = False) -> Array:
-    """The bin of each value; bins ascend or descend and are read on the driver."""
+    """The bin of each value; bins ascend or descend.
+
+    Few bins, or bins of the driver, are searched by halves; those of a larger array are merged with the values.
+    """
+    from loomarray.operators.merging import found
+
     x = asarray(x)
+    if not _few(bins):
+        n = bins.size
+        down = bool(bins[0].item() > bins[n - 1].item())
+        place = searchsorted(bins, x, "left" if right else "right")
+        return place.with_value(lambda c: F.lit(n).cast("long") - c, I64) if down else place
     edges = np.asarray(bins.numpy() if isinstance(bins, Array) else bins, float)
-    down = len(edges) > 1 and edges[0] > edges[-1]
-    up = np.sort(edges)
-    c = F.array(*map(F.lit, up.tolist())) if len(up) else F.array().cast("array<double>")
+    n, down = len(edges), len(edges) > 1 and edges[0] > edges[-1]
+    c = F.array(*map(F.lit, np.sort(edges).tolist())) if n else F.array().cast("array<double>")
 
     def f(v):
         v = v.cast("double")
-        if down:
-            n = F.size(F.filter(c, lambda e: (e >= v) if right else (e > v)))
-        else:
-            n = F.size(F.filter(c, lambda e: (e < v) if right else (e <= v)))
-        return F.when(F.isnan(v), F.lit(0 if down else len(edges))).otherwise(n).cast("long")
+        k = found(c, n, v, not right)
+        return F.when(F.isnan(v), F.lit(0 if down else n)).otherwise(n - k if down else k).cast("long")
 
     return x.with_value(f, I64)
 
@@ -200,8 +205,51 @@ def _from_values(df: DataFrame, d: np.dtype) -> Array:
     return Array(out, F.col("_r"), F.col("x"), (n,), d)
 
 
-def unique(a, return_index: bool = False, return_inverse: bool = False, return_counts: bool = False):
+def _packed(a: Array, axis: int) -> DataFrame:
+    """Each slice across `axis`: its place `o` and its cells in order, `x`; one zero and one NaN."""
+    (k,) = axes_of(axis, a.ndim)
+    rest = [j for j in range(a.ndim) if j != k]
+    cs = coords(F.col(I), a.shape)
+    v = F.col(V)
+    if a.dtype.kind == "f":
+        v = v + F.lit(0).cast(dt.spark_type(a.dtype))
+    elif a.dtype.kind == "c":
+        v = dt.cplx(v["re"] + F.lit(0.0), v["im"] + F.lit(0.0), a.dtype)
+    cells = a.df.select(cs[k].alias("o"), F.struct(ravel([cs[j] for j in rest], [a.shape[j] for j in rest]).alias("p"), v.alias("v")).alias("c"))
+    return cells.groupBy("o").agg(F.transform(F.sort_array(F.collect_list("c")), lambda c: c["v"]).alias("x"))
+
+
+def _unique_slices(a: Array, axis: int, return_index: bool, return_inverse: bool, return_counts: bool):
+    """Distinct slices across an axis, in the order of their cells.
+
+    A slice is one value of the plan, so it has to fit in a task; slices meet by their hash and are
+    compared in full, and their places come from ranges of whole slices (`numbered`).
+    """
+    (k,) = axes_of(axis, a.ndim)
+    rest = [j for j in range(a.ndim) if j != k]
+    slices = _packed(a, k)
+    sums = slices.groupBy("x").agg(F.count("*").alias("n"), F.min("o").alias("first"))
+    values, n = numbered(sums, F.col("x"), name="_r")
+    shape = tuple(n if j == k else s for j, s in enumerate(a.shape))
+    within = coords(F.col("_p").cast("long"), [a.shape[j] for j in rest])
+    at = [within[rest.index(j)] if j != k else F.col("_r") for j in range(a.ndim)]
+    cells = values.select("_r", F.posexplode("x").alias("_p", V)).select(ravel(at, shape).alias(I), V)
+    out = [Array.of(cells, shape, a.dtype)]
+    if return_index:
+        out.append(Array(values, F.col("_r"), F.col("first"), (n,), I64))
+    if return_inverse:
+        own = slices.select("o", F.col("x").alias("y"))
+        out.append(Array.of(own.join(values.select("x", "_r"), F.col("x") == F.col("y")).select(F.col("o").alias(I), F.col("_r").alias(V)), (a.shape[k],), I64))
+    if return_counts:
+        out.append(Array(values, F.col("_r"), F.col("n"), (n,), I64))
+    return out[0] if len(out) == 1 else tuple(out)
+
+
+def unique(a, return_index: bool = False, return_inverse: bool = False, return_counts: bool = False, axis: int | None = None):
+    """Distinct values in order, with the first place, the place among them, and the count of each; across an axis, distinct slices."""
     a = asarray(a)
+    if axis is not None:
+        return _unique_slices(a, axis, return_index, return_inverse, return_counts)
     values = _from_values(_values(a, return_index), a.dtype)
     out = [values]
     if return_index:
@@ -386,7 +434,9 @@ def _bin(v: Column, edges: np.ndarray) -> Column:
         k = F.least(F.greatest(k, F.lit(0)), F.lit(n - 1))
         k = F.when(v < F.get(c, k), k - 1).when((v >= F.get(c, k + 1)) & (k < n - 1), k + 1).otherwise(k)
     else:
-        k = F.least(F.size(F.filter(c, lambda e: e <= v)) - 1, F.lit(n - 1))
+        from loomarray.operators.merging import found
+
+        k = F.least(found(c, n + 1, v, True) - 1, F.lit(n - 1))
     return F.when((v >= float(edges[0])) & (v <= float(edges[-1])) & ~F.isnan(v), k)
 
 

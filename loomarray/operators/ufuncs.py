@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loomarray import dtypes as dt
@@ -137,25 +140,74 @@ def promote_types(a, b) -> np.dtype:
     return np.promote_types(a, b)
 
 
-def interp(x, xp, fp, left=None, right=None) -> Array:
-    """Linear interpolation between the points (xp, fp); xp ascends.  The points are read on the driver."""
+def interp(x, xp, fp, left=None, right=None, period=None) -> Array:
+    """Linear interpolation between the points (xp, fp); xp ascends.  With a `period`, points and values wrap around.
+
+    Few points, or points of the driver, are searched by halves; those of larger arrays are merged with
+    the values (`merging.asof`), and none of them comes to the driver.
+    """
+    from loomarray.operators.sorting import _few
+
     x = asarray(x)
+    if period is not None and float(period) == 0:
+        raise ValueError("period must be a non-zero value")
+    if not (_few(xp) and _few(fp)):
+        return _merged(x, asarray(xp), asarray(fp), left, right, period)
     knots, values = (np.asarray(p.numpy() if isinstance(p, Array) else p, float) for p in (xp, fp))
+    if period is not None:
+        period, left, right = math.fabs(period), None, None
+        order = np.argsort(knots % period, kind="stable")
+        knots, values = (knots % period)[order], values[order]
+        knots, values = np.concatenate([knots[-1:] - period, knots, knots[:1] + period]), np.concatenate([values[-1:], values, values[:1]])
+        x = elementwise("mod", x, period)
+    from loomarray.operators.merging import found
+
+    n = len(knots)
     k, y = (F.array(*map(F.lit, a.tolist())) for a in (knots, values))
     low = float(values[0]) if left is None else float(left)
     high = float(values[-1]) if right is None else float(right)
 
     def f(v):
         v = v.cast("double")
-        at = F.least(F.size(F.filter(k, lambda e: e <= v)), F.lit(len(knots) - 1))  # knots up to v; 1 .. n - 1 inside
-        a = F.when(at >= 1, at).otherwise(1)
-        x0, x1, y0, y1 = (F.element_at(c, i) for c, i in ((k, a), (k, F.least(a + 1, F.lit(len(knots)))), (y, a), (y, F.least(a + 1, F.lit(len(knots))))))
-        inside = y0 + F.coalesce(F.try_divide(y1 - y0, x1 - x0), F.lit(0.0)) * (v - x0)
-        return F.when(F.isnan(v), v).when(v < float(knots[0]), low).when(v > float(knots[-1]), high).when(v == float(knots[-1]), float(values[-1])).otherwise(inside)
+        at = F.greatest(F.least(found(k, n, v, True), F.lit(n - 1)), F.lit(1)).cast("int")  # points up to v; 1 .. n - 1 inside
+        x0, x1, y0, y1 = (F.get(c, i) for c, i in ((k, at - 1), (k, F.least(at, F.lit(n - 1))), (y, at - 1), (y, F.least(at, F.lit(n - 1)))))
+        return _between(v, x0, y0, x1, y1, low, high, float(knots[0]), float(knots[-1]), float(values[-1]))
 
     return x.with_value(f, np.float64)
 
 
+def _between(v, x0, y0, x1, y1, low, high, first, last, final) -> Column:
+    inside = y0 + F.coalesce(F.try_divide(y1 - y0, x1 - x0), F.lit(0.0)) * (v - x0)
+    return F.when(F.isnan(v), v).when(v < first, low).when(v > last, high).when(v == last, final).otherwise(F.when(v == x0, y0).otherwise(inside))
+
+
+def _merged(x: Array, xp: Array, fp: Array, left, right, period) -> Array:
+    """`interp` of points that are spread over the cluster: each value meets the points next to it."""
+    from loomarray.cells import I, V, mapped
+    from loomarray.operators.merging import asof
+
+    if xp.size != fp.size:
+        raise ValueError("fp and xp are not of the same length")
+    if period is not None:
+        period, left, right = math.fabs(period), None, None
+        x, xp = elementwise("mod", x, period), elementwise("mod", xp, period)
+    both = mapped(lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y")), np.float64, xp, fp)
+    points = both.bag.select(F.col(V)["x"].alias("x"), F.col(V)["y"].alias("y"))
+    ends = points.agg(F.min(F.struct("x", "y")), F.max(F.struct("x", "y"))).first()
+    (x_low, y_low), (x_high, y_high) = ends
+    if period is not None:
+        from loomarray.cells import session
+
+        wrapped = [(x_high - period, y_high), (x_low + period, y_low)]
+        points = points.unionByName(session().createDataFrame(wrapped, "x double, y double"))
+        (x_low, y_low), (x_high, y_high) = wrapped
+    values = x.df.select(I, (F.col(V).cast("double") + 0.0).alias("x"))
+    out = asof(values, points, x.size + xp.size, True, sides=True)
+    low, high = (float(d if given is None else given) for d, given in ((y_low, left), (y_high, right)))
+    v, p, q = F.col("x"), F.col("_prev"), F.coalesce("_next", "_prev")
+    return Array.of(out.select(I, _between(v, p["x"], p["y"], q["x"], q["y"], low, high, x_low, x_high, y_high).alias(V)), x.shape, np.float64)
+
+
 def packbits(a, axis=None, bitorder: str = "big") -> Array:
     """Eight truth values to a byte along an axis (flattened without one)."""
     from loomarray.cells import I, V, axes_of, coords, ravel
