@@ -92,6 +92,8 @@ class Array:
 
     #: The table behind an array whose places are not numbered yet.
     _table: Rows | None = None
+    #: What keeps a frame in the cluster's memory for this array; it goes with the arrays that hold it.
+    _kept = None
 
     # ---- frames
     @property
@@ -150,6 +152,7 @@ class Array:
         """Give back what `cached` keeps.  The array stays usable: its plan is run again."""
         if self._frame is not None:
             self._frame.unpersist()
+        self._kept = None
 
     def __enter__(self) -> Array:
         return self
@@ -559,8 +562,15 @@ def numbered(df: DataFrame, *order, name: str = I, n: int | None = None) -> tupl
 class Rows:
     """A table whose rows are cells in a given order; they are counted at once, and numbered when a place is asked for."""
 
-    def __init__(self, df: DataFrame, order: Sequence[Column]):
-        self.df, self.order, self.count, self._numbered = df, list(order), df.count(), None
+    def __init__(self, df: DataFrame, order: Sequence[Column], values: Sequence[str]):
+        kinds = {c: df.schema[c] for c in values}
+        floats = [c for c, f in kinds.items() if isinstance(f.dataType, (T.FloatType, T.DoubleType)) and f.nullable]
+        whole = [c for c, f in kinds.items() if c not in floats and f.nullable]
+        n, *known = df.agg(F.count(F.lit(1)), *(F.count(f"`{c}`") for c in whole)).first()
+        if lacking := [c for c, k in zip(whole, known, strict=True) if k < n]:
+            raise ValueError(f"null in column {lacking[0]}: only floats have a value for it, NaN")
+        self.df = df.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(math.nan).cast(kinds[c].dataType)) for c in floats})
+        self.order, self.count, self._numbered = list(order), n, None
 
     @property
     def numbered(self) -> DataFrame:
@@ -578,20 +588,20 @@ def from_column(df: DataFrame, value: str | Column, order_by: Sequence, dtype=No
     """A table's column as a one-dimensional array, in a given order of the rows (ties must not matter).
 
     Rows are numbered only where a place is needed: functions of the values and reductions of all of them
-    read the table as it stands.
+    read the table as it stands.  A null is NaN in a column of floats, and an error in others.
     """
     v = F.col(value) if isinstance(value, str) else value
     order = [c if isinstance(c, Column) else F.col(c) for c in order_by]
     kept = df.select(v.alias(V), *(c.alias(f"_o{k}") for k, c in enumerate(order)))
-    rows = Rows(kept, [F.col(f"_o{k}") for k in range(len(order))])
+    rows = Rows(kept, [F.col(f"_o{k}") for k in range(len(order))], [V])
     a = rows.array(F.col(V), dt.of_spark(kept.schema[V].dataType))
     return a if dtype is None else a.astype(dtype)
 
 
 def from_columns(df: DataFrame, values: Sequence[str], order_by: Sequence) -> list[Array]:
-    """Columns of one table as arrays of one frame: functions of them are projections."""
+    """Columns of one table as arrays of one frame: functions of them are projections.  Nulls are as in `from_column`."""
     names = list(dict.fromkeys([*values, *order_by]))
-    rows = Rows(df.select(*names), [F.col(c) for c in order_by])
+    rows = Rows(df.select(*names), [F.col(c) for c in order_by], list(dict.fromkeys(values)))
     return [rows.array(F.col(v), dt.of_spark(rows.df.schema[v].dataType)) for v in values]
 
 

@@ -41,6 +41,21 @@ def arrow(values: np.ndarray, d: np.dtype):
     return pa.array(values.astype(held))
 
 
+class Kept:
+    """A frame that several arrays read, persisted as long as one of them is there.  Later plans of it run it again."""
+
+    def __init__(self, df):
+        self.df = df.persist()
+
+    def __del__(self):
+        from py4j.protocol import Py4JError
+
+        try:
+            self.df.unpersist()
+        except (Py4JError, OSError, TypeError, AttributeError):  # the session has ended
+            return
+
+
 def blocks(a: Array, axes: Sequence[int], f: Callable[[np.ndarray], np.ndarray | tuple], outs: Sequence[tuple[Sequence[int], np.dtype]]) -> list[Array]:
     """`f` on every block over `axes` (put last, in that order); each result has a shape and type in `outs`."""
     rest = [k for k in range(a.ndim) if k not in axes]
@@ -68,9 +83,11 @@ def blocks(a: Array, axes: Sequence[int], f: Callable[[np.ndarray], np.ndarray |
         return pa.concat_tables(parts)
 
     out = df.groupBy("_o").applyInArrow(run, T.StructType(fields))
-    if len(outs) > 1:
-        out = out.persist()
-    return [Array.of(out.where(F.col("_n") == k).select(I, F.col(f"v{k}").alias(V)), (*outer, *s), t) for k, (s, t) in enumerate(outs)]
+    kept = Kept(out) if len(outs) > 1 else None
+    arrays = [Array.of(out.where(F.col("_n") == k).select(I, F.col(f"v{k}").alias(V)), (*outer, *s), t) for k, (s, t) in enumerate(outs)]
+    for a in arrays:
+        a._kept = kept
+    return arrays
 
 
 def along(a: Array, axis: int, f: Callable[[np.ndarray], np.ndarray], length: int, dtype) -> Array:

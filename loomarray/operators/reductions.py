@@ -237,7 +237,7 @@ def _at(a: Array, q: list[float]) -> list[float]:
     for p in q:
         x = p * (n - 1)
         lo, hi = math.floor(x), math.ceil(x)
-        out.append(got[lo] + (got[hi] - got[lo]) * (x - lo))
+        out.append(got[lo] if got[lo] == got[hi] else (hi - x) * got[lo] + (x - lo) * got[hi])  # as `percentile` does: inf stays inf
     return out
 
 
@@ -260,7 +260,7 @@ def quantile(a, q, axis=None, keepdims: bool = False) -> Array:
         outs = [asarray(np.array(x, d)).reshaped(shape) for x in _at(a, qs.ravel().tolist())]
     else:
         for p in qs.ravel().tolist():
-            outs.append(grouped(a, axis, keepdims, lambda v, _, p=p: ew.shaped(F.when(F.bool_or(ew.is_nan(v, a.dtype)), math.nan).otherwise(F.percentile(v.cast("double"), F.lit(p))), d), d))
+            outs.append(grouped(a, axis, keepdims, lambda v, _, p=p: ew.shaped(F.when(F.bool_or(ew.is_nan(v, a.dtype)), math.nan).otherwise(F.coalesce(F.percentile(v.cast("double"), F.lit(p)), F.lit(math.nan))), d), d))
     if not qs.ndim:
         return outs[0]
     from loomarray.operators.shape import stack

@@ -104,3 +104,58 @@ def test_reductions_scans_shapes(spark):
     chk('bto',lambda:h.broadcast_to(ii,(2,2,3)),np.broadcast_to(Ii,(2,2,3)))
     for m in ('constant','edge','linear_ramp','maximum','mean','median','minimum','reflect','symmetric','wrap'): chk(('pad',m),lambda:h.pad(a,((1,0),(2,1),(0,3)) if m!='reflect' else ((1,0),(2,1),(0,3)),m),np.pad(A,((1,0),(2,1),(0,3)),m))
     chk.done()
+
+
+def test_quantiles_of_infinite_values(spark, monkeypatch):
+    """One rule on both sides of the size from which quantiles go by ranges."""
+    chk = Checks()
+    for values in ([1.0, np.inf, np.inf, np.inf, 2.0], [-np.inf, 3.0, 4.0, -np.inf], [np.inf] * 4, [1.0, 2.0, np.nan], [5.0]):
+        x = np.array(values)
+        for size in (1 << 18, 0):
+            monkeypatch.setattr(r, "GATHERED", size)
+            chk((values, size), lambda: r.median(local(x)), np.median(x))
+            chk((values, size, "q"), lambda: r.quantile(local(x), 0.5), np.median(x))
+    chk.done()
+
+
+def test_long_median_with_inf(spark):
+    from loomarray.cells import generated
+    from pyspark.sql import functions as F
+
+    a = generated((400_001,), np.float64, lambda i: F.when(i % 4 == 0, i.cast("double")).otherwise(float("inf")))
+    assert r.median(a).item() == np.inf
+
+
+def test_nulls_of_a_column(spark):
+    from loomarray.cells import from_column, from_columns
+    from loomarray.operators import sorting as so
+
+    df = spark.createDataFrame([(k, None if k % 3 else float(k), k if k != 4 else None, k) for k in range(10)], "k long, x double, n long, m long")
+    x = from_column(df, "x", ["k"])
+    expected = np.array([np.nan if k % 3 else float(k) for k in range(10)])
+    assert np.array_equal(x.numpy(), expected, equal_nan=True)
+    assert np.array_equal(so.sort(x).numpy(), np.sort(expected), equal_nan=True)
+    assert np.isnan(r.sum(x).item()) and r.nansum(x).item() == np.nansum(expected)
+    assert from_column(df, "m", ["k"]).numpy().tolist() == list(range(10))
+    for make in (lambda: from_column(df, "n", ["k"]), lambda: from_columns(df, ["x", "n"], ["k"])):
+        try:
+            make()
+        except ValueError as problem:
+            assert "null" in str(problem)
+        else:
+            raise AssertionError("a null among whole numbers is no value")
+    assert np.isnan(r.median(from_column(df.where("k > 99"), "x", ["k"])).item())
+
+
+def test_frames_go_with_their_arrays(spark):
+    import gc
+
+    from loomarray.operators import linalg
+
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    w, v = linalg.eigh(local(np.array([[[2.0, 1.0], [1.0, 3.0]]] * 3)))
+    assert w.numpy().shape == (3, 2) and v.numpy().shape == (3, 2, 2)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() > before
+    del w, v
+    gc.collect()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
