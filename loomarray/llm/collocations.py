@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,8 @@ from pyspark.sql.window import Window
 from loomarray.llm.common import bounded_batches, discard, fresh_path, give_back, materialise, texts_of, turn_to_other_work
 from loomarray.llm.hashing import U, mix
 
+#: Stands between language and phrase in the key that phrases are grouped by; no phrase has it.
+TAB = "\t"
 #: Words of the longest phrases.
 LONGEST = 4
 #: Shards that the scan goes round.  More of them start longer phrases earlier, and sum up what is open more often.
@@ -110,12 +113,12 @@ def within(cells: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def filter_of(reached: DataFrame, bits: int = BITS) -> np.ndarray:
-    """The filter of these phrases (lang, phrase): so many bits, whatever their number; set bits are gathered by cells."""
+    """The filter of these phrases (column key): so many bits, whatever their number; set bits are gathered by cells."""
 
     def cells(batches):
         for batch in batches:
             out = np.empty(batch.num_rows, U)
-            for i, (lang, phrase) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True)):
+            for i, (lang, phrase) in enumerate(x.rsplit(TAB, 1) for x in batch.column("key").to_pylist()):
                 words = word_hashes(lang, phrase.split(" "))
                 h = words[:1]
                 for k in range(1, len(words)):
@@ -124,7 +127,7 @@ def filter_of(reached: DataFrame, bits: int = BITS) -> np.ndarray:
             at = np.concatenate(bits_of(out, bits))
             yield pa.RecordBatch.from_arrays([pa.array((at >> U(6)).astype(np.int64)), pa.array((U(1) << (at & U(63))).view(np.int64))], ["cell", "bits"])
 
-    got = reached.select("lang", "phrase").mapInArrow(cells, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
+    got = reached.select("key").mapInArrow(cells, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(bits >> 6, U)
     out[got["cell"].to_numpy()] = got["bits"].to_numpy().view(U)
     return out
@@ -157,8 +160,8 @@ def active(line: np.ndarray, hashes: np.ndarray, now: np.ndarray, before: np.nda
                 g[place] = b[place] & within(f, found)
 
 
-def counted(line: np.ndarray, words: list[str], place: np.ndarray, n: int) -> tuple[list[str], np.ndarray]:
-    """The distinct phrases of n words at these places, and how often each stands there."""
+def counted(line: np.ndarray, words: pa.StringArray, place: np.ndarray, n: int, lang: str) -> tuple[pa.StringArray, np.ndarray]:
+    """The keys of the distinct phrases of n words at these places, and how often each stands there."""
     key = line[place].astype(np.int64)
     for k in range(1, n):
         if k > 1:
@@ -166,37 +169,37 @@ def counted(line: np.ndarray, words: list[str], place: np.ndarray, n: int) -> tu
         key = key * (len(words) + 1) + line[place + k]
     _, first, count = np.unique(key, return_index=True, return_counts=True)
     at = place[first]
-    parts = [[words[i] for i in (line[at + k] - 1).tolist()] for k in range(n)]
-    return list(map(" ".join, zip(*parts, strict=True))), count
+    phrases = pc.binary_join_element_wise(*(words.take(pa.array(line[at + k] - 1)) for k in range(n)), " ")
+    return pc.binary_join_element_wise(pa.scalar(lang), phrases, TAB), count
 
 
 def scan(shard: DataFrame, step: int, shards: int, now: np.ndarray, before: np.ndarray | None, longest: int) -> DataFrame:
-    """Counts of the phrases that are active in this step, block by block: lang, phrase, n, new."""
+    """Counts of the phrases that are active in this step, block by block: key, n, new."""
     filters = shard.sparkSession.sparkContext.broadcast((now, before))  # BITS bits each
 
     def run(batches):
         turn_to_other_work()
         now, before = filters.value
-        names, kinds = ["lang", "phrase", "n", "new"], (pa.string(), pa.string(), pa.int32(), pa.int64())
 
-        def out(lang, n, phrases, count):
-            for i in range(0, len(phrases), 50_000):
-                part = phrases[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(([lang] * len(part), part, [n] * len(part), count[i : i + 50_000]), kinds, strict=True)], names)
+        def out(n, keys, count):
+            for i in range(0, len(keys), 50_000):
+                part = keys[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([part, pa.array(np.full(len(part), n, np.int32)), pa.array(count[i : i + 50_000], pa.int64())], ["key", "n", "new"])
 
         for batch in batches:
-            for row in batch.to_pylist():
-                lang, words = row["lang"], row["words"]
-                line = np.frombuffer(pa.decompress(row["line"], row["size"] * 4, "zstd", asbytes=True), np.int32)
+            for i in range(batch.num_rows):
+                lang, words, size, packed = (batch.column(c)[i] for c in ("lang", "words", "size", "line"))
+                lang, words = lang.as_py(), words.values
+                line = np.frombuffer(pa.decompress(packed.as_buffer(), size.as_py() * 4, "zstd", asbytes=True), np.int32)
                 if step <= shards:
-                    yield from out(lang, 1, words, np.bincount(line, minlength=len(words) + 1)[1:])
+                    yield from out(1, pc.binary_join_element_wise(pa.scalar(lang), words, TAB), np.bincount(line, minlength=len(words) + 1)[1:])
                 if step > 1:
-                    for n, place in active(line, word_hashes(lang, words), now, before, longest):
+                    for n, place in active(line, word_hashes(lang, words.to_pylist()), now, before, longest):
                         if len(place):
-                            yield from out(lang, n, *counted(line, words, place, n))
+                            yield from out(n, *counted(line, words, place, n, lang))
         give_back()
 
-    return shard.select("lang", "words", "size", "line").mapInArrow(run, "lang string, phrase string, n int, new long")
+    return shard.select("lang", "words", "size", "line").mapInArrow(run, "key string, n int, new long")
 
 
 def frequent(docs: DataFrame, least: int = 30, longest: int = LONGEST, shards: int = SHARDS, block: int = BLOCK, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
@@ -218,15 +221,15 @@ def frequent(docs: DataFrame, least: int = 30, longest: int = LONGEST, shards: i
     while step < last + shards or step < shards:
         step += 1
         shard = lines.where(F.col("shard") == (step - 1) % shards)
-        rows = scan(shard, step, shards, filters[-1], filters[0] if step > shards else None, longest).select("lang", "phrase", "n", "new", F.lit(0).cast("long").alias("a"), F.lit(step).alias("first"))
+        rows = scan(shard, step, shards, filters[-1], filters[0] if step > shards else None, longest).select("key", "n", "new", F.lit(0).cast("long").alias("a"), F.lit(step).alias("first"))
         if open_ is not None:
-            rows = rows.unionByName(open_.select("lang", "phrase", "n", F.lit(0).cast("long").alias("new"), "a", "first"))
-        sums = rows.groupBy("lang", "phrase").agg(F.first("n").alias("n"), F.sum("new").alias("new"), F.sum("a").alias("a"), F.min("first").alias("first"))
-        merged = materialise(sums.select("lang", "phrase", "n", (F.col("a") + F.col("new")).alias("a"), "first", (F.col("a") < least).alias("short")), "counts")
+            rows = rows.unionByName(open_.select("key", "n", F.lit(0).cast("long").alias("new"), "a", "first"))
+        sums = rows.groupBy("key").agg(F.first("n").alias("n"), F.sum("new").alias("new"), F.sum("a").alias("a"), F.min("first").alias("first"))
+        merged = materialise(sums.select("key", "n", (F.col("a") + F.col("new")).alias("a"), "first", (F.col("a") < least).alias("short")), "counts")
         through = F.col("first") + shards - 1 <= step
         through = through | (step >= shards) & (F.col("n") == 1)
         reached = merged.where((F.col("a") >= least) & F.col("short") & (F.col("n") < longest))
-        closed.append(materialise(merged.where(through & (F.col("a") >= least)).select("lang", "phrase", "n", "a"), "frequent"))
+        closed.append(materialise(merged.where(through & (F.col("a") >= least)).select("key", "n", "a"), "frequent"))
         gained = filter_of(reached, bits)
         if gained.any():
             last = step
@@ -234,11 +237,14 @@ def frequent(docs: DataFrame, least: int = 30, longest: int = LONGEST, shards: i
         if open_ is not None:
             discard(spent)
         spent, open_ = merged, merged.where(~through)
-    closed.append(materialise(open_.where(F.col("a") >= least).select("lang", "phrase", "n", "a"), "frequent"))  # through as well: first seen late in their cycle
+    closed.append(materialise(open_.where(F.col("a") >= least).select("key", "n", "a"), "frequent"))  # through as well: first seen late in their cycle
     discard(spent)
     found = closed[0]
     for more in closed[1:]:
         found = found.unionByName(more)
+    phrase = F.substring_index("key", TAB, -1)
+    lang = F.left("key", F.char_length("key") - F.char_length(phrase) - 1)
+    found = found.select(lang.alias("lang"), phrase.alias("phrase"), "n", "a")
     return found, lines.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
