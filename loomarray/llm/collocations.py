@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from loomarray.llm.common import bounded_batches, discard, fresh_path, give_back, materialise, texts_of, turn_to_other_work
 from loomarray.llm.hashing import U, mix
 
-#: Stands between language and phrase in the key that phrases are grouped by; no phrase has it.
+#: Stands between language and phrase in the key that phrases are grouped by, which begins with their number of words; no phrase has it.
 TAB = "\t"
 #: Words of the longest phrases.
 LONGEST = 4
@@ -119,7 +119,7 @@ def filter_of(reached: DataFrame, bits: int = BITS) -> np.ndarray:
         for batch in batches:
             out = np.empty(batch.num_rows, U)
             for i, (lang, phrase) in enumerate(x.rsplit(TAB, 1) for x in batch.column("key").to_pylist()):
-                words = word_hashes(lang, phrase.split(" "))
+                words = word_hashes(lang[1:], phrase.split(" "))
                 h = words[:1]
                 for k in range(1, len(words)):
                     h = longer(h, words[k : k + 1])
@@ -170,21 +170,20 @@ def counted(line: np.ndarray, words: pa.StringArray, place: np.ndarray, n: int,
     _, first, count = np.unique(key, return_index=True, return_counts=True)
     at = place[first]
     phrases = pc.binary_join_element_wise(*(words.take(pa.array(line[at + k] - 1)) for k in range(n)), " ")
-    return pc.binary_join_element_wise(pa.scalar(lang), phrases, TAB), count
+    return pc.binary_join_element_wise(pa.scalar(f"{n}{lang}"), phrases, TAB), count
 
 
 def scan(shard: DataFrame, step: int, shards: int, now: np.ndarray, before: np.ndarray | None, longest: int) -> DataFrame:
-    """Counts of the phrases that are active in this step, block by block: key, n, new."""
+    """Counts of the phrases that are active in this step, block by block: key, new."""
     filters = shard.sparkSession.sparkContext.broadcast((now, before))  # BITS bits each
 
     def run(batches):
         turn_to_other_work()
         now, before = filters.value
 
-        def out(n, keys, count):
+        def out(keys, count):
             for i in range(0, len(keys), 50_000):
-                part = keys[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([part, pa.array(np.full(len(part), n, np.int32)), pa.array(count[i : i + 50_000], pa.int64())], ["key", "n", "new"])
+                yield pa.RecordBatch.from_arrays([keys[i : i + 50_000], pa.array(count[i : i + 50_000], pa.int64())], ["key", "new"])
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -192,18 +191,18 @@ def scan(shard: DataFrame, step: int, shards: int, now: np.ndarray, before: np.n
                 lang, words = lang.as_py(), words.values
                 line = np.frombuffer(pa.decompress(packed.as_buffer(), size.as_py() * 4, "zstd", asbytes=True), np.int32)
                 if step <= shards:
-                    yield from out(1, pc.binary_join_element_wise(pa.scalar(lang), words, TAB), np.bincount(line, minlength=len(words) + 1)[1:])
+                    yield from out(pc.binary_join_element_wise(pa.scalar(f"1{lang}"), words, TAB), np.bincount(line, minlength=len(words) + 1)[1:])
                 if step > 1:
                     for n, place in active(line, word_hashes(lang, words.to_pylist()), now, before, longest):
                         if len(place):
-                            yield from out(n, *counted(line, words, place, n, lang))
+                            yield from out(*counted(line, words, place, n, lang))
         give_back()
 
-    return shard.select("lang", "words", "size", "line").mapInArrow(run, "key string, n int, new long")
+    return shard.select("lang", "words", "size", "line").mapInArrow(run, "key string, new long")
 
 
 def frequent(docs: DataFrame, least: int = 30, longest: int = LONGEST, shards: int = SHARDS, block: int = BLOCK, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
-    """All phrases of up to `longest` words with `least` occurrences or more, and the words of each language.
+    """All phrases of up to `longest` (9 at most) words with `least` occurrences or more, and the words of each language.
 
     The corpus is dealt to shards, which are scanned round and round.  Single words are counted from
     the first step on; a longer phrase from the step after both its subphrases (without the last word,
@@ -217,19 +216,20 @@ def frequent(docs: DataFrame, least: int = 30, longest: int = LONGEST, shards: i
     """
     lines = in_shards(docs, shards, block)
     step, last, closed, open_ = 0, 0, [], None
+    words = F.ascii("key") - 48
     filters = [np.zeros(bits >> 6, U)]  # as each step left it; those of the last cycle and the one before
     while step < last + shards or step < shards:
         step += 1
         shard = lines.where(F.col("shard") == (step - 1) % shards)
-        rows = scan(shard, step, shards, filters[-1], filters[0] if step > shards else None, longest).select("key", "n", "new", F.lit(0).cast("long").alias("a"), F.lit(step).alias("first"))
+        rows = scan(shard, step, shards, filters[-1], filters[0] if step > shards else None, longest).select("key", "new", F.lit(0).cast("long").alias("a"), F.lit(step).alias("first"))
         if open_ is not None:
-            rows = rows.unionByName(open_.select("key", "n", F.lit(0).cast("long").alias("new"), "a", "first"))
-        sums = rows.groupBy("key").agg(F.first("n").alias("n"), F.sum("new").alias("new"), F.sum("a").alias("a"), F.min("first").alias("first"))
-        merged = materialise(sums.select("key", "n", (F.col("a") + F.col("new")).alias("a"), "first", (F.col("a") < least).alias("short")), "counts")
+            rows = rows.unionByName(open_.select("key", F.lit(0).cast("long").alias("new"), "a", "first"))
+        sums = rows.groupBy("key").agg(F.sum("new").alias("new"), F.sum("a").alias("a"), F.min("first").alias("first"))
+        merged = materialise(sums.select("key", (F.col("a") + F.col("new")).alias("a"), "first", (F.col("a") < least).alias("short")), "counts")
         through = F.col("first") + shards - 1 <= step
-        through = through | (step >= shards) & (F.col("n") == 1)
-        reached = merged.where((F.col("a") >= least) & F.col("short") & (F.col("n") < longest))
-        closed.append(materialise(merged.where(through & (F.col("a") >= least)).select("key", "n", "a"), "frequent"))
+        through = through | (step >= shards) & (words == 1)
+        reached = merged.where((F.col("a") >= least) & F.col("short") & (words < longest))
+        closed.append(materialise(merged.where(through & (F.col("a") >= least)).select("key", "a"), "frequent"))
         gained = filter_of(reached, bits)
         if gained.any():
             last = step
@@ -237,14 +237,14 @@ def frequent(docs: DataFrame, least: int = 30, longest: int = LONGEST, shards: i
         if open_ is not None:
             discard(spent)
         spent, open_ = merged, merged.where(~through)
-    closed.append(materialise(open_.where(F.col("a") >= least).select("key", "n", "a"), "frequent"))  # through as well: first seen late in their cycle
+    closed.append(materialise(open_.where(F.col("a") >= least).select("key", "a"), "frequent"))  # through as well: first seen late in their cycle
     discard(spent)
     found = closed[0]
     for more in closed[1:]:
         found = found.unionByName(more)
     phrase = F.substring_index("key", TAB, -1)
-    lang = F.left("key", F.char_length("key") - F.char_length(phrase) - 1)
-    found = found.select(lang.alias("lang"), phrase.alias("phrase"), "n", "a")
+    lang = F.substring("key", F.lit(2), F.char_length("key") - F.char_length(phrase) - 2)
+    found = found.select(lang.alias("lang"), phrase.alias("phrase"), words.alias("n"), "a")
     return found, lines.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
