@@ -92,6 +92,8 @@ class Array:
 
     #: The table behind an array whose places are not numbered yet.
     _table: Rows | None = None
+    #: For a matrix whose rows are vectors of a table: (table, number of the row, vector, width).
+    _vectors = None
     #: What keeps a frame in the cluster's memory for this array; it goes with the arrays that hold it.
     _kept = None
 
@@ -137,11 +139,15 @@ class Array:
             return Array(None, None, None, self.shape, dtype, lambda i: f(g(i)))
         if self._table is not None and len(self.shape) == 1:
             return self._table.array(f(self._value), dtype)
-        return Array(self.frame, self.index, f(self.value), self.shape, dtype)
+        out = Array(self.frame, self.index, f(self.value), self.shape, dtype)
+        if self._vectors is not None:
+            table, key, vector, width = self._vectors
+            out._vectors = table, key, F.transform(vector, f), width
+        return out
 
     def reshaped(self, shape: Sequence[int]) -> Array:
         out = Array(self._frame, self._index, self._value, shape, self.dtype, self.gen)
-        out._table = self._table
+        out._table, out._vectors, out._kept = self._table, self._vectors, self._kept
         return out
 
     def cached(self) -> Array:
@@ -610,7 +616,9 @@ def from_vectors(df: DataFrame, key: str, vector: str, width: int) -> Array:
     n = df.agg(F.max(key)).first()[0]
     d = dt.of_spark(df.schema[vector].dataType.elementType)
     cells = df.select(F.col(key).cast("long").alias("_r"), F.posexplode(vector).alias("_c", V)).select((F.col("_r") * width + F.col("_c")).alias(I), V)
-    return Array.of(cells, (0 if n is None else n + 1, width), d)
+    out = Array.of(cells, (0 if n is None else n + 1, width), d)
+    out._vectors = df, F.col(key).cast("long"), F.col(vector), width
+    return out
 
 
 def gather_bits(a: Array, axis: int, count, bitorder: str) -> Array:

@@ -102,3 +102,33 @@ def test_linalg_fft_random(spark):
 
     rn.BLOCK = old_block
     chk.done()
+
+
+def test_vectors_of_a_table_are_blocks(spark):
+    """Rows that are there already, of any length up to the width, and rows that are not; packed and unpacked agree."""
+    from loomarray.cells import from_vectors
+    from loomarray.operators import dense
+
+    rng = np.random.default_rng(8)
+    rows = {k: rng.normal(size=12).tolist() for k in range(40) if k not in (3, 17)}
+    rows[5], rows[6] = rows[5][:7], None
+    df = spark.createDataFrame(list(rows.items()), "k long, x array<double>").repartition(3)
+    a = from_vectors(df, "k", "x", 12)
+    expected = np.zeros((40, 12))
+    for k, x in rows.items():
+        expected[k, : len(x or [])] = x or []
+    assert a._vectors is not None
+    chk = Checks()
+    chk("cells", lambda: a, expected)
+    chk("rows", lambda: dense.along(a, 1, np.cumsum, 12, np.float64), np.cumsum(expected, 1))
+    chk("mapped", lambda: dense.along(a * 2.0, 1, np.cumsum, 12, np.float64), np.cumsum(expected * 2, 1))
+    chk("parts of rows", lambda: dense.along(a.reshaped((40, 4, 3)), 2, np.sort, 3, np.float64), np.sort(expected.reshape(40, 4, 3)))
+    chk("across rows", lambda: dense.along(a, 0, np.cumsum, 40, np.float64), np.cumsum(expected, 0))
+    chk("wider than rows", lambda: dense.along(a.reshaped((20, 24)), 1, np.cumsum, 24, np.float64), np.cumsum(expected.reshape(20, 24), 1))
+    chk("complex", lambda: dense.along(a.astype(np.complex128), 1, np.fft.fft, 12, np.complex128), np.fft.fft(expected))
+    m = np.array([[2.0, 1.0], [1.0, 3.0]]) + np.arange(30)[:, None, None]
+    chk("two results", lambda: l.eigh(local(m))[0], np.linalg.eigh(m)[0])
+    chk("long", lambda: dense.along(local(rng.permutation(3000.0 * np.ones(3000)).reshape(2, 1500)), 1, np.cumsum, 1500, np.float64), np.cumsum(3000.0 * np.ones((2, 1500)), 1))
+    chk.done()
+    plan = dense.along(a, 1, np.cumsum, 12, np.float64).df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.replace("Exchange RoundRobin", "")
