@@ -50,8 +50,10 @@ def _parse(subscripts: str, arrays: list[Array]) -> tuple[list[str], str]:
 def einsum(subscripts: str, *operands) -> Array:
     """Sums of products over repeated labels.
 
-    Operands join one after the other on the labels they share; labels that neither the result nor a
-    later operand needs are summed away at once.
+    Three operands or more meet two at a time, in the order that costs least by their shapes
+    (`contraction_order`); labels that neither the result nor an operand still to come needs are summed
+    away at once.  Two of which each sums over the labels they share go as a product of matrices, by dense
+    blocks if it is large; others join on the labels they share.
     """
     arrays = [asarray(a) for a in operands]
     terms, out = _parse(subscripts, arrays)
@@ -62,6 +64,50 @@ def einsum(subscripts: str, *operands) -> Array:
                 raise ValueError(f"operands could not be broadcast together for label {c}")
             sizes[c] = max(sizes[c], n)
     d = np.result_type(*(a.dtype for a in arrays))
+    stretched_ = any(a.shape[t.index(c)] != sizes[c] for t, a in zip(terms, arrays, strict=True) for c in t)
+    if stretched_:
+        return _cellwise(terms, out, arrays, sizes)
+    arrays = [a.astype(d) for a in arrays]
+    for pair in contraction_order(terms, out, sizes):
+        some = [(terms[i], arrays[i]) for i in pair]
+        terms, arrays = ([x for i, x in enumerate(xs) if i not in pair] for xs in (terms, arrays))
+        later = set("".join(terms)) | set(out)
+        keep = "".join(dict.fromkeys(c for t, _ in some for c in t if c in later)) if terms else out
+        made = _as_product(*some[0], *some[1], keep, sizes) if len(some) == 2 else None
+        arrays.append(made if made is not None else _cellwise([t for t, _ in some], keep, [a for _, a in some], sizes))
+        terms.append(keep)
+    return arrays[0]
+
+
+def contraction_order(terms: list[str], out: str, sizes: dict[str, int]) -> list[tuple[int, ...]]:
+    """Which operands meet, step by step; what they make is put at the end.  The search is NumPy's, on the shapes alone."""
+    if len(terms) < 3:
+        return [tuple(range(len(terms)))]
+    shapes = [np.broadcast_to(0.0, [sizes[c] for c in t]) for t in terms]
+    path, _ = np.einsum_path(f"{','.join(terms)}->{out}", *shapes, optimize="optimal" if len(terms) < 7 else "greedy")
+    return [tuple(sorted(p)) for p in path[1:]]
+
+
+def _as_product(s: str, a: Array, t: str, b: Array, out: str, sizes: dict[str, int]) -> Array | None:
+    """Two operands as matrices, if every label is either summed over in both or in the result and one of them, and the product is large."""
+    from loomarray.operators.blockwise import product
+    from loomarray.operators.shape import transpose
+
+    shared = [c for c in s if c in t]
+    left, right = ([c for c in x if c not in shared] for x in (s, t))
+    plain = len(set(s)) == len(s) and len(set(t)) == len(t) and not set(shared) & set(out) and set(left) | set(right) == set(out)
+    n, m, k = (math.prod(sizes[c] for c in x) for x in (left, shared, right))
+    if not plain or not shared or n * m * k < BY_BLOCKS or a.dtype == np.float16 or a.dtype.kind == "b":
+        return None
+    x = transpose(a, [s.index(c) for c in [*left, *shared]]).reshaped((n, m))
+    y = transpose(b, [t.index(c) for c in [*shared, *right]]).reshaped((m, k))
+    made = product(x, y).reshaped(tuple(sizes[c] for c in [*left, *right]))
+    return transpose(made, [[*left, *right].index(c) for c in out]) if made.ndim else made
+
+
+def _cellwise(terms: list[str], out: str, arrays: list[Array], sizes: dict[str, int]) -> Array:
+    """Operands join one after the other on the labels they share, cell by cell."""
+    d = np.result_type(*(a.dtype for a in arrays))
     column = lambda c: f"x{ord(c)}"
     done, labels = None, ""
     for k, (t, a) in enumerate(zip(terms, arrays, strict=True)):
@@ -96,7 +142,7 @@ def einsum(subscripts: str, *operands) -> Array:
 
 
 #: Products of cells beyond which a product of matrices goes by dense blocks.
-BY_BLOCKS = 1 << 24
+BY_BLOCKS = 1 << 21
 
 
 def _product(a: Array, b: Array) -> Array:

@@ -349,6 +349,8 @@ for _name, _f, _sql in [
 ]:
     made(f"made_{_name}", _f, _sql)
 
+of_matrix("linalg_einsum_chain", lambda a: la.einsum("ij,kj,kl->il", a, a, a), f", g AS (SELECT x.c AS p, y.c AS q, sum(x.v * y.v) AS s FROM m x JOIN m y ON x.r = y.r GROUP BY x.c, y.c) SELECT (r * {WIDTH} + q)::BIGINT AS i, {sql_neat('sum(v * s)')} AS v FROM m JOIN g ON c = p GROUP BY r, q")
+
 # ---- lines that meet lines: merges, convolutions, distinct slices
 def _two(spark, sf_dir):
     return from_column(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_totalprice", ["o_orderkey"]), from_column(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_retailprice", ["p_partkey"])

@@ -132,3 +132,24 @@ def test_vectors_of_a_table_are_blocks(spark):
     chk.done()
     plan = dense.along(a, 1, np.cumsum, 12, np.float64).df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan.replace("Exchange RoundRobin", "")
+
+
+def test_contractions_in_a_cheap_order(spark, monkeypatch):
+    """Any operands and labels, by blocks and by joins, against NumPy; the order is the one that costs least."""
+    from loomarray.operators import linalg
+
+    rng = np.random.default_rng(2)
+    size = dict(zip("abcdefi", (3, 4, 2, 5, 3, 6, 2), strict=True))
+    cases = ("ab,bc,cd->ad", "ab,cb,cd->ad", "ab,bc,cd,de->ae", "abc,bcd->ad", "abc,dcb->da", "ab,ab,bc->c", "ab,bc->", "a,b,c->abc", "aab,bc,c->a", "ab,cd,bd->ac", "abi,bci,cd->adi", "ab,b,a->", "abc->ca", "ab,bc")
+    chk = Checks()
+    for most in (1, 1 << 40):
+        monkeypatch.setattr(linalg, "BY_BLOCKS", most)
+        for case in cases:
+            terms = case.split("->")[0].split(",")
+            xs = [rng.normal(size=[size[c] for c in t]) if len(set(t)) == len(t) else rng.normal(size=(3, 3, 4)) for t in terms]
+            chk((case, most), lambda: linalg.einsum(case, *map(local, xs)), np.einsum(case, *xs))
+        z = [rng.integers(-9, 9, (5, 4)) + 1j, rng.integers(-9, 9, (4, 6))]
+        chk(("complex", most), lambda: linalg.einsum("ab,bc->ca", *map(local, z)), np.einsum("ab,bc->ca", *z))
+        chk(("stretched", most), lambda: linalg.einsum("ab,ab,bc->ac", local(np.ones((3, 1))), local(np.ones((3, 4))), local(np.ones((4, 2)))), np.full((3, 2), 4.0))
+    chk.done()
+    assert linalg.contraction_order(["ij", "kj", "kl"], "il", {"i": 2000, "j": 64, "k": 2000, "l": 64}) == [(1, 2), (0, 1)]
