@@ -214,25 +214,33 @@ def std(a, axis=None, ddof: float = 0, keepdims: bool = False, where=None) -> Ar
     return grouped(x, axis, keepdims, lambda v, p: _moment(a.dtype, v, ddof, True), dt.part(x.dtype), where)
 
 
-def _at(a: Array, q: list[float]) -> list[float]:
-    """Quantiles of all values: ranges are counted, and only those that hold a wanted place are looked into,
-    by their values' running counts.  Nothing is sorted as a whole and a few values come to the driver."""
+def at_places(keys: DataFrame, n: int, want: Sequence[int]) -> dict:
+    """What stands at places of a line of n values (column k) once it is sorted.
+
+    Ranges are counted, and only those that hold a wanted place are looked into, by their values' running
+    counts.  Nothing is sorted as a whole and a value for each place comes to the driver.
+    """
     from loomarray.cells import ranged
 
-    n = a.size
-    want = sorted({int(x) for p in q for x in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
-    if a.dtype.kind == "f" and math.isnan(a.bag.agg(F.max(V)).first()[0]):  # NaN is above all
-        return [math.nan] * len(q)
-    df, before = ranged(a.bag, F.col(V), n)
+    df, before = ranged(keys, F.col("k"), n)
     starts = sorted(before, key=before.get)
     at = {w: starts[int(np.searchsorted([before[r] for r in starts], w, side="right")) - 1] for w in want}
-    own = df.where(F.col("_range").isin(*set(at.values()))).groupBy("_range", V).agg(F.count("*").alias("_n"))
-    upto = own.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_range").orderBy(V)))
+    own = df.where(F.col("_range").isin(*set(at.values()))).groupBy("_range", "k").agg(F.count("*").alias("_n"))
+    upto = own.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_range").orderBy("k")))
     hit = F.lit(False)
     for w, r in at.items():
         hit = hit | ((F.col("_range") == r) & (F.col("_upto") > w - before[r]) & (F.col("_upto") - F.col("_n") <= w - before[r]))
     found = upto.where(hit).collect()
-    got = {w: next(float(r[V]) for r in found if r["_range"] == k and r["_upto"] - r["_n"] <= w - before[k] < r["_upto"]) for w, k in at.items()}
+    return {w: next(r["k"] for r in found if r["_range"] == k and r["_upto"] - r["_n"] <= w - before[k] < r["_upto"]) for w, k in at.items()}
+
+
+def _at(a: Array, q: list[float]) -> list[float]:
+    """Quantiles of all values."""
+    n = a.size
+    want = sorted({int(x) for p in q for x in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
+    if a.dtype.kind == "f" and math.isnan(a.bag.agg(F.max(V)).first()[0]):  # NaN is above all
+        return [math.nan] * len(q)
+    got = {w: float(x) for w, x in at_places(a.bag.select(F.col(V).alias("k")), n, want).items()}
     out = []
     for p in q:
         x = p * (n - 1)

@@ -59,13 +59,62 @@ def argsort(a, axis=-1) -> Array:
     return _to(df, shape, k, F.col("_p").cast("long"), I64)
 
 
+def _parted(a: Array, kth) -> DataFrame:
+    """A line's cells with a place `_r` each: those at the places `kth` are what a sort puts there, smaller
+    ones stand before them and larger ones after, and cells between the same places keep their order.
+
+    The values at those places are found by counting ranges (`at_places`); a cell's class follows from them, and its
+    place from counts of the classes in chunks of the line.  Nothing is sorted.
+    """
+    from loomarray.cells import _literal, div
+    from loomarray.operators.reductions import at_places
+    from loomarray.operators.scans import CHUNK
+
+    n = a.size
+    places = sorted({int(k) for k in np.ravel(kth)})
+    if any(not -n <= k < n for k in places):
+        raise ValueError(f"kth(={next(k for k in places if not -n <= k < n)}) out of bounds ({n})")
+    places = sorted({k % n for k in places})
+    k = key(a.dtype, F.col(V))
+    keys = a.bag.select(k.alias("k"))
+    pivots = list({repr(x): x for x in at_places(keys, n, places).values()}.values())  # ascending, as the places are
+    edges = [_literal(x, keys.schema["k"].dataType) for x in pivots]
+    kind = F.lit(0)
+    for e in edges:
+        kind = kind + F.when(k > e, 2).when(k.eqNullSafe(e), 1).otherwise(0)
+    cells = lines(a, 0).withColumn("_k", kind).withColumn("_c", div(F.col("_p"), CHUNK))
+    sums = cells.groupBy("_c", "_k").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_k").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dict(sums.groupBy("_k").agg(F.sum("_n")).collect())  # two for each place, and one
+    order = sorted(totals)
+    start = dict(zip(order, np.cumsum([0, *(totals[x] for x in order[:-1])]).tolist(), strict=True))
+    first = F.lit(0).cast("long")
+    for x in order:
+        first = F.when(F.col("_k") == x, F.lit(start[x]).cast("long")).otherwise(first)
+    sums = sums.select("_c", "_k", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + first).alias("_s"))
+    rank = F.row_number().over(Window.partitionBy("_c", "_k").orderBy("_p")) - 1
+    return cells.withColumn("_i", rank).join(sums, ["_c", "_k"]).withColumn("_r", F.col("_i") + F.col("_s"))
+
+
+def _partition(a, kth, axis, value: str) -> Array | None:
+    a = asarray(a)
+    if axis is None or a.ndim == 1:
+        a = a.reshaped((a.size,))
+        if a.size:
+            return _to(_parted(a, kth), a.shape, 0, F.col(value), a.dtype if value == V else I64)
+    return None
+
+
 def partition(a, kth, axis=-1) -> Array:
-    """A full sort: every place is right, not only the kth."""
-    return sort(a, axis)
+    """What a sort puts at the places `kth`, smaller values before and larger ones after.  A line as a whole is not sorted (see `_parted`); lines along an axis are."""
+    out = _partition(a, kth, axis, V)
+    return sort(a, axis) if out is None else out
 
 
 def argpartition(a, kth, axis=-1) -> Array:
-    return argsort(a, axis)
+    """The places of what `partition` gives."""
+    out = _partition(a, kth, axis, "_p")
+    return argsort(a, axis) if out is None else out
 
 
 def lexsort(keys, axis: int = -1) -> Array:

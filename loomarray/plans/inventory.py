@@ -351,6 +351,10 @@ for _name, _f, _sql in [
 
 of_matrix("linalg_einsum_chain", lambda a: la.einsum("ij,kj,kl->il", a, a, a), f", g AS (SELECT x.c AS p, y.c AS q, sum(x.v * y.v) AS s FROM m x JOIN m y ON x.r = y.r GROUP BY x.c, y.c) SELECT (r * {WIDTH} + q)::BIGINT AS i, {sql_neat('sum(v * s)')} AS v FROM m JOIN g ON c = p GROUP BY r, q")
 
+_PARTED = "SELECT (row_number() OVER (ORDER BY CASE WHEN x < t THEN 0 WHEN x = t THEN 1 ELSE 2 END, k) - 1)::BIGINT AS i, {0} AS v FROM (SELECT o_totalprice AS x, row_number() OVER (ORDER BY o_orderkey) - 1 AS k, (SELECT max(o_totalprice) FROM (SELECT o_totalprice FROM orders ORDER BY o_totalprice LIMIT 701)) AS t FROM orders)"
+of_column("column_partition", "orders", "o_totalprice", ["o_orderkey"], lambda a: la.partition(a, 700), _PARTED.format(sql_neat("x")))
+of_column("column_argpartition", "orders", "o_totalprice", ["o_orderkey"], lambda a: la.argpartition(a, 700), _PARTED.format("k::BIGINT"))
+
 # ---- lines that meet lines: merges, convolutions, distinct slices
 def _two(spark, sf_dir):
     return from_column(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_totalprice", ["o_orderkey"]), from_column(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_retailprice", ["p_partkey"])

@@ -133,3 +133,30 @@ def test_differences_with_ends(spark):
     chk("line", lambda: s.diff(local(x[0]), prepend=[1.0, 2.0], append=[3.0]), np.diff(x[0], prepend=[1.0, 2.0], append=[3.0]))
     chk.done()
     assert isinstance(s.diff(local(x), 0), Array)
+
+
+@pytest.mark.parametrize("chunk", [1 << 16, 50])
+def test_partition_of_a_line(spark, ranges, monkeypatch, chunk):
+    monkeypatch.setattr(s, "CHUNK", chunk)
+    for x in (ODD, RNG.integers(-9, 9, 700), np.array([3.0]), np.full(90, 2.0), RNG.normal(size=60) + 1j):
+        n = len(x)
+        for kth in (0, n // 2, -1, [n // 3, n // 2, n - 1]):
+            got, at = so.partition(local(x), kth).numpy(), so.argpartition(local(x), kth).numpy()
+            full = np.sort(x)
+            assert np.array_equal(np.sort(at), np.arange(n)) and np.array_equal(x[at], got, equal_nan=True)
+            places = [0, *sorted(k % n for k in np.ravel(kth)), n]
+            for k in places[1:-1]:
+                assert np.array_equal(got[k], full[k], equal_nan=True)
+            for lo, hi in zip(places, places[1:]):
+                assert np.array_equal(np.sort(got[lo:hi]), full[lo:hi], equal_nan=True)
+    with pytest.raises(ValueError):
+        so.partition(local(np.arange(4)), 4)
+
+
+def test_partition_does_not_sort(spark):
+    """No range exchange and no sort by value in the plan; order is asked for within chunks only."""
+    plan = so.partition(cells.generated((300_000,), np.int64, lambda i: (i * 7919) % 1_000_003), 150_000).df
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in text
+    got = plan.toPandas().sort_values("i").v.to_numpy()
+    assert got[150_000] == np.sort(np.arange(300_000) * 7919 % 1_000_003)[150_000] and got[:150_000].max() <= got[150_000] <= got[150_000:].min()
