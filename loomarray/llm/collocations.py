@@ -192,7 +192,7 @@ def scan(shard: DataFrame, step: int, shards: int, now: np.ndarray, before: np.n
                 line = np.frombuffer(pa.decompress(packed.as_buffer(), size.as_py() * 4, "zstd", asbytes=True), np.int32)
                 if step <= shards:
                     yield from out(pc.binary_join_element_wise(pa.scalar(f"1{lang}"), words, TAB), np.bincount(line, minlength=len(words) + 1)[1:])
-                if step > 1:
+                if step > 1 and len(words):
                     for n, place in active(line, word_hashes(lang, words.to_pylist()), now, before, longest):
                         if len(place):
                             yield from out(*counted(line, words, place, n, lang))
