@@ -76,3 +76,19 @@ def test_projection_only(spark):
     plan = out.frame._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Python" not in plan
     assert np.allclose(out.numpy(), np.hypot(np.arange(10.0) * 2 + 1, np.arange(10.0)))
+
+
+def vectors(spark):
+    from loomarray.cells import from_vectors
+
+    x = np.array([[0.0, -0.0, 0.5, 1.0, -3.7, 8.0], [np.inf, -np.inf, np.nan, 5e-324, 1e308, -0.25], [2.0**-1022, 2.0**-1074 * 3, np.nextafter(8.0, 0), np.nextafter(8.0, 9), -(2.0**52), 0.1]])
+    return x, from_vectors(spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "k long, x array<double>"), "k", "x", x.shape[1])
+
+
+def test_frexp_of_vectors(spark):
+    """Vectors of a table are handed through `transform`, which counts a function's parameters."""
+    x, a = vectors(spark)
+    for got, expected in zip(u.frexp(a), np.frexp(x), strict=True):
+        assert got._vectors is not None
+        np.testing.assert_array_equal(got.numpy(), expected)
+        assert got.dtype == expected.dtype
