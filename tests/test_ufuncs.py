@@ -92,3 +92,11 @@ def test_frexp_of_vectors(spark):
         assert got._vectors is not None
         np.testing.assert_array_equal(got.numpy(), expected)
         assert got.dtype == expected.dtype
+
+
+def test_modf_of_vectors(spark):
+    x, a = vectors(spark)
+    for got, expected in zip(u.modf(a), np.modf(x), strict=True):
+        assert got._vectors is not None
+        np.testing.assert_array_equal(got.numpy(), expected)
+        np.testing.assert_array_equal(np.signbit(got.numpy()), np.signbit(expected))
