@@ -83,6 +83,17 @@ def lowers_and_parts(path: str) -> bool:
     return _loaded[key]
 
 
+def opening(path: str) -> np.ndarray:
+    """For each id of a byte-level vocabulary, whether its text begins with a space."""
+    key = ("opens", path)
+    if key not in _loaded:
+        vocabulary = tokenizer(path).get_vocab(with_added_tokens=True)
+        opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        opens[[i for token, i in vocabulary.items() if token.startswith(("\u0120", " "))]] = True  # byte-level alphabets write a space so
+        _loaded[key] = opens
+    return _loaded[key]
+
+
 def special_strings(path: str) -> list[str]:
     """Strings that stand for one id wherever they occur."""
     return [t.content for t in tokenizer(path).get_added_tokens_decoder().values() if t.content]
@@ -104,6 +115,8 @@ def cut(text: str, most: int = SEGMENT_CHARS) -> Iterator[str]:
 
 
 CUT = re.compile(f"[^{WHITE}](?=[{WHITE}])")
+#: White space by which a text is not simply split: other than spaces and lines' ends, or with a space after it.
+MIXED = re.compile("[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n] ")
 
 
 class Lengths:
@@ -176,6 +189,7 @@ class Ids:
         self.lowers = self.words and lowers_and_parts(path)
         self.breaks = not spaced and breaks_at_white_space(path)
         self.special = [s.lower().encode() for s in special]
+        self.opens = opening(path) if self.breaks and not self.words else None
         self.memo, self.held = _loaded.setdefault(("memo", path, dtype), ({}, [0]))
 
     def pieces(self, text: str) -> list:
@@ -191,7 +205,63 @@ class Ids:
             return data.split()
         return STOP.sub(b" ", lower).split()
 
+    def keys(self, text: str) -> list[str]:
+        """Pieces of a text that may be cut before white space, by a split at its spaces.
+
+        A key that begins with a space stands for what follows, one that begins with a line's end for
+        itself, any other for a space and itself.
+        """
+        spaced = text.replace("\n", " \n").replace("\n \n", "\n\n")
+        if MIXED.search(spaced):
+            plain = lambda x: x if x[0] == "\n" else x[1:] if x[0] == " " and x[1:2] not in ("", " ", "\n") else " " + x
+            return [plain(x) for x in PIECE.findall(text)]
+        out = spaced.split(" ")
+        if out[0]:
+            out[0] = " " + out[0]
+            return out
+        return out[1:]
+
+    def encoded(self, keys: list[str]) -> dict[str, bytes]:
+        """Ids of keys: words after a space in one text, whose ids are parted where one begins with a space."""
+        joins = lambda k: k and k[0] not in " \n" and " " not in k and not k[-1].isspace()
+        words, others = [k for k in keys if joins(k)], [k for k in keys if not joins(k)]
+        out = {}
+        for k in range(0, len(words), 1024):
+            some = words[k : k + 1024]
+            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) != len(some) or at[0]:  # the library takes spaces together with something else
+                others += some
+                continue
+            data, step = ids.tobytes(), ids.itemsize
+            ends = [*(at[1:] * step).tolist(), len(data)]
+            out.update(zip(some, [data[a:b] for a, b in zip((at * step).tolist(), ends, strict=True)], strict=True))
+        for k in range(0, len(others), 8192):
+            some = others[k : k + 8192]
+            found = self.tok.encode_batch_fast([x[1:] if x[:1] == " " else x if x[:1] == "\n" else " " + x for x in some], add_special_tokens=False)
+            out.update((x, np.array(y.ids, self.dtype).tobytes()) for x, y in zip(some, found, strict=True))
+        return out
+
+    def by_spaces(self, texts: list[str]) -> list[bytes]:
+        cut_up = [self.keys(x) for x in texts]
+        flat = list(chain.from_iterable(cut_up))
+        memo = self.memo
+        data = list(map(memo.get, flat))
+        missing = [k for k, x in enumerate(data) if x is None]
+        if missing:
+            fresh = self.encoded(list({flat[k] for k in missing}))
+            for k in missing:
+                data[k] = fresh[flat[k]]
+            size = sum(map(len, fresh)) + sum(map(len, fresh.values()))
+            if len(memo) + len(fresh) <= MEMO and self.held[0] + size <= MEMO_BYTES:
+                memo.update(fresh)
+                self.held[0] += size
+        ends = np.cumsum([0, *map(len, cut_up)]).tolist()
+        return [b"".join(data[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if self.opens is not None:
+            return self.by_spaces(texts)
         cut_up = [self.pieces(x) for x in texts]
         memo = self.memo
         new = list(set(filterfalse(memo.__contains__, chain.from_iterable(cut_up))))

@@ -28,6 +28,29 @@ def test_pieces_are_safe(rows, path):
     assert Lengths(path)(texts).tolist() == [len(x) for x in expected]
 
 
+def test_new_words_go_together():
+    """Words not seen before reach the library many in a text, and come apart as it has them one by one."""
+    from loomarray.llm.tokens import Ids
+
+    rng = np.random.default_rng(4)
+    words = ["".join(chr(rng.choice([*range(97, 123), 0xE9, 0x6F22, 39, 49])) for _ in range(rng.integers(1, 12))) + f"{k:x}" for k in range(3000)]
+    texts = [" ".join(words[:1500]) + "\n\n" + "\n".join(words[1500:1550]), " " + " ".join(words[1550:]) + " "]
+    ids, given = Ids(BYTE, "<u2"), []
+    library = ids.tok
+    ids.memo, ids.held = {}, [0]
+
+    class Counting:
+        def encode_batch_fast(self, some, **kind):
+            given.extend(some)
+            return library.encode_batch_fast(some, **kind)
+
+    ids.tok = Counting()
+    assert [np.frombuffer(x, "<u2").tolist() for x in ids(texts)] == ids_of(BYTE, texts)
+    assert len(given) < 60
+    given.clear()
+    assert [np.frombuffer(x, "<u2").tolist() for x in ids(texts)] == ids_of(BYTE, texts) and not given
+
+
 def test_cuts_join_up():
     from loomarray.llm.tokens import cut
 
