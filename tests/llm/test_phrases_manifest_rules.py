@@ -157,6 +157,20 @@ def test_rules_reject(spark, docs):
     assert got[10**6 + 2].char_distance is None and got[10**6 + 2].word_distance is None
 
 
+def test_rules_of_every_language(spark, docs, tmp_path, monkeypatch):
+    """Languages with under a thousandth of the documents have no distances, as by the SQL, and are judged as well where that is asked for."""
+    texts = [r.text for r in docs.where("length(text) between 700 and 3000").orderBy("doc_id").limit(6).collect()]
+    texts[3] = " ".join(f"w{k}###" for k in range(300))
+    rows = [(k, texts[k % 4], f"l{k // 4}", "s", 0) for k in range(40)] + [(k, "a few words", "large", "s", 0) for k in range(40, 4_100)]
+    df = spark.createDataFrame(rows, docs.schema)
+    plain, whole = (sorted((tuple(r) for r in dv.divergence_rules(df, every_language=e).collect()), key=str) for e in (False, True))
+    assert plain == rules_by_sql(df, tmp_path / "plain")
+    monkeypatch.setattr(sql, "DIVERGENCE", sql.DIVERGENCE.replace("count(*) * 1000 >=", "count(*) * 1000000 >="))
+    assert whole == rules_by_sql(df, tmp_path / "whole") != plain
+    assert all(r[8] is None for r in plain) and sum(r[8] is not None for r in whole) == 40
+    assert all(r[7] for r in plain if r[0] == 3) and not any(r[7] for r in whole if r[0] < 40 and r[0] % 4 == 3)
+
+
 def test_repeated_windows(spark):
     rng = random.Random(5)
     lines = [[rng.choice("abc") for _ in range(rng.randint(5, 60))] for _ in range(80)] + [["a"] * 9, list("abcdefgh")]
