@@ -30,6 +30,9 @@ class RunLengthIndex:
     suffixes beside them, cut at `depth`.  Nothing is kept for each row.
     """
 
+    #: Bits of a word in which two ranks and a place are sorted together.
+    PACKED = 63
+
     def __init__(self, texts: list[bytes], depth: int):
         self.depth, m = depth, len(texts)
         self.sizes = sizes = np.fromiter(map(len, texts), np.int64, m)
@@ -98,9 +101,14 @@ class RunLengthIndex:
 
         def ranks(high: np.ndarray, next_: np.ndarray | None = None) -> tuple[np.ndarray, int]:
             """Dense ranks of keys (high, next_), and how many there are."""
-            if next_ is not None and 3 * n.bit_length() > 63:  # too many rows to pack
-                order = np.lexsort((next_, high))
-                new = (high[order][1:] != high[order][:-1]) | (next_[order][1:] != next_[order][:-1])
+            if next_ is not None and 3 * n.bit_length() > self.PACKED:  # too many rows to pack: by the second, then by the first with the place in that order
+                order = (np.sort((next_ << low) | place) & mask).astype(np.int64)
+                key = np.sort((high[order] << low) | place)
+                order = order[(key & mask).astype(np.int64)]
+                key >>= low
+                new = key[1:] != key[:-1]
+                key = next_[order]
+                new |= key[1:] != key[:-1]
             else:
                 key = high if next_ is None else (high << low) | next_
                 key = np.sort((key << low) | place)

@@ -472,6 +472,24 @@ def test_repeats_in_small_blocks(docs, rows, monkeypatch):
     assert got == remaining(rows)
 
 
+def test_index_of_many_rows(monkeypatch):
+    """Suffixes come in the same order where there are too many rows to sort two ranks and a place in one word."""
+    from loomarray.llm.rlindex import RunLengthIndex
+
+    rng = random.Random(8)
+    for letters in ("ab", "abcdefghij"):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 71))).encode() for _ in range(200)] + [b"ab" * 35] * 3
+        few = RunLengthIndex(texts, 50)
+        with monkeypatch.context() as m:
+            m.setattr(RunLengthIndex, "PACKED", 0)
+            many = RunLengthIndex(texts, 50)
+        suffixes = sorted((t[k:], j, k) for j, t in enumerate(texts) for k in range(len(t) + 1))
+        rows = np.array([many.at[j] + k for _, j, k in suffixes])
+        assert (many.sample_first == rows[many.run_start]).all()
+        for name in ("run_start", "run_symbol", "run_to", "sample_first", "sample_last", "sampled", "above", "shared"):
+            assert (getattr(few, name) == getattr(many, name)).all()
+
+
 def test_run_length_index():
     from loomarray.llm.rlindex import RunLengthIndex
 
