@@ -160,15 +160,30 @@ def active(line: np.ndarray, hashes: np.ndarray, now: np.ndarray, before: np.nda
                 g[place] = b[place] & within(f, found)
 
 
+def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the keys (not negative) in their order, equal ones as they stand, and which of these begin a new key."""
+    low = len(key).bit_length()
+    if int(key.max(initial=0)).bit_length() + low <= 63:  # values that carry their place sort faster than places
+        both = np.sort((key << low) | np.arange(len(key)))
+        order, both = both & ((1 << low) - 1), both >> low
+    else:
+        order = np.argsort(key, kind="stable")
+        both = key[order]
+    return order, np.concatenate([[True], both[1:] != both[:-1]])[: len(key)]
+
+
 def counted(line: np.ndarray, words: pa.StringArray, place: np.ndarray, n: int, lang: str) -> tuple[pa.StringArray, np.ndarray]:
     """The keys of the distinct phrases of n words at these places, and how often each stands there."""
     key = line[place].astype(np.int64)
     for k in range(1, n):
         if k > 1:
-            key = np.unique(key, return_inverse=True)[1].astype(np.int64)
+            order, new = grouped(key)
+            key[order] = np.cumsum(new) - 1
         key = key * (len(words) + 1) + line[place + k]
-    _, first, count = np.unique(key, return_index=True, return_counts=True)
-    at = place[first]
+    order, new = grouped(key)
+    head = np.flatnonzero(new)
+    count = np.diff(head, append=len(key))
+    at = place[order[head]]
     phrases = pc.binary_join_element_wise(*(words.take(pa.array(line[at + k] - 1)) for k in range(n)), " ")
     return pc.binary_join_element_wise(pa.scalar(f"{n}{lang}"), phrases, TAB), count
 

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,20 @@ def manifest_by_hand(rows):
     return sorted(out, key=str)
 
 
+def test_grouped():
+    """Keys that leave room for their places, and keys that don't, are grouped as NumPy does it."""
+    from loomarray.llm.collocations import grouped
+
+    rng = np.random.default_rng(4)
+    for top in (1, 5, 10**6, 1 << 62):
+        for n in (0, 1, 7, 3000):
+            key = rng.integers(0, top, n)
+            key[n // 2 :] = key[: n - n // 2]
+            order, new = grouped(key)
+            assert (order == np.argsort(key, kind="stable")).all()
+            assert (order[new] == np.unique(key, return_index=True)[1]).all()
+
+
 @pytest.mark.parametrize("height", [1, 2, 6])
 def test_manifest(docs, odd, height):
     for df in (docs, odd) if height == 1 else (docs,):
