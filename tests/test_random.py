@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import loomarray as la
-from loomarray.cells import from_column, mapped
+from loomarray.cells import from_column, local, mapped
+from loomarray.operators.random import Permuted
 
 N = 100_000
 
@@ -60,3 +61,36 @@ def test_draws_are_those_of_their_blocks(spark):
     a = la.random.default_rng(7).gamma(2.0, 1.5, size=N)
     assert (a.numpy() == np.concatenate(blocks)).all()
     assert a.df.repartition(7).agg(F.count_distinct("i")).first()[0] == N
+
+
+@pytest.mark.parametrize("n", [65_537, 100_000, 99_991, 1_000_003])
+def test_permutation_functions(n):
+    """Each place once, and back; nothing like the order before, for neighbours and across seeds."""
+    x = np.arange(n)
+    one, two = Permuted(n, 1), Permuted(n, 2)
+    p = one.at(x)
+    assert (np.bincount(p, minlength=n) == 1).all()
+    assert (one.to(p) == x).all()
+    for y in (x, np.roll(p, 1), two.at(x)):
+        assert abs(np.corrcoef(p, y)[0, 1]) * n**0.5 < 5
+    assert abs((np.diff(p) > 0).mean() - 0.5) * n**0.5 < 5
+    assert (p == x).sum() < 12
+
+
+def test_large_permutations_take_no_shuffle(spark, column):
+    """They were sorted by a random key, joined with the cells and joined again with what stands beside them."""
+    g = lambda: la.random.default_rng(5)
+    y = la.tile(column, 4)
+    for a in (g().permutation(N) / N, g().shuffle(la.arange(N)) / N):
+        both = mapped(lambda v, w: F.struct(v.alias("x"), w.alias("y")), np.float64, a, y).df
+        assert "Join" not in plan(both)
+        assert plan(both).count("Exchange") == plan(y.df).count("Exchange")
+        got = both.select("v.x").toPandas().x
+        assert sorted(got) == (np.arange(N) / N).tolist()
+    held = local(np.arange(N, dtype=np.int64) * 3)
+    assert (g().permutation(held).numpy() == g().permutation(N).numpy() * 3).all()
+    rows = la.reshape(held, (-1, 2))
+    p = g().permutation(rows).numpy()
+    assert (p[:, 1] == p[:, 0] + 3).all() and (np.sort(p[:, 0]) == np.arange(0, 3 * N, 6)).all()
+    chosen = g().choice(N, 70_000, replace=False).numpy()
+    assert len(np.unique(chosen)) == 70_000 and (chosen == g().permutation(N).numpy()[:70_000]).all()
