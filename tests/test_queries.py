@@ -48,3 +48,18 @@ def test_entry_points():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_angle_of_negative_zero(spark, tmp_path):
+    """A balance of -0.0, which large tables have, is not below 0 for the SQL, nor is NaN; the function itself keeps NumPy's pi and NaN."""
+    duckdb = pytest.importorskip("duckdb")
+    import numpy as np
+
+    import loomarray as la
+    from loomarray.plans.queries import QUERIES, SQL
+
+    spark.createDataFrame([(k, x) for k, x in enumerate([-0.0, 0.0, -1.5, 2.5, None, float("inf"), float("-inf"), float("nan")])], "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    customer = duckdb.read_parquet(f"{tmp_path}/customer.parquet/*.parquet")  # noqa: F841 - the SQL reads it
+    got = [tuple(r) for r in QUERIES["ufunc_angle"](spark, str(tmp_path)).orderBy("c_custkey").collect()]
+    assert got == sorted(duckdb.sql(SQL["ufunc_angle"]).fetchall())
+    assert np.array_equal(la.angle(np.array([-0.0, 0.0, np.nan])).numpy(), [np.pi, 0.0, np.nan], equal_nan=True)
