@@ -66,3 +66,41 @@ def test_stepwise(spark):
 
     x = np.arange(1000.0)
     assert b"".join(npy.values(local(x), block=64)) == x.tobytes()
+
+
+def test_npz_stays_off_the_driver(spark, tmp_path, monkeypatch):
+    """Members are written and read by blocks: neither whole bytes nor a table on the driver; a file may replace itself."""
+    from loomarray.sources import npy
+
+    path, x = str(tmp_path / "a.npz"), np.arange(3 * npy.BLOCK // 2).reshape(-1, 2) / 3
+
+    def never(*a, **k):
+        raise AssertionError("whole on the driver")
+
+    a = local(x)
+    monkeypatch.setattr(npy, "local", never)
+    monkeypatch.setattr(npy, "serialize", never)
+    for compress in (False, True):
+        la.saveNpz(path, {"x": a, "y": asarray(M)}, compress)
+        z = np.load(path)
+        assert (z["x"] == x).all() and (z["y"] == M).all()
+        la.saveNpz(path, {"x": la.loadNpzFile(path)["x"] * 2.0}, compress)
+        assert (la.loadNpzFile(path)["x"].numpy() == x * 2).all()
+        assert not list(tmp_path.glob("*.part"))
+    np.savez_compressed(path, f=np.asfortranarray(M), big=M.astype(">f4"), text=np.array(["a"]), none=np.zeros((0, 3)), one=np.float32(2.5))
+    with pytest.raises(TypeError):
+        la.loadNpzFile(path)
+    got = la.loadNpzFile(path, True)
+    assert set(got) == {"f", "big", "none", "one"}
+    assert (got["f"].numpy() == M).all() and (got["big"].numpy() == M.astype("f4")).all()
+    assert got["none"].shape == (0, 3) and got["none"].numpy().size == 0 and got["one"].item() == 2.5
+    np.savez(path, f=np.asfortranarray(M))
+    stored = la.loadNpzFile(path)["f"]
+    assert (stored.numpy() == M).all()
+    with open(path, "r+b") as f:
+        f.seek(200)
+        f.write(b"12345678")
+    with pytest.raises(Exception, match="Bad CRC"):
+        la.loadNpzFile(path)
+    with pytest.raises(Exception, match="has changed"):
+        stored.numpy()
