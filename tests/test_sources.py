@@ -104,3 +104,27 @@ def test_npz_stays_off_the_driver(spark, tmp_path, monkeypatch):
         la.loadNpzFile(path)
     with pytest.raises(Exception, match="has changed"):
         stored.numpy()
+
+
+def test_text_stays_off_the_driver(spark, monkeypatch):
+    """A text is written and parsed in the cluster; its characters come when they are asked for, and are the same."""
+    from loomarray.sources.text import Text
+
+    def never(self):
+        raise AssertionError("whole on the driver")
+
+    around = {"header": "one\ntwo", "footer": "end"}
+    with monkeypatch.context() as m:
+        m.setattr(Text, "data", property(never))
+        assert (la.parseTxt(la.serializeTxt(M).encode()).numpy() == M).all()
+        assert (la.parseTxt(la.serializeTxt(M, delimiter=",", newline="\r\n", **around).encode("utf8"), delimiter=",", skiprows=1, max_rows=2).numpy() == M[:2]).all()
+        assert (la.genfromtxt(la.serializeTxt(M, comments="", header="a b c d").encode(), skip_header=1, skip_footer=1).numpy() == M[:-1]).all()
+    expected = io.StringIO()
+    np.savetxt(expected, M, fmt="%.3f", **around)
+    text = la.serializeTxt(M, fmt="%.3f", **around)
+    assert str(text) == expected.getvalue() and text == expected.getvalue() and text[:5] == "# one" and len(text) == len(expected.getvalue())
+    assert text.encode() == expected.getvalue().encode() and bytes(text.encode()) == bytes(memoryview(text.encode()))
+    assert text.encode("utf-16") == expected.getvalue().encode("utf-16") and text.upper().encode() == expected.getvalue().upper().encode()
+    for odd in ({"newline": " "}, {"delimiter": "\n"}, {"newline": ""}):  # rows are not lines here
+        text = la.serializeTxt(M, **odd)
+        assert np.array_equal(la.parseTxt(text.encode(), ndmin=2).numpy(), la.parseTxt(bytes(text.encode()), ndmin=2).numpy(), equal_nan=True)
