@@ -19,6 +19,8 @@ from loomarray.llm.token_files import store
 K1, B = 1.2, 0.75
 #: Text behind a shard's index, documents of a block, queries of a chunk and of a step in it.
 SHARD, BLOCK, CHUNK, STEP = 40 << 20, 8, 1024, 128
+#: Chunks that a task searches a shard for at most; it prepares the shard once.  Tasks for each core at least, if there are chunks for them.
+CHUNKS, TASKS = 16, 8
 #: Block maxima and impacts by document are kept for terms in this share of a shard's documents or
 #: more, the most frequent ones; lists of rarer terms are short and read whole.
 COMMON, MOST = 1 / 24, 1024
@@ -88,11 +90,11 @@ class Shard:
         self.common = np.full(len(df), -1)
         self.common[common] = np.arange(len(common))
         blocks = max(1, -(-len(self.ids) // BLOCK))
-        self.whole = np.zeros((len(common), blocks * BLOCK))
+        self.whole = np.zeros((blocks * BLOCK, len(common)))  # a document's impacts side by side, for `exact`
         for c, t in enumerate(common.tolist()):
             s = slice(self.begin[t], self.begin[t + 1])
-            self.whole[c, self.docs[s]] = self.impact[s]
-        self.block_most = self.whole.reshape(len(common), blocks, BLOCK).max(2)
+            self.whole[self.docs[s], c] = self.impact[s]
+        self.block_most = self.whole.reshape(blocks, BLOCK, len(common)).max(1)
         self.rough = self.whole.astype(np.float32)
 
     def top(self, queries: list[np.ndarray], idfs: list[np.ndarray], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -103,8 +105,8 @@ class Shard:
         passed over.  Where many are left, their common part is first taken in single precision,
         with room for its error.  Whoever is left then gets an exact score.
         """
-        n, width = len(self.ids), self.whole.shape[1]
-        weights, rare = np.zeros((len(queries), len(self.whole))), []
+        n, (width, many) = len(self.ids), self.whole.shape
+        weights, rare = np.zeros((len(queries), many)), []
         for q, (query, idf) in enumerate(zip(queries, idfs, strict=True)):
             at = np.searchsorted(self.terms, query)
             at[at == len(self.terms)] = 0
@@ -113,17 +115,13 @@ class Shard:
             c = self.common[t]
             weights[q, c[c >= 0]] = w[c >= 0]
             rare.append((t[c < 0], w[c < 0]))
-        ahead = weights @ self.block_most
+        ahead = weights @ self.block_most.T
         out: list = [None] * len(queries)
         heavy = []
         for q, (t, w) in enumerate(rare):
-            a, b = self.begin[t], self.begin[t + 1]
-            if len(t):
-                spans = list(zip(a.tolist(), b.tolist(), strict=True))
-                place = np.concatenate([self.docs[x:y] for x, y in spans])
-                score = np.bincount(place, np.concatenate([self.impact[x:y] for x, y in spans]) * np.repeat(w, b - a), width)
-            else:
-                score = np.zeros(width)
+            a, count = self.begin[t], self.begin[t + 1] - self.begin[t]
+            at = np.arange(count.sum()) + np.repeat(a - (np.cumsum(count) - count), count)  # the lists, one after the other
+            score = np.bincount(self.docs[at], self.impact[at] * np.repeat(w, count), width)
             bound = (score.reshape(-1, BLOCK) + ahead[q][:, None]).ravel()
             first = min(4 * k, n)
             best = np.argpartition(bound, width - first)[width - first :]
@@ -136,7 +134,7 @@ class Shard:
             else:
                 out[q] = self.best(q, weights, score, left, k)
         if heavy:
-            part = weights[[q for q, _, _ in heavy]].astype(np.float32) @ self.rough
+            part = weights[[q for q, _, _ in heavy]].astype(np.float32) @ self.rough.T
             for (q, score, theta), common in zip(heavy, part, strict=True):
                 guess = score + common
                 slack = 1e-4 * (1 + float(common.max(initial=0)))
@@ -148,8 +146,7 @@ class Shard:
         return out
 
     def exact(self, q: int, weights: np.ndarray, score: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        own = np.flatnonzero(weights[q])
-        return score[docs] + weights[q, own] @ self.whole[np.ix_(own, docs)]
+        return score[docs] + self.whole[docs] @ weights[q]
 
     def best(self, q: int, weights: np.ndarray, score: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         docs = docs[docs < len(self.ids)]
@@ -200,6 +197,12 @@ def build(docs: DataFrame, base: str):
     return docs.mapInArrow(run, "uri string, documents long, words long")
 
 
+def task_parts(chunks: int, shards: int, cores: int) -> list[slice]:
+    """The chunks of queries that a task takes with a shard: CHUNKS at most, fewer where cores would have no tasks."""
+    parts = min(chunks, max(-(-chunks // CHUNKS), -(-TASKS * cores // max(1, shards))))
+    return [slice(j * chunks // parts, (j + 1) * chunks // parts) for j in range(parts)]
+
+
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The best `k` of all `docs` for every query, by BM25 over whole texts, exactly.
 
@@ -209,7 +212,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     1. Texts become inverted indexes of shards, files in the shared folder; no text is shuffled.
     2. Queries go in chunks.  Shards and chunks send their terms to buckets, which answer each chunk
        with the terms' document frequencies: global statistics, never gathered in one place.
-    3. A task takes one shard and one chunk, and prunes by block maxima (`Shard.top`).
+    3. A task takes one shard and some chunks, and prunes by block maxima (`Shard.top`).
     4. The shards' best are merged by chunk.
 
     Per query and rank: query_id, rank (from 1), doc_id, score.  Equal scores (to 9 decimals) rank
@@ -289,23 +292,22 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         return pa.table({"uri": [uri], "queries": pa.array([len(z["ids"])], pa.int64())})
 
     weighed = [r.uri for r in known.groupBy("name").applyInArrow(weigh, "uri string, queries long").collect()] if chunks else []
-    last: dict = {}
+    shares = task_parts(len(weighed), len(uris), spark.sparkContext.defaultParallelism)
 
     def search(batches):
         for batch in batches:
             for i in batch.column(0).to_pylist():
-                s, c = divmod(i, len(weighed))
-                if last.get("shard") != s:
-                    last.clear()
-                    last.update(shard=s, index=Shard(uris[s], mean))
-                z = load_arrays(weighed[c])
-                cut = np.searchsorted(z["own"], np.arange(len(z["ids"]) + 1))
-                spans = list(zip(cut, cut[1:], strict=False))
-                found = [x for j in range(0, len(spans), STEP) for x in last["index"].top([z["terms"][a:b] for a, b in spans[j : j + STEP]], [z["idf"][a:b] for a, b in spans[j : j + STEP]], k)]
-                count = np.array([len(x) for x, _ in found], np.int64)
-                query = np.repeat(np.arange(len(found)), count)
-                arrays = (query, *(np.concatenate([x[j] for x in found]) if found else np.empty(0) for j in (0, 1)))
-                yield pa.RecordBatch.from_arrays([pa.array([weighed[c]]), *(pa.array([a.astype(t).tobytes()], pa.binary()) for a, t in zip(arrays, ("<i8", "<i8", "<f8"), strict=True))], ["name", "query", "doc", "score"])
+                s, share = divmod(i, len(shares))
+                index = Shard(uris[s], mean)
+                for name in weighed[shares[share]]:
+                    z = load_arrays(name)
+                    cut = np.searchsorted(z["own"], np.arange(len(z["ids"]) + 1))
+                    spans = list(zip(cut, cut[1:], strict=False))
+                    found = [x for j in range(0, len(spans), STEP) for x in index.top([z["terms"][a:b] for a, b in spans[j : j + STEP]], [z["idf"][a:b] for a, b in spans[j : j + STEP]], k)]
+                    count = np.array([len(x) for x, _ in found], np.int64)
+                    query = np.repeat(np.arange(len(found)), count)
+                    arrays = (query, *(np.concatenate([x[j] for x in found]) if found else np.empty(0) for j in (0, 1)))
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([a.astype(t).tobytes()], pa.binary()) for a, t in zip(arrays, ("<i8", "<i8", "<f8"), strict=True))], ["name", "query", "doc", "score"])
 
     def merge(table: pa.Table) -> pa.Table:
         ids = load_arrays(table["name"][0].as_py())["ids"]
@@ -316,6 +318,6 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         keep = rank <= k
         return pa.table({"query_id": ids[query[keep]], "rank": pa.array(rank[keep], pa.int32()), "doc_id": doc[keep], "score": score[keep]})
 
-    tasks = len(uris) * len(weighed)
+    tasks = len(uris) * len(shares)
     best = spark.range(0, tasks, 1, max(1, tasks)).mapInArrow(search, "name string, query binary, doc binary, score binary")
     return best.groupBy("name").applyInArrow(merge, "query_id long, rank int, doc_id long, score double")
